@@ -7,6 +7,7 @@ from .compression import quality
 from .iso_media import media_columns
 from .packing import pack
 from .simhash import near_duplicates
+from .suffix_dedup import dedup
 from .token_counts import token_counts
 from .toxicity import toxicity
 
@@ -15,6 +16,7 @@ QUERIES = {
     "op4_compression_quality": lambda spark, d: quality(table(spark, d, "documents"), table(spark, d, "labels")),
     "op5_token_counts": lambda spark, d: token_counts(table(spark, d, "documents")),
     "op6_simhash": lambda spark, d: near_duplicates(table(spark, d, "documents")),
+    "op8_suffix_dedup": lambda spark, d: dedup(table(spark, d, "documents")),
     "op9_packing": lambda spark, d: pack(table(spark, d, "documents")),
     "op10_toxicity": lambda spark, d: toxicity(table(spark, d, "documents"), table(spark, d, "labels")),
 }
