@@ -7,6 +7,7 @@ from .compression import quality
 from .iso_media import media_columns
 from .packing import pack
 from .perplexity import quality_rules
+from .personal_data import personal_data
 from .simhash import near_duplicates
 from .suffix_dedup import dedup
 from .token_counts import token_counts
@@ -14,6 +15,7 @@ from .toxicity import toxicity
 
 QUERIES = {
     "op1_perplexity": lambda spark, d: quality_rules(table(spark, d, "documents")),
+    "op2_personal_data": lambda spark, d: personal_data(table(spark, d, "documents")),
     "op3_iso_media": lambda spark, d: media_columns(table(spark, d, "documents")),
     "op4_compression_quality": lambda spark, d: quality(table(spark, d, "documents"), table(spark, d, "labels")),
     "op5_token_counts": lambda spark, d: token_counts(table(spark, d, "documents")),
