@@ -1 +1,58 @@
-STAGES = []
+"""The corpus pipeline: documents to packed training sequences, a stage at a time.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from pointloom.llm import compression, labelled, mixing, packing, personal_data, simhash
+from pointloom.llm.common import checkpoint, table
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the compression classifier doesn't reject (score of 0.3 and more)."""
+    model = compression.fit(*labelled.sample(docs, table(spark, sf_dir, "labels"), "quality", 1500, 20_000))
+    return compression.keep_good(docs, model)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each SimHash component the document of the smallest id."""
+    return simhash.keep_one(docs)
+
+
+def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data replaced by the name of its kind."""
+    return personal_data.mask(docs, "text", "n_chars")
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A sample whose sources, languages and topics stand as the tempered targets ask."""
+    return mixing.sample(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of 4096 tokens."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality classifier", good_quality),
+    ("SimHash near-dedup", one_of_each_group),
+    ("PII", without_personal_data),
+    ("mixing sources to target weights", mixed),
+    ("packing", packed),
+]
+#: SQL can express neither the trained models nor the token ids; the stages are tested against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each result is checkpointed to the shared folder for the next."""
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = checkpoint(docs)
+    return docs

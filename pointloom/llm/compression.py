@@ -136,3 +136,15 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     repeated results; other columns are not read; without labels of both classes the score is their smoothed share.
     """
     return score(docs, fit(*sample(docs, labels, label, per_class, most_chars, id_col, text_col)), id_col, text_col, threshold)
+
+
+def keep_good(docs: DataFrame, model: CompressionModel, text_col: str = "text", threshold: float = 0.3, batch_bytes: int = 8 << 20) -> DataFrame:
+    """The documents whose score is ``threshold`` or more, all columns as they are; a map stage, so no join by id."""
+
+    def run(batches):
+        scores = model.scorer()
+        for batch in balanced(batches, text_col, batch_bytes):
+            texts = pc.fill_null(batch.column(batch.schema.get_field_index(text_col)).cast(pa.string()), "").cast(pa.binary()).to_pylist()
+            yield batch.filter(pa.array(scores(texts) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
