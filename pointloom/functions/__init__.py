@@ -1 +1 @@
-"""Part of pointloom."""
+"""Column expressions shared by the operators."""
