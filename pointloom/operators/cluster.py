@@ -6,10 +6,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from pointloom.operators.lineage import checkpoint
 from pointloom.operators.neighbors import ball_query, within
+from pointloom.operators.ordering import with_sum_before
 from pointloom.sources.frames import points as as_points
 
 
@@ -70,7 +70,7 @@ def _walk(pdf: pd.DataFrame) -> pd.DataFrame:
 def _numbered(found: DataFrame, group: list[str], order: list[str], least: int) -> DataFrame:
     """Clusters of at least ``least`` members, numbered from 0 in the given order; numbers are made from one row a cluster."""
     size = found.groupBy(*group).agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    numbered = size.withColumn("cluster_id", F.row_number().over(Window.orderBy(*order)).cast("long") - 1).drop("n")
+    numbered = with_sum_before(size.drop("n"), order, F.lit(1), "cluster_id")
     return found.join(numbered, group)
 
 

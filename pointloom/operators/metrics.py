@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from pointloom.operators.neighbors import knn
+from pointloom.operators.ordering import with_sum_before
 from pointloom.sources.frames import points as as_points
 
 
@@ -21,8 +21,7 @@ def instance_iou(proposals: DataFrame, gt: DataFrame, eps: float = 0.0) -> DataF
     if not spread.where("cloud_id <> other").isEmpty():
         raise ValueError("a proposal lies in more than one cloud")
     top = gt.groupBy("cloud_id").agg(F.max("instance_id").alias("top"))
-    before = F.sum("top").over(Window.orderBy("cloud_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("top")
-    spine = top.withColumn("before", before).where("top > 0").select("cloud_id", F.explode(F.sequence(F.lit(1), F.col("top").cast("int"))).cast("long").alias("instance_id"), "before")
+    spine = with_sum_before(top, ["cloud_id"], F.col("top"), "before").where("top > 0").select("cloud_id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("top").cast("long"))).alias("instance_id"), "before")
     spine = spine.select("cloud_id", "instance_id", (F.col("before") + F.col("instance_id") - 1).cast("long").alias("gt_col"))
     sizes = gt.where("instance_id > 0").groupBy("cloud_id", "instance_id").agg(F.count("*").alias("gt_size"))
     shared = proposals.join(gt.where("instance_id > 0"), ["cloud_id", "point_id"]).groupBy("proposal_id", "cloud_id", "instance_id").agg(F.count("*").alias("n"))

@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from pointloom.functions.geometry import around, cell, dist2
 from pointloom.operators.lineage import checkpoint
+from pointloom.operators.ordering import with_sum_before
 from pointloom.sources.frames import points as as_points
 
 _CELL = ("cx", "cy", "cz")
@@ -134,11 +135,10 @@ def degree(df: DataFrame) -> DataFrame:
 
 
 def batch_offsets(df: DataFrame) -> DataFrame:
-    """First position of each cloud's rows when clouds stand in ascending order, by running sums of one row a cloud."""
-    by = Window.orderBy("cloud_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return degree(df).withColumn("start", F.sum("degree").over(by) - F.col("degree"))
+    """First position of each cloud's rows when clouds stand in ascending order."""
+    return with_sum_before(degree(df), ["cloud_id"], F.col("degree"), "start")
 
 
 def dense_cloud_ids(df: DataFrame) -> DataFrame:
     """Each cloud's number when clouds are counted from 0 in ascending order."""
-    return df.select("cloud_id").distinct().withColumn("dense_id", F.row_number().over(Window.orderBy("cloud_id")).cast("long") - 1)
+    return with_sum_before(df.select("cloud_id").distinct(), ["cloud_id"], F.lit(1), "dense_id")

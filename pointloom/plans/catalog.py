@@ -45,7 +45,7 @@ def _interpolated(spark, d):
 
 def _interpolated_grad(spark, d):
     p, q = _split(spark, d)
-    grad = q.select("cloud_id", "query_id", F.explode(F.array(F.lit(0), F.lit(1))).cast("long").alias("channel")).withColumn("grad", (F.col("query_id") % 7 + F.col("channel")).cast("double"))
+    grad = q.select("cloud_id", "query_id", F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))).alias("channel")).withColumn("grad", (F.col("query_id") % 7 + F.col("channel")).cast("double"))
     return interpolate.three_interpolate_grad(grad, _weights(spark, d), p)
 
 
@@ -240,8 +240,8 @@ def _cubic_cte(n: int) -> str:
     low = lambda c: f"CAST(floor({c} * CAST(4 AS DOUBLE) + CAST(4 AS DOUBLE)) AS BIGINT) - {n - 1}"
     return f"""{_corner_cte(4)}, vox AS (SELECT cloud_id, vertex, ch AS channel, weight * (ch + 1) AS value FROM gr, range(2) AS r(ch)),
 lo AS (SELECT cloud_id, point_id, {low('x')} AS lx, {low('y')} AS ly, {low('z')} AS lz FROM p),
-at AS (SELECT cloud_id, point_id, slot, lx + slot // {w * w} AS ix, ly + (slot // {w}) % {w} AS iy, lz + slot % {w} AS iz FROM lo, range({w**3}) AS r(slot)),
-cv AS (SELECT cloud_id, point_id, CAST(slot AS BIGINT) AS slot, CASE WHEN ix >= 0 AND ix < {m} AND iy >= 0 AND iy < {m} AND iz >= 0 AND iz < {m} THEN (ix * {m} + iy) * {m} + iz ELSE -1 END AS vertex FROM at)"""
+near AS (SELECT cloud_id, point_id, slot, lx + slot // {w * w} AS ix, ly + (slot // {w}) % {w} AS iy, lz + slot % {w} AS iz FROM lo, range({w**3}) AS r(slot)),
+cv AS (SELECT cloud_id, point_id, CAST(slot AS BIGINT) AS slot, CASE WHEN ix >= 0 AND ix < {m} AND iy >= 0 AND iy < {m} AND iz >= 0 AND iz < {m} THEN (ix * {m} + iy) * {m} + iz ELSE -1 END AS vertex FROM near)"""
 
 
 def _cubic_sql(n: int) -> str:
