@@ -4,8 +4,8 @@ Suffixes are sorted one bucket at a time. A 50-byte window goes to the bucket of
 string of least hash in it), so equal windows meet in one bucket, and neighbouring windows travel together as one short
 segment: the whole text is shuffled once, compressed, as segments. Before the shuffle each batch of documents keeps one
 copy of equal segments, that of its smallest document, and marks the rest at once; so a passage that many documents
-share reaches its bucket once a batch. In a bucket, segments whose minimizer nobody else has are set aside, the rest is
-one text whose window suffixes are sorted block by block: first by 16 bytes, then ties are resolved by the ranks of a
+share reaches its bucket once a batch. In a bucket, windows whose larger side of the minimizer nobody else has are set
+aside, the rest is one text whose window suffixes are sorted block by block: first by 16 bytes, then ties are resolved by the ranks of a
 difference cover's sample suffixes, sorted beforehand with the lengths of their common prefixes. For any two tied
 suffixes some shift below the cover's period brings both onto sample positions, so each suffix finds the smallest
 document of its class through one of a few rank look-ups, and memory stays bounded by the block and the sample.
@@ -29,7 +29,8 @@ from .common import balanced, checkpoint
 
 _GRAM = 16
 _PERIOD, _COVER = 13, (0, 1, 3, 9)  # every difference modulo 13 is one of two of these
-_SPANS = "doc_id long, text_hash long, start long, end long"
+_HASH = 0x7FFFFFFF  # what is kept of a text's hash: it only tells apart rows of the same id
+_SPANS = "doc_id long, text_hash int, start long, end long"
 
 
 def _words(text: np.ndarray, at: np.ndarray | slice, big: bool) -> np.ndarray:
@@ -38,12 +39,17 @@ def _words(text: np.ndarray, at: np.ndarray | slice, big: bool) -> np.ndarray:
     return view[at].astype(np.uint64)
 
 
-def gram_hash(text: np.ndarray, at: np.ndarray | slice, after: np.ndarray | slice) -> np.ndarray:
-    """Hash of the 16 bytes at ``at`` (``after`` is 8 further)."""
-    h = _words(text, at, False) * np.uint64(0x9E3779B97F4A7C15)
-    h ^= h >> np.uint64(29)
-    h += _words(text, after, False)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
+def gram_hash(text: np.ndarray, at: np.ndarray | slice, size: int = _GRAM) -> np.ndarray:
+    """Hash of the ``size`` (8 or more) bytes at each position."""
+    h = None
+    for step in [*range(0, size - 8, 8), size - 8]:
+        w = _words(text, slice(at.start + step, at.stop + step) if isinstance(at, slice) else at + step, False)
+        if h is None:
+            h = w
+        else:
+            h ^= h >> np.uint64(29)
+            h += w
+        h *= np.uint64(0x9E3779B97F4A7C15)
     h ^= h >> np.uint64(32)
     h *= np.uint64(0x94D049BB133111EB)
     return h
@@ -68,7 +74,7 @@ def segments(text: np.ndarray, starts: np.ndarray, sizes: np.ndarray, depth: int
         if not len(here):
             continue
         stop = min(b + width - 1, n + 48)
-        v = gram_hash(text, slice(a, stop), slice(a + 8, stop + 8))
+        v = gram_hash(text, slice(a, stop))
         p = np.arange(len(v), dtype=np.int32)
         size = 1
         while size < width:
@@ -86,9 +92,10 @@ def segments(text: np.ndarray, starts: np.ndarray, sizes: np.ndarray, depth: int
 def _gather(text: np.ndarray, start: np.ndarray, size: np.ndarray, part: int = 1 << 16) -> np.ndarray:
     """The bytes of the ranges, one after another."""
     out = []
+    kind = np.int32 if len(text) < 1 << 31 else np.int64
     for a in range(0, len(start), part):
         s, n = start[a : a + part], size[a : a + part]
-        out.append(text[np.repeat(s - (np.cumsum(n) - n), n) + np.arange(n.sum())])
+        out.append(text[np.repeat((s - (np.cumsum(n) - n)).astype(kind), n) + np.arange(n.sum(), dtype=kind)])
     return np.concatenate(out) if out else np.zeros(0, np.uint8)
 
 
@@ -97,29 +104,39 @@ def _first(keys: np.ndarray, order: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1]])) if len(order) else np.zeros(0, np.int64)
 
 
-_FIELDS = {"size": np.uint8, "anchor": np.uint8, "low": np.int64, "count": np.uint32, "doc": np.int64, "hash": np.int64, "null": np.uint8, "row": np.uint32, "pos": np.int64, "data": np.uint8}
+#: Type of each part of a blob, and whether it is stored as differences.
+_FIELDS = {"size": ("u1", False), "anchor": ("u1", False), "count": ("<u4", False), "doc": ("<i8", True), "hash": ("<i4", False), "null": ("u1", False), "row": ("<i4", True), "pos": ("<i4", True), "end": ("<i4", True), "data": ("u1", False)}
 
 
 def _blob(zip_: zstandard.ZstdCompressor, **parts: np.ndarray) -> bytes:
-    head = struct.pack(f"<{len(_FIELDS)}I", *(len(parts.get(k, ())) for k in _FIELDS))
-    return zip_.compress(head + b"".join(np.asarray(parts[k]).astype(t).tobytes() for k, t in _FIELDS.items() if k in parts))
+    """The parts, byte planes of numbers apart, compressed."""
+    out = [struct.pack(f"<{len(_FIELDS)}I", *(len(parts.get(k, ())) for k in _FIELDS))]
+    for k, (kind, by_difference) in _FIELDS.items():
+        if k in parts:
+            x = np.diff(parts[k], prepend=0) if by_difference else parts[k]
+            x = np.ascontiguousarray(x.astype(kind))
+            out.append(x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes())
+    return zip_.compress(b"".join(out))
 
 
 def _parts(blob: bytes, unzip: zstandard.ZstdDecompressor) -> dict[str, np.ndarray]:
     raw = unzip.decompress(blob)
     counts, at, out = struct.unpack_from(f"<{len(_FIELDS)}I", raw), 4 * len(_FIELDS), {}
-    for (k, t), n in zip(_FIELDS.items(), counts, strict=True):
-        out[k] = np.frombuffer(raw, t, n, at)
-        at += n * np.dtype(t).itemsize
+    for (k, (kind, by_difference)), n in zip(_FIELDS.items(), counts, strict=True):
+        width = np.dtype(kind).itemsize
+        x = np.frombuffer(raw, np.uint8, n * width, at)
+        x = x if width == 1 else np.ascontiguousarray(x.reshape(width, n).T).view(kind)[:, 0]
+        out[k] = np.cumsum(x, dtype=np.int64) if by_difference else x
+        at += n * width
     return out
 
 
 def _ship(batches: Iterator[pa.RecordBatch], depth: int, buckets: int, batch_bytes: int) -> Iterator[pa.RecordBatch]:
     """(bucket, blob) rows: segments once a batch; a blob without segments holds spans that are settled already."""
     zip_ = zstandard.ZstdCompressor(level=1)
+    few = np.uint16 if buckets < 1 << 16 else np.uint32
     for batch in balanced(batches, "text", batch_bytes):
-        col = pc.fill_null(batch.column(1).cast(pa.string()), "").cast(pa.binary())
-        texts = col.to_pylist()
+        texts = pc.fill_null(batch.column(1).cast(pa.string()), "").cast(pa.binary()).to_pylist()
         ids = batch.column(0)
         null = ids.is_null().to_numpy(zero_copy_only=False)
         doc = pc.fill_null(ids, np.iinfo(np.int64).max).to_numpy()
@@ -129,49 +146,62 @@ def _ship(batches: Iterator[pa.RecordBatch], depth: int, buckets: int, batch_byt
         s0, count, anchor = segments(text, start, size, depth)
         if not len(s0):
             continue
-        hashes = np.array([xxhash.xxh64_intdigest(t, 42) if len(t) >= depth else 0 for t in texts], np.uint64).view(np.int64)
-        length = count + depth - 1
-        data = _gather(text, s0, length)
+        hashes = np.array([xxhash.xxh64_intdigest(t, 42) & _HASH if len(t) >= depth else 0 for t in texts], np.int32)
+        bucket = ((gram_hash(text, anchor) >> np.uint64(20)) % np.uint64(buckets)).astype(few)
+        by = np.argsort(bucket, kind="stable")
+        s0, anchor, bucket, length = s0[by], anchor[by], bucket[by], count[by] + depth - 1
         offsets = np.concatenate([[0], np.cumsum(length)])
-        coded = pa.Array.from_buffers(pa.large_binary(), len(s0), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode().indices.to_numpy()
+        data = pa.py_buffer(_gather(text, s0, length))
+        coded = pa.Array.from_buffers(pa.large_binary(), len(s0), [None, pa.py_buffer(offsets), data]).dictionary_encode()
+        code = coded.indices.to_numpy()
         row = np.searchsorted(start, s0, "right") - 1
         at = s0 - start[row]
-        order = np.lexsort((at, hashes[row], doc[row], coded))
-        head = _first(coded, order)
-        low = np.repeat(doc[row[order[head]]], np.diff(np.append(head, len(order))))
-        own = doc[row[order]] == low
-        done = order[~own]
-        if len(done):
-            part = {"doc": doc[row[done]], "hash": hashes[row[done]], "null": null[row[done]], "pos": at[done], "low": at[done] + length[done]}
-            yield pa.RecordBatch.from_arrays([pa.array([int(hashes[row[done[0]]] % buckets)], pa.int32()), pa.array([_blob(zip_, **part)], pa.binary())], ["bucket", "blob"])
-        order = order[own]
-        # rows that repeat a document (its id and text) say nothing new
-        key = np.stack([coded[order], at[order], hashes[row[order]]])
-        order = order[np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(0)])]
-        head = _first(coded, order)
-        uses = np.diff(np.append(head, len(order)))
-        seg = order[head]
-        bucket = (gram_hash(text, anchor[seg], anchor[seg] + 8) >> np.uint64(20)) % np.uint64(buckets)
-        by = np.argsort(bucket, kind="stable")
-        bounds = np.append(_first(bucket, by), len(by))
-        names, blobs = [], []
+        keep = np.ones(len(code), bool)
+        often = np.flatnonzero((np.bincount(code) > 1)[code])
+        if len(often):
+            order = often[np.lexsort((at[often], hashes[row[often]], doc[row[often]], code[often]))]
+            head = _first(code, order)
+            low = np.repeat(doc[row[order[head]]], np.diff(np.append(head, len(order))))
+            own = doc[row[order]] == low
+            done, order = order[~own], order[own]
+            # rows that repeat a document (its id and text) say nothing new
+            key = np.stack([code[order], at[order], hashes[row[order]]])
+            keep[done] = keep[order[1:][(key[:, 1:] == key[:, :-1]).all(0)]] = False
+            if len(done):
+                part = {"doc": doc[row[done]], "hash": hashes[row[done]], "null": null[row[done]], "pos": at[done], "end": at[done] + length[done]}
+                yield pa.RecordBatch.from_arrays([pa.array([int(hashes[row[done[0]]]) % buckets], pa.int32()), pa.array([_blob(zip_, **part)], pa.binary())], ["bucket", "blob"])
+        kept = np.flatnonzero(keep)
+        kept = kept[np.argsort(code[kept], kind="stable")]
+        head = np.append(_first(code, kept), len(kept))  # of each different segment, in the order of the dictionary
+        seg, uses = kept[head[:-1]], np.diff(head)
+        places = np.frombuffer(coded.dictionary.buffers()[1], np.int64, len(seg) + 1)
+        content = np.frombuffer(coded.dictionary.buffers()[2], np.uint8)
+        bounds = np.append(np.flatnonzero(np.concatenate([[True], bucket[seg][1:] != bucket[seg][:-1]])), len(seg))
+        names, blobs = bucket[seg[bounds[:-1]]].tolist(), []
         for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-            mine = by[a:b]
-            s = seg[mine]
-            uses_at = np.repeat(head[mine] - (np.cumsum(uses[mine]) - uses[mine]), uses[mine]) + np.arange(uses[mine].sum())
-            occ = order[uses_at]
+            occ, s = kept[head[a] : head[b]], seg[a:b]
             docs, local = np.unique(row[occ], return_inverse=True)
-            names.append(int(bucket[mine[0]]))
-            blobs.append(_blob(zip_, size=length[s], anchor=anchor[s] - s0[s], low=doc[row[s]], count=uses[mine], doc=doc[docs], hash=hashes[docs], null=null[docs], row=local, pos=at[occ], data=_gather(text, s0[s], length[s])))
+            blobs.append(_blob(zip_, size=length[s], anchor=anchor[s] - s0[s], count=uses[a:b], doc=doc[docs], hash=hashes[docs], null=null[docs], row=local, pos=at[occ], data=content[places[a] : places[b]]))
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
 
 class CoverSample:
-    """Ranks of a difference cover's sample suffixes, to ``depth`` bytes, and classes of those that share a prefix."""
+    """Ranks of a difference cover's sample suffixes, to ``depth`` bytes, and classes of those that share a prefix.
+
+    Of the sample only what lies less than a period after one of the ``windows`` is looked up, so only that is sorted.
+    """
 
-    def __init__(self, text: np.ndarray, depth: int):
+    def __init__(self, text: np.ndarray, windows: np.ndarray, depth: int):
         n = len(text) - 64
-        at = np.flatnonzero(np.isin(np.arange(_PERIOD), _COVER)[np.arange(n) % _PERIOD])
+        used = np.zeros(n, bool)
+        used[windows] = True
+        reach = 1
+        while reach < _PERIOD:
+            step = min(reach, _PERIOD - reach)
+            used[step:] |= used[:-step].copy()
+            reach += step
+        at = np.flatnonzero(used)
+        at = at[np.isin(np.arange(_PERIOD), _COVER)[at % _PERIOD]]
         keys = [_words(text, at + 8 * j, True) for j in range(-(-depth // 8))]
         order = np.lexsort(keys[::-1])
         self.rank = np.full(n, -1, np.int32)
@@ -199,10 +229,10 @@ def smallest_of_equal(text: np.ndarray, at: np.ndarray, doc: np.ndarray, depth:
     out = doc.copy()
     if not len(at):
         return out
-    cover = CoverSample(text, depth)
+    cover = CoverSample(text, at, depth)
     classes = [cover.classes(shift).astype(np.int32) for shift in range(_PERIOD)]
     lead = _words(text, at, True)
-    cuts = np.unique(np.sort(lead[:: max(1, len(lead) * 16 // block)])[16::16])
+    cuts = np.unique(np.sort(lead[:: block // 16])[16::16])
     where = np.searchsorted(cuts, lead, "right")
     blocks = np.argsort(where, kind="stable")
     bounds = np.append(_first(where, blocks), len(blocks))
@@ -232,41 +262,63 @@ def smallest_of_equal(text: np.ndarray, at: np.ndarray, doc: np.ndarray, depth:
     return out
 
 
+def shared_parts(data: np.ndarray, at: np.ndarray, left: np.ndarray, right: np.ndarray, low: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """By segment the least and largest number of bytes before the minimizer with which a window may be shared at all.
+
+    ``at`` is the minimizer's place, ``left`` and ``right`` the bytes that the segment has around it. A window has half of
+    what the minimizer leaves of it on one side at least; where these bytes and the minimizer stand in one document
+    only (``low``), no window that holds them is shared. Without any window, the least is above the largest.
+    """
+    around = depth - _GRAM
+    half = around // 2
+    least, most = np.full(len(at), around + 1), np.full(len(at), -1)
+    for before, has in ((half, left), (0, right)):
+        some = np.flatnonzero(has >= half)
+        h = gram_hash(data, at[some] - before, half + _GRAM)
+        order = np.argsort(h, kind="stable")
+        head = _first(h, order)
+        spread = np.minimum.reduceat(low[some[order]], head) != np.maximum.reduceat(low[some[order]], head) if len(head) else np.zeros(0, bool)
+        hit = some[order[np.repeat(spread, np.diff(np.append(head, len(order))))]]
+        if before:
+            least[hit], most[hit] = np.minimum(least[hit], half), around
+        else:
+            least[hit], most[hit] = 0, np.maximum(most[hit], around - half)
+    return np.maximum(least, around - right), np.minimum(most, left)
+
+
 def _settle(parts: list[dict], depth: int) -> Iterator[tuple]:
     """(doc, null, text hash, start, end) arrays of what a bucket shows to be removable."""
     for p in parts:
         if not len(p["size"]) and len(p["pos"]):
-            yield p["doc"], p["null"], p["hash"], p["pos"], p["low"]
+            yield p["doc"], p["null"], p["hash"], p["pos"], p["end"]
     parts = [p for p in parts if len(p["size"])]
     if not parts:
         return
-    size, anchor, low, count = (np.concatenate([p[k] for p in parts]) for k in ("size", "anchor", "low", "count"))
-    size, anchor, count = size.astype(np.int64), anchor.astype(np.int64), count.astype(np.int64)
+    size, anchor, count = (np.concatenate([p[k] for p in parts]).astype(np.int64) for k in ("size", "anchor", "count"))
+    low = np.concatenate([p["doc"][p["row"][np.cumsum(p["count"], dtype=np.int64) - p["count"]]] for p in parts])
     data = np.concatenate([*(p["data"] for p in parts), np.zeros(64, np.uint8)])
     start = np.cumsum(size) - size
-    h = gram_hash(data, start + anchor, start + anchor + 8)
-    order = np.argsort(h, kind="stable")
-    head = _first(h, order)
-    spread = np.minimum.reduceat(low[order], head) != np.maximum.reduceat(low[order], head)
-    shared = np.sort(order[np.repeat(spread, np.diff(np.append(head, len(order))))])
+    least, most = shared_parts(data, start + anchor, anchor, size - anchor - _GRAM, low, depth)
+    shared = np.flatnonzero(least <= most)
     if not len(shared):
         return
-    text = np.concatenate([_gather(data, start[shared], size[shared]), np.zeros(64, np.uint8)])
-    begin = np.cumsum(size[shared]) - size[shared]
-    windows = size[shared] - depth + 1
+    # what remains of each segment, as one text
+    skip, windows = (anchor - most)[shared], (most - least)[shared] + 1
+    length = windows + depth - 1
+    text = np.concatenate([_gather(data, start[shared] + skip, length), np.zeros(64, np.uint8)])
+    begin = np.cumsum(length) - length
     seg = np.repeat(np.arange(len(shared)), windows)
-    first = np.cumsum(windows) - windows
-    rel = np.arange(len(seg)) - first[seg]
+    rel = np.arange(len(seg)) - (np.cumsum(windows) - windows)[seg]
     own = low[shared][seg]
     hit = np.flatnonzero(smallest_of_equal(text, begin[seg] + rel, own, depth) < own)
     if not len(hit):
         return
     # windows of one segment start closer than a window's length, so what they cover is one span
     which, at = np.unique(seg[hit], return_index=True)
-    a, b = rel[hit][at], rel[hit][np.append(at[1:], len(hit)) - 1] + depth
+    a, b = rel[hit][at] + skip[which], rel[hit][np.append(at[1:], len(hit)) - 1] + skip[which] + depth
     base = np.cumsum([0, *(len(p["doc"]) for p in parts)])[:-1]
     doc, null, hashed = (np.concatenate([p[k] for p in parts]) for k in ("doc", "null", "hash"))
-    row = np.concatenate([p["row"].astype(np.int64) + o for p, o in zip(parts, base, strict=True)])
+    row = np.concatenate([p["row"] + o for p, o in zip(parts, base, strict=True)])
     pos = np.concatenate([p["pos"] for p in parts])
     uses = count[shared[which]]
     use = np.repeat((np.cumsum(count) - count)[shared[which]] - (np.cumsum(uses) - uses), uses) + np.arange(uses.sum())
@@ -292,7 +344,7 @@ def _spans(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordB
     yield from settle(held)
 
 
-def removable(docs: DataFrame, id_col: str, text_col: str, depth: int = 50, buckets_by_partition: int = 4, batch_bytes: int = 8 << 20) -> DataFrame:
+def removable(docs: DataFrame, id_col: str, text_col: str, depth: int = 50, buckets_by_partition: int = 2, batch_bytes: int = 8 << 20) -> DataFrame:
     """doc_id, text_hash and spans (pairs of little-endian 64-bit start and end, merged and ascending) of texts to cut."""
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     buckets = parts * buckets_by_partition
@@ -312,7 +364,7 @@ def removable(docs: DataFrame, id_col: str, text_col: str, depth: int = 50, buck
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["doc_id", "text_hash", "spans"])
 
     by_doc = spans.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "end")).alias("pairs"))
-    return by_doc.mapInArrow(merge, "doc_id long, text_hash long, spans binary")
+    return by_doc.mapInArrow(merge, "doc_id long, text_hash int, spans binary")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 50, most_broadcast: int = 32 << 20, keep_text: bool = False, **how) -> DataFrame:
@@ -326,7 +378,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
     weight = cut.agg(F.sum(F.length("spans") + 64)).first()[0] or 0
     side = cut.select(F.col("doc_id").alias("cut_id"), "text_hash", "spans")
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    joined = picked.join(F.broadcast(side) if weight <= most_broadcast else side, F.col("doc_id").eqNullSafe(F.col("cut_id")) & (F.xxhash64("text") == F.col("text_hash")), "left")
+    joined = picked.join(F.broadcast(side) if weight <= most_broadcast else side, F.col("doc_id").eqNullSafe(F.col("cut_id")) & (F.xxhash64("text").bitwiseAND(_HASH).cast("int") == F.col("text_hash")), "left")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
 
     def run(batches):
