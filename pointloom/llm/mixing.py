@@ -51,7 +51,7 @@ class Raked:
     gap: float
 
 
-def rake(cells: list[tuple[str, str, str]], tokens: np.ndarray, targets: list[dict[str, float]], rounds: int = 200, close: float = 1e-9) -> Raked:
+def rake(cells: list[tuple[str, str, str]], tokens: np.ndarray, targets: list[dict[str, float]], rounds: int = 200, close: float = 1e-13) -> Raked:
     """Iterative proportional fitting of cell weights to the targets.
 
     Targets count over the values that have tokens and sum to one there (a target of 0 keeps its value's own share).
@@ -104,7 +104,8 @@ def _probability(raked: Raked, cell: list[Column]) -> Column:
 
 def draw(id_col: str, seed: int) -> Column:
     """A number in [0, 1) from the id alone, so that a draw doesn't depend on the partitioning; null ids share one."""
-    return F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
+    return F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / float(1 << 48)
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", source_target: dict | None = None, lang_target: dict | None = None, topic_target: dict | None = None, seed: int = 11) -> DataFrame:
@@ -137,3 +138,29 @@ def sample(docs: DataFrame, power: float = 0.9, id_col: str = "doc_id", text_col
     targets = tempered(docs, source_col, lang_col, text_col, power)
     raked = fit(docs, text_col, source_col, lang_col, targets)
     return docs.where(draw(id_col, seed) < _probability(raked, _celled(docs, text_col, source_col, lang_col, targets)))
+
+
+def mix_sql(seed: int = 11, rounds: int = 120) -> str:
+    """DuckDB SQL of ``mix`` with the production targets, its probability rounded to six places."""
+    quoted = lambda v: "'" + v + "'"
+
+    def named(value: str, target: dict[str, float]) -> str:
+        return f"CASE WHEN {value} IN ({', '.join(quoted(v) for v in target if v != OTHER)}) THEN {value} ELSE '{OTHER}' END"
+
+    def wanted(name: str, column: str, target: dict[str, float]) -> str:
+        share = f"CASE {column} " + " ".join(f"WHEN {quoted(v)} THEN CAST({x!r} AS DOUBLE)" for v, x in target.items()) + " END"
+        return f"{name} AS (SELECT {column}, x / sum(x) OVER () AS {name} FROM (SELECT {column}, COALESCE(NULLIF({share}, 0), sum(own)) AS x FROM cell GROUP BY {column}))"
+
+    text = "COALESCE(text, '')"
+    topic = f"CASE WHEN contains({text}, 'icensed under') OR contains({text}, 'License') OR contains({text}, 'opyright') THEN 'legal' WHEN contains({text}, '@') OR contains({text}, '[EMAIL]') OR contains({text}, '[PHONE]') OR regexp_matches({text}, '\\+[0-9]') THEN 'contact' WHEN contains({text}, ' | ') THEN 'table' ELSE 'prose' END"
+    weight = f"length({text}) - length(translate({text}, ' ' || chr(10) || chr(9), '')) + length({text}) // 6 + 1"
+    scaled = lambda old, new, column, target, source: f"(SELECT *, {old} * {target} / sum({old}) OVER (PARTITION BY {column}) AS {new} FROM {source})"
+    step = scaled("v2", "v3", "topic", "ct", scaled("v1", "v2", "lang_slot", "cg", scaled("w", "v1", "source_slot", "cs", f"(SELECT * FROM raked WHERE k < {rounds})")))
+    return f"""WITH RECURSIVE d AS (SELECT doc_id, {named('source', SOURCE_TARGET)} AS source_slot, {named('lang', LANG_TARGET)} AS lang_slot, {topic} AS topic, CAST({weight} AS BIGINT) AS tokens FROM documents),
+cell AS (SELECT source_slot, lang_slot, topic, sum(tokens) / sum(sum(tokens)) OVER () AS own FROM d GROUP BY source_slot, lang_slot, topic),
+{wanted('cs', 'source_slot', SOURCE_TARGET)}, {wanted('cg', 'lang_slot', LANG_TARGET)}, {wanted('ct', 'topic', TOPIC_TARGET)},
+raked AS (SELECT 0 AS k, source_slot, lang_slot, topic, own, own AS w, cs, cg, ct FROM cell JOIN cs USING (source_slot) JOIN cg USING (lang_slot) JOIN ct USING (topic)
+  UNION ALL SELECT k + 1, source_slot, lang_slot, topic, own, v3, cs, cg, ct FROM {step}),
+p AS (SELECT source_slot, lang_slot, topic, w / own / max(w / own) OVER () AS probability FROM raked WHERE k = {rounds})
+SELECT d.doc_id, d.source_slot, d.lang_slot, d.topic, d.tokens, round(p.probability, 6) AS probability, CAST('0x' || substr(md5('{seed}:' || COALESCE(CAST(doc_id AS VARCHAR), '')), 1, 12) AS BIGINT) / CAST({1 << 48} AS DOUBLE) < p.probability AS sampled
+FROM d JOIN p ON d.source_slot = p.source_slot AND d.lang_slot = p.lang_slot AND d.topic = p.topic"""

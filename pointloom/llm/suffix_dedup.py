@@ -4,7 +4,7 @@ Suffixes are sorted one bucket at a time. A 50-byte window goes to the bucket of
 string of least hash in it), so equal windows meet in one bucket, and neighbouring windows travel together as one short
 segment: the whole text is shuffled once, compressed, as segments. Before the shuffle each batch of documents keeps one
 copy of equal segments, that of its smallest document, and marks the rest at once; so a passage that many documents
-share reaches its bucket once a batch. In a bucket, windows whose larger side of the minimizer nobody else has are set
+share reaches its bucket once a batch. In a bucket equal segments are one, windows whose larger side of the minimizer nobody else has are set
 aside, the rest is one text whose window suffixes are sorted block by block: first by 16 bytes, then ties are resolved by the ranks of a
 difference cover's sample suffixes, sorted beforehand with the lengths of their common prefixes. For any two tied
 suffixes some shift below the cover's period brings both onto sample positions, so each suffix finds the smallest
@@ -296,34 +296,47 @@ def _settle(parts: list[dict], depth: int) -> Iterator[tuple]:
         return
     size, anchor, count = (np.concatenate([p[k] for p in parts]).astype(np.int64) for k in ("size", "anchor", "count"))
     low = np.concatenate([p["doc"][p["row"][np.cumsum(p["count"], dtype=np.int64) - p["count"]]] for p in parts])
-    data = np.concatenate([*(p["data"] for p in parts), np.zeros(64, np.uint8)])
-    start = np.cumsum(size) - size
-    least, most = shared_parts(data, start + anchor, anchor, size - anchor - _GRAM, low, depth)
+    content = np.concatenate([p["data"] for p in parts])
+    coded = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(size)])), pa.py_buffer(content)]).dictionary_encode()
+    code = coded.indices.to_numpy()
+    order = np.argsort(code, kind="stable")
+    head = _first(code, order)
+    lowest = np.minimum.reduceat(low[order], head)
+    # equal segments (the code says which) are removed whole but for the smallest document's, which stands for them
+    start = np.frombuffer(coded.dictionary.buffers()[1], np.int64, len(head) + 1)[:-1]
+    data = np.concatenate([np.frombuffer(coded.dictionary.buffers()[2], np.uint8), np.zeros(64, np.uint8)])
+    b = np.where(low > lowest[code], size, 0)
+    a = np.zeros(len(b), np.int64)
+    before = anchor[order[head]]
+    least, most = shared_parts(data, start + before, before, size[order[head]] - before - _GRAM, lowest, depth)
     shared = np.flatnonzero(least <= most)
-    if not len(shared):
+    if len(shared):
+        # what remains of each segment, as one text
+        skip, windows = (before - most)[shared], (most - least)[shared] + 1
+        length = windows + depth - 1
+        text = np.concatenate([_gather(data, start[shared] + skip, length), np.zeros(64, np.uint8)])
+        begin = np.cumsum(length) - length
+        seg = np.repeat(np.arange(len(shared)), windows)
+        rel = np.arange(len(seg)) - (np.cumsum(windows) - windows)[seg]
+        own = lowest[shared][seg]
+        hit = np.flatnonzero(smallest_of_equal(text, begin[seg] + rel, own, depth) < own)
+        # windows of one segment start closer than a window's length, so what they cover is one span
+        which, at = np.unique(seg[hit], return_index=True)
+        span = np.zeros((2, len(head)), np.int64)
+        span[0, shared[which]] = rel[hit][at] + skip[which]
+        span[1, shared[which]] = rel[hit][np.append(at[1:], len(hit)) - 1] + skip[which] + depth
+        a, b = np.where(b > 0, a, span[0][code]), np.where(b > 0, b, span[1][code])
+    cut = np.flatnonzero(b)
+    if not len(cut):
         return
-    # what remains of each segment, as one text
-    skip, windows = (anchor - most)[shared], (most - least)[shared] + 1
-    length = windows + depth - 1
-    text = np.concatenate([_gather(data, start[shared] + skip, length), np.zeros(64, np.uint8)])
-    begin = np.cumsum(length) - length
-    seg = np.repeat(np.arange(len(shared)), windows)
-    rel = np.arange(len(seg)) - (np.cumsum(windows) - windows)[seg]
-    own = low[shared][seg]
-    hit = np.flatnonzero(smallest_of_equal(text, begin[seg] + rel, own, depth) < own)
-    if not len(hit):
-        return
-    # windows of one segment start closer than a window's length, so what they cover is one span
-    which, at = np.unique(seg[hit], return_index=True)
-    a, b = rel[hit][at] + skip[which], rel[hit][np.append(at[1:], len(hit)) - 1] + skip[which] + depth
     base = np.cumsum([0, *(len(p["doc"]) for p in parts)])[:-1]
     doc, null, hashed = (np.concatenate([p[k] for p in parts]) for k in ("doc", "null", "hash"))
     row = np.concatenate([p["row"] + o for p, o in zip(parts, base, strict=True)])
     pos = np.concatenate([p["pos"] for p in parts])
-    uses = count[shared[which]]
-    use = np.repeat((np.cumsum(count) - count)[shared[which]] - (np.cumsum(uses) - uses), uses) + np.arange(uses.sum())
+    uses = count[cut]
+    use = np.repeat((np.cumsum(count) - count)[cut] - (np.cumsum(uses) - uses), uses) + np.arange(uses.sum())
     row = row[use]
-    yield doc[row], null[row], hashed[row], pos[use] + np.repeat(a, uses), pos[use] + np.repeat(b, uses)
+    yield doc[row], null[row], hashed[row], pos[use] + np.repeat(a[cut], uses), pos[use] + np.repeat(b[cut], uses)
 
 
 def _spans(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
@@ -396,3 +409,16 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
                 yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, zip(*rows, strict=True))], [x.split()[0] for x in schema.split(", ")])
 
     return joined.select("doc_id", "text", "spans").mapInArrow(run, schema)
+
+
+#: DuckDB SQL of ``dedup``: all windows of all documents, grouped.
+SQL = """WITH d AS (SELECT doc_id, encode(COALESCE(text, '')) AS b, octet_length(encode(COALESCE(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, i, b[i + 1:i + 50] AS g FROM d, range(n - 49) AS r(i)),
+low AS (SELECT g, min(doc_id) AS low FROM w GROUP BY g),
+hit AS (SELECT doc_id, i, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS gap FROM w JOIN low USING (g) WHERE low < doc_id),
+run AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS z FROM (SELECT doc_id, i, sum(CASE WHEN gap <= 50 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM hit) GROUP BY doc_id, k),
+gap AS (SELECT doc_id, COALESCE(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS a, a AS z FROM run UNION ALL SELECT d.doc_id, COALESCE(max(run.z), 0), d.n FROM d LEFT JOIN run USING (doc_id) GROUP BY d.doc_id, d.n),
+kept AS (SELECT doc_id, string_agg(hex(b[gap.a + 1:gap.z]), '' ORDER BY gap.a) AS h FROM gap JOIN d USING (doc_id) WHERE gap.z > gap.a GROUP BY doc_id),
+cut AS (SELECT doc_id, sum(z - a) AS n_removed, count(*) AS n_spans FROM run GROUP BY doc_id)
+SELECT d.doc_id, d.n AS n_bytes, CAST(COALESCE(n_removed, 0) AS BIGINT) AS n_removed, COALESCE(n_spans, 0) AS n_spans, sha256(unhex(COALESCE(h, ''))) AS kept_sha256
+FROM d LEFT JOIN cut USING (doc_id) LEFT JOIN kept USING (doc_id)"""
