@@ -169,7 +169,7 @@ def _ship(batches: Iterator[pa.RecordBatch], depth: int, buckets: int, batch_byt
             keep[done] = keep[order[1:][(key[:, 1:] == key[:, :-1]).all(0)]] = False
             if len(done):
                 part = {"doc": doc[row[done]], "hash": hashes[row[done]], "null": null[row[done]], "pos": at[done], "end": at[done] + length[done]}
-                yield pa.RecordBatch.from_arrays([pa.array([int(hashes[row[done[0]]]) % buckets], pa.int32()), pa.array([_blob(zip_, **part)], pa.binary())], ["bucket", "blob"])
+                yield pa.RecordBatch.from_arrays([pa.array([int(doc[row[done[0]]]) * 0x9E3779B1 % buckets], pa.int32()), pa.array([_blob(zip_, **part)], pa.binary())], ["bucket", "blob"])
         kept = np.flatnonzero(keep)
         kept = kept[np.argsort(code[kept], kind="stable")]
         head = np.append(_first(code, kept), len(kept))  # of each different segment, in the order of the dictionary
@@ -288,10 +288,6 @@ def shared_parts(data: np.ndarray, at: np.ndarray, left: np.ndarray, right: np.n
 
 def _settle(parts: list[dict], depth: int) -> Iterator[tuple]:
     """(doc, null, text hash, start, end) arrays of what a bucket shows to be removable."""
-    for p in parts:
-        if not len(p["size"]) and len(p["pos"]):
-            yield p["doc"], p["null"], p["hash"], p["pos"], p["end"]
-    parts = [p for p in parts if len(p["size"])]
     if not parts:
         return
     size, anchor, count = (np.concatenate([p[k] for p in parts]).astype(np.int64) for k in ("size", "anchor", "count"))
@@ -343,18 +339,22 @@ def _spans(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordB
     unzip = zstandard.ZstdDecompressor()
     names = [x.split()[0] for x in _SPANS.split(", ")]
 
-    def settle(held):
-        for doc, null, hashed, a, b in _settle(held, depth):
+    def rows(found):
+        for doc, null, hashed, a, b in found:
             yield pa.RecordBatch.from_arrays([pa.array(doc, mask=null.astype(bool)), pa.array(hashed), pa.array(a), pa.array(b)], names)
 
     held, now = [], None
     for batch in batches:
         for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             if bucket != now:
-                yield from settle(held)
+                yield from rows(_settle(held, depth))
                 held, now = [], bucket
-            held.append(_parts(blob.as_buffer(), unzip))
-    yield from settle(held)
+            p = _parts(blob.as_buffer(), unzip)
+            if len(p["size"]):
+                held.append(p)
+            else:
+                yield from rows([(p["doc"], p["null"], p["hash"], p["pos"], p["end"])])
+    yield from rows(_settle(held, depth))
 
 
 def removable(docs: DataFrame, id_col: str, text_col: str, depth: int = 50, buckets_by_partition: int = 2, batch_bytes: int = 8 << 20) -> DataFrame:

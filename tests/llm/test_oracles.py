@@ -1,13 +1,14 @@
 """Queries that SQL can express, against DuckDB over a small table."""
 
 import math
+import os
 
 import duckdb
 import pytest
 
 from pointloom.llm.queries import ORACLES, QUERIES
 
-DIR = "/root/testdata/sf0.001"
+DIR = os.environ.get("ORACLE_DIR", "/root/testdata/sf0.001")
 
 
 @pytest.mark.parametrize("name", list(ORACLES))
