@@ -4,8 +4,8 @@ Spark counts the character 4-grams of all documents by language; characters fall
 and accents, digits, white space, punctuation, other signs), so a language has at most 2^20 grams whatever the corpus
 holds, and the languages are a fixed list with one slot for all others: the model's size has a proven bound. From the
 counts a modified Kneser-Ney model (three discounts an order, continuation counts below the top order) is estimated and
-stored, order by order, as arrays sorted by the hash of language and gram, looked up by binary search. A document is
-rejected where its log perplexity leaves the band of its language: the median and, to either side, a multiple of the
+stored, order by order, as arrays sorted by the hash of language and gram, looked up by binary search. A document, each
+stretch of it under the language that fits it best (so that a change of language is no fault), is rejected where its log perplexity leaves the band of its language: the median and, to either side, a multiple of the
 quartile's distance, wider for short texts, whose mean is noisy.
 """
 
@@ -177,24 +177,38 @@ class KneserNey:
 
 
 class _Scorer:
-    """Mean negative log probability by document; each different gram is searched for once."""
+    """Mean negative log probability by document; each different gram is searched for once a language.
 
-    def __init__(self, model: KneserNey):
-        self.model, self.known = model, {}
+    Documents may change their language, so each stretch of ``stretch`` characters counts under whichever language of the
+    list makes it likeliest (of all others' slot only where it is the document's own).
+    """
+
+    def __init__(self, model: KneserNey, stretch: int = 128):
+        self.model, self.stretch = model, stretch
+        self.known = np.full((len(LANGUAGES) + 1, 1 << (_BITS * _ORDER)), np.nan, np.float32)
 
     def __call__(self, texts: list[str], slot: np.ndarray) -> np.ndarray:
-        out = np.full(len(texts), np.nan)
-        for s in np.unique(slot):
-            mine = np.flatnonzero(slot == s)
-            code, ends = gram_codes([texts[i] for i in mine])
-            known = self.known.setdefault(s, np.full(1 << (_BITS * _ORDER), np.nan, np.float32))
-            new = np.unique(code[np.isnan(known[code])])
-            known[new] = self.model.log_probability(int(s), new)
-            total = np.concatenate([[0], np.cumsum(known[code], dtype=np.float64)])[np.concatenate([[0], ends])]
-            n = np.diff(np.concatenate([[0], ends]))
-            with np.errstate(invalid="ignore", divide="ignore"):
-                out[mine] = np.where(n > 0, -np.diff(total) / n, np.nan)
-        return out
+        code, ends = gram_codes(texts)
+        start = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+        n = ends - start
+        count = -(-n // self.stretch)
+        doc = np.repeat(np.arange(len(texts)), count)
+        if not len(doc):
+            return np.full(len(texts), np.nan)
+        first = start[doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)) * self.stretch
+        best = np.full(len(doc), -np.inf)
+        for s, known in enumerate(self.known):
+            if s == len(LANGUAGES) and not (slot == s).any():
+                continue
+            each = known[code]
+            new = np.unique(code[np.isnan(each)])
+            if len(new):
+                known[new] = self.model.log_probability(s, new)
+                each = known[code]
+            total = np.add.reduceat(each, first, dtype=np.float64)
+            best = np.maximum(best, total if s < len(LANGUAGES) else np.where(slot[doc] == s, total, -np.inf))
+        with np.errstate(invalid="ignore"):
+            return np.where(n > 0, -np.bincount(doc, best, len(texts)) / np.maximum(n, 1), np.nan)
 
 
 def base_counts(text: str, span: int = 5) -> tuple[int, int, int, int, int]:

@@ -6,7 +6,7 @@ import pytest
 
 from pointloom.llm import perplexity as P
 
-ROWS = [(1, None, "en"), (2, "", "en"), (3, " \n\n \t", "de"), (4, "one", None), (5, "a b c d e a b c d e f # | $x\n\na\nb\na\n a", "en"), (None, "the cat sat on the mat and the cat sat on the mat again ok", "xx"), (6, "the 漢字 Straße, naïve 😀 text goes on " * 3, "de"), (6, "the 漢字 Straße, naïve 😀 text goes on " * 3, "de"), (7, "word " * 40_000, "fr")]
+ROWS = [(1, None, "en"), (2, "", "en"), (3, " \n\n \t", "de"), (4, "one", None), (5, "a b c d e a b c d e f # | $x\n\na\nb\na\n a", "en"), (None, "the cat sat on the mat and the cat sat on the mat again ok", "xx"), (6, "the 漢字 Straße, naïve 😀 text goes on " * 3, "de"), (6, "the 漢字 Straße, naïve 😀 text goes on " * 3, "de"), (7, "word " * 40_000, "fr"), (8, "the cat sat on the mat again " * 9 + "word " * 60 + "naïve Straße " * 20, "en"), (9, "word " * 30 + "the cat sat on the mat " * 20, "yy")]
 
 
 def plain_base(text):
@@ -63,8 +63,17 @@ def plain_scores(rows):
     out = []
     for _, t, lang in rows:
         c = [0, 0, 0, *classes(t or "")]
-        p = [math.log(prob(tuple(c[i : i + 4]), models[slot(lang)])) for i in range(len(c) - 3)]
-        out.append(-sum(p) / len(p) if p else None)
+        tables = [models.get(s) for s in range(len(P.LANGUAGES))] + [models[slot(lang)]] * (slot(lang) == len(P.LANGUAGES))
+        memo = {}
+
+        def cost(k, g):
+            if (k, g) not in memo:
+                memo[k, g] = math.log(prob(g, tables[k])) if tables[k] else math.log(1 / 32)
+            return memo[k, g]
+
+        grams = [tuple(c[i : i + 4]) for i in range(len(c) - 3)]
+        best = [max(sum(cost(k, g) for g in grams[at : at + 128]) for k in range(len(tables))) for at in range(0, len(grams), 128)]
+        out.append(-sum(best) / len(grams) if grams else None)
     return out
 
 
