@@ -22,8 +22,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import balanced, checkpoint
 
@@ -131,9 +132,10 @@ def _parts(blob: bytes, unzip: zstandard.ZstdDecompressor) -> dict[str, np.ndarr
     return out
 
 
-def _ship(batches: Iterator[pa.RecordBatch], depth: int, buckets: int, batch_bytes: int) -> Iterator[pa.RecordBatch]:
+def _ship(batches: Iterator[pa.RecordBatch], depth: int, ids_of_buckets: np.ndarray, batch_bytes: int) -> Iterator[pa.RecordBatch]:
     """(bucket, blob) rows: segments once a batch; a blob without segments holds spans that are settled already."""
     zip_ = zstandard.ZstdCompressor(level=1)
+    buckets = len(ids_of_buckets)
     few = np.uint16 if buckets < 1 << 16 else np.uint32
     for batch in balanced(batches, "text", batch_bytes):
         texts = pc.fill_null(batch.column(1).cast(pa.string()), "").cast(pa.binary()).to_pylist()
@@ -169,7 +171,7 @@ def _ship(batches: Iterator[pa.RecordBatch], depth: int, buckets: int, batch_byt
             keep[done] = keep[order[1:][(key[:, 1:] == key[:, :-1]).all(0)]] = False
             if len(done):
                 part = {"doc": doc[row[done]], "hash": hashes[row[done]], "null": null[row[done]], "pos": at[done], "end": at[done] + length[done]}
-                yield pa.RecordBatch.from_arrays([pa.array([int(doc[row[done[0]]]) * 0x9E3779B1 % buckets], pa.int32()), pa.array([_blob(zip_, **part)], pa.binary())], ["bucket", "blob"])
+                yield pa.RecordBatch.from_arrays([pa.array([ids_of_buckets[int(doc[row[done[0]]]) * 0x9E3779B1 % buckets]], pa.int32()), pa.array([_blob(zip_, **part)], pa.binary())], ["bucket", "blob"])
         kept = np.flatnonzero(keep)
         kept = kept[np.argsort(code[kept], kind="stable")]
         head = np.append(_first(code, kept), len(kept))  # of each different segment, in the order of the dictionary
@@ -177,7 +179,7 @@ def _ship(batches: Iterator[pa.RecordBatch], depth: int, buckets: int, batch_byt
         places = np.frombuffer(coded.dictionary.buffers()[1], np.int64, len(seg) + 1)
         content = np.frombuffer(coded.dictionary.buffers()[2], np.uint8)
         bounds = np.append(np.flatnonzero(np.concatenate([[True], bucket[seg][1:] != bucket[seg][:-1]])), len(seg))
-        names, blobs = bucket[seg[bounds[:-1]]].tolist(), []
+        names, blobs = ids_of_buckets[bucket[seg[bounds[:-1]]]], []
         for a, b in zip(bounds[:-1], bounds[1:], strict=True):
             occ, s = kept[head[a] : head[b]], seg[a:b]
             docs, local = np.unique(row[occ], return_inverse=True)
@@ -357,10 +359,17 @@ def _spans(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordB
     yield from rows(_settle(held, depth))
 
 
+def bucket_ids(spark: SparkSession, partitions: int, each: int) -> np.ndarray:
+    """Numbers that the hash partitioning deals evenly, ``each`` to a partition (what chance leaves short, others take)."""
+    tried = spark.range(partitions * each * 8).select(F.col("id").cast("int").alias("id")).withColumn("part", F.pmod(F.hash("id"), F.lit(partitions)))
+    first = tried.withColumn("nth", F.row_number().over(Window.partitionBy("part").orderBy("id"))).where(F.col("nth") <= each)
+    return np.sort(first.select("id").toArrow().column(0).to_numpy())
+
+
 def removable(docs: DataFrame, id_col: str, text_col: str, depth: int = 50, buckets_by_partition: int = 2, batch_bytes: int = 8 << 20) -> DataFrame:
     """doc_id, text_hash and spans (pairs of little-endian 64-bit start and end, merged and ascending) of texts to cut."""
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    buckets = parts * buckets_by_partition
+    buckets = bucket_ids(docs.sparkSession, parts, buckets_by_partition)
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     shipped = picked.mapInArrow(lambda batches: _ship(batches, depth, buckets, batch_bytes), "bucket int, blob binary")
     spans = shipped.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda batches: _spans(batches, depth), _SPANS)
