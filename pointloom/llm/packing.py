@@ -9,7 +9,9 @@ minimum a monotone queue keeps in constant time. The work is one map stage; a ru
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left
 from collections import deque
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -39,29 +41,39 @@ def cut_points(ids: np.ndarray, doc_ends: np.ndarray, sentence_ids: np.ndarray,
     return at, penalty[at]
 
 
-def best_cuts(at: np.ndarray, penalty: np.ndarray, window: int) -> list[int]:
-    """The cut points of least total padding plus penalties, the first and last included."""
+def best_cuts(at: np.ndarray, penalty: np.ndarray, window: int, tail: Callable[[int], int] | None = None) -> list[int]:
+    """The cut points of least total padding plus penalties, the first and last included.
+
+    ``tail`` gives the cost of what stands after the last cut but one, by its length; by default its padding.
+    """
     c, p = at.tolist(), penalty.tolist()
-    value, before = [0] * len(c), [0] * len(c)
+    value, before = [0] * len(c), [0] * len(c)  # value: best[j] + c_j, what the queue compares
     queue: deque[int] = deque([0])
     for j in range(1, len(c)):
         low = c[j] - window
         while c[queue[0]] < low:
             queue.popleft()
-        i = queue[0]
-        before[j] = i
-        value[j] = window - c[j] + p[j] + value[i]
-        own = value[j] = value[j] + c[j]  # held as best[j] + c_j, what the queue compares
-        while queue and value[queue[-1]] > own:
+        before[j] = queue[0]
+        value[j] = window + p[j] + value[queue[0]]
+        while queue and value[queue[-1]] > value[j]:
             queue.pop()
         queue.append(j)
     cuts, j = [c[-1]], len(c) - 1
+    if tail and j:
+        near = range(bisect_left(c, c[-1] - window), j)
+        j = min(near, key=lambda i: value[i] - c[i] + tail(c[-1] - c[i]))
+        cuts.append(c[j])
     while j:
         j = before[j]
         cuts.append(c[j])
     return cuts[::-1]
 
 
+def tail_cost(n: int, window: int, hard: int) -> int:
+    """Cost of the last window: its padding, or that of its cuts at powers of two."""
+    return min(window - n, (n.bit_count() - 1) * hard)
+
+
 def tail_lengths(n: int, window: int, hard: int) -> list[int]:
     """How the last window is laid out: powers of two, which need no padding, where their cuts cost less than padding."""
     powers = [1 << b for b in range(n.bit_length() - 1, -1, -1) if n >> b & 1]
@@ -84,7 +96,9 @@ class _Packer:
             return []
         ids = np.concatenate([d[2] for d in self.docs])
         ends = np.cumsum([len(d[2]) for d in self.docs])
-        cuts = best_cuts(*cut_points(ids, ends, *self.cost), self.window)
+        # what a run leaves open costs nothing, as the next run goes on with it
+        tail = (lambda n: tail_cost(n, self.window, self.cost[2])) if last else lambda n: 0
+        cuts = best_cuts(*cut_points(ids, ends, *self.cost), self.window, tail)
         if last:
             cuts[-1:] = (cuts[-2] + np.cumsum(tail_lengths(cuts[-1] - cuts[-2], self.window, self.cost[2]))).tolist()
         else:
@@ -108,7 +122,7 @@ class _Packer:
         return rows
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, window: int = 4096, end_id: int = 2, sentence_penalty: int = 8, hard_penalty: int = 64, gap: int = 256, run_tokens: int = 1 << 19, batch_bytes: int = 4 << 20) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, window: int = 4096, end_id: int = 2, sentence_penalty: int = 8, hard_penalty: int = 64, gap: int = 64, run_tokens: int = 1 << 19, batch_bytes: int = 4 << 20) -> DataFrame:
     """Pieces of documents in sequences of at most ``window`` tokens; see ``SCHEMA``.
 
     Each document is its token ids and ``end_id``, so null and empty texts are one token. Null ids stay, repeated rows
@@ -121,7 +135,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
     def run(batches):
         encoder = WordEncoder(path)
         stops = np.array(sorted({i for s in (".", "!", "?", "。") for i in encoder.full.encode(s, add_special_tokens=False).ids[-1:]}), np.uint32)
-        packer = _Packer(window, stops, sentence_penalty, hard_penalty, gap, TaskContext.get().partitionId() << 40)
+        packer = _Packer(window, stops, sentence_penalty, hard_penalty, min(gap, window), TaskContext.get().partitionId() << 40)
         out = lambda rows: pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names)
         for batch in balanced(batches, "text", batch_bytes):
             flat, ends = encoder.encode(pc.fill_null(batch.column(1).cast(pa.string()), ""))
