@@ -41,7 +41,8 @@ def plain_scores(rows):
         if not own:
             return lower
         total = sum(own.values())
-        return (max(own[g[-1]] - d[min(own[g[-1]], 3)], 0) + sum(d[min(c, 3)] for c in own.values()) * lower) / total
+        back = max(sum(d[min(c, 3)] for c in own.values()) / total, 1e-12)
+        return max(own[g[-1]] - d[min(own[g[-1]], 3)], 0) / total + back * lower
 
     models = {}
     for s, top in counts.items():
