@@ -69,6 +69,7 @@ def _walk(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def _numbered(found: DataFrame, group: list[str], order: list[str], least: int) -> DataFrame:
     """Clusters of at least ``least`` members, numbered from 0 in the given order; numbers are made from one row a cluster."""
+    found = checkpoint(found)  # read twice below
     size = found.groupBy(*group).agg(F.count("*").alias("n")).where(F.col("n") >= least)
     numbered = with_sum_before(size.drop("n"), order, F.lit(1), "cluster_id")
     return found.join(numbered, group)
