@@ -7,17 +7,26 @@ counts a modified Kneser-Ney model (three discounts an order, continuation count
 stored, order by order, as arrays sorted by the hash of language and gram, looked up by binary search. A document, each
 stretch of it under the language that fits it best (so that a change of language is no fault), is rejected where its log perplexity leaves the band of its language: the median and, to either side, a multiple of the
 quartile's distance, wider for short texts, whose mean is noisy.
+
+Beside it stands a word model that grows with the corpus: all words (as written; scripts without spaces by code point)
+and all pairs of neighbours are counted, nothing is pruned. Each batch of texts sends its different keys, sorted, to the
+2^``part_bits`` ranges of the hash space; a range adds up what all batches sent and answers each batch in the order it asked.
+A document's own counts are taken off, so that rare words don't vouch for themselves. Documents whose words or word order
+are less likely than the upper end of their language's band are rejected; likely ones aren't, as copies raise each other.
 """
 
 from __future__ import annotations
 
+import hashlib
 import unicodedata
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -231,40 +240,190 @@ def base_counts(text: str, span: int = 5) -> tuple[int, int, int, int, int]:
     return n, chars, symbols, len(lines) - len(set(lines)), repeated
 
 
+_UNSPACED = r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]"
+
+
+def word_hashes(texts: pa.Array, bits: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The number of each word among the batch's hashes, these in ascending order, and where each text's words end."""
+    spaced = pc.replace_substring_regex(texts, f"({_UNSPACED})", r" \1 ") if pc.any(pc.match_substring_regex(texts, _UNSPACED)).as_py() else texts
+    words = pc.ascii_split_whitespace(spaced)
+    coded = words.values.dictionary_encode()
+    at, offsets = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), words.offsets.to_numpy()
+    hashes = np.array([int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little") for w in coded.dictionary.to_pylist()], np.uint64)
+    empty = np.array([w == "" for w in coded.dictionary.to_pylist()], bool)  # around leading and trailing space
+    keep = ~empty[at]
+    hashes, rank = np.unique(_short(hashes & ~np.uint64(1), bits), return_inverse=True)
+    return rank[at[keep]], hashes, np.concatenate([[0], np.cumsum(keep)])[offsets[1:] - offsets[0]].astype(np.int64)
+
+
+def word_keys(code: np.ndarray, hashes: np.ndarray, ends: np.ndarray, bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """By word, the key of the word (even) and of the pair with the word before it (odd; a start mark before the first)."""
+    own = hashes[code] if len(code) else np.zeros(0, np.uint64)
+    before = np.concatenate([[np.uint64(0)], own[:-1]]) if len(own) else own
+    first = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+    before[first[first < ends]] = 0
+    pair = before * np.uint64(0x9E3779B97F4A7C15) + own
+    pair ^= pair >> np.uint64(29)
+    pair *= np.uint64(0xBF58476D1CE4E5B9)
+    pair ^= pair >> np.uint64(32)
+    return own, _short(pair | np.uint64(1), bits)
+
+
+def key_bits(chars: int) -> int:
+    """Bits of a key, growing with the corpus: of 2^12 keys about one meets another, whatever the corpus holds."""
+    return min(64, max(24, int(chars).bit_length() + 12))
+
+
+def _short(keys: np.ndarray, bits: int) -> np.ndarray:
+    """The upper bits of keys; the lowest still tells words from pairs."""
+    return keys if bits == 64 else keys >> np.uint64(65 - bits) << np.uint64(1) | keys & np.uint64(1)
+
+
+def _pack(values: np.ndarray) -> bytes:
+    """Byte planes, compressed; the first byte is the width."""
+    width = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + zlib.compress(np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes(), 1)
+
+
+def _unpack(blob: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(blob[1:]), np.uint8).reshape(blob[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : blob[0]] = planes.T
+    return out.reshape(-1).view("<u8").astype(np.int64)
+
+
+def pack_keys(keys: np.ndarray, space: int) -> bytes:
+    """Ascending numbers below 2^space: their lower bits side by side, the upper ones in unary (Elias and Fano)."""
+    low = max(0, space - max(1, len(keys).bit_length() - 1))
+    ones = np.zeros((int(keys[-1]) >> low) + len(keys), np.uint8)
+    ones[(keys >> np.uint64(low)).astype(np.int64) + np.arange(len(keys))] = 1
+    bits = np.unpackbits(keys.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)[:, 64 - low :]
+    return np.array([len(keys), low], "<u4").tobytes() + np.packbits(bits).tobytes() + np.packbits(ones).tobytes()
+
+
+def unpack_keys(blob: bytes) -> np.ndarray:
+    n, low = (int(x) for x in np.frombuffer(blob[:8], "<u4"))
+    cut = 8 + -(-n * low // 8)
+    bits = np.zeros((n, 64), np.uint8)
+    bits[:, 64 - low :] = np.unpackbits(np.frombuffer(blob[8:cut], np.uint8), count=n * low).reshape(n, low)
+    high = np.flatnonzero(np.unpackbits(np.frombuffer(blob[cut:], np.uint8)))[:n] - np.arange(n)
+    return np.packbits(bits, axis=1).reshape(-1).view(">u8").astype(np.uint64) | high.astype(np.uint64) << np.uint64(low)
+
+
+def _hashes(blob: bytes) -> np.ndarray:
+    return unpack_keys(blob) if blob else np.zeros(0, np.uint64)
+
+
+def asked(code: np.ndarray, hashes: np.ndarray, ends: np.ndarray, bits: int, part_bits: int) -> list[tuple[int, bytes, bytes]]:
+    """Range, sorted different keys and their counts in a batch, for each range of the hash space that holds any."""
+    keys, n = np.unique(np.concatenate(word_keys(code, hashes, ends, bits)), return_counts=True)
+    space = bits - part_bits
+    part = (keys >> np.uint64(space)).astype(np.int64)
+    keys &= np.uint64((1 << space) - 1)
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(keys)]
+    return [(int(part[a]), pack_keys(keys[a:b], space), _pack(n[a:b])) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
+
+
+def answer(keys: list[np.ndarray], n: list[np.ndarray]) -> list[np.ndarray]:
+    """Of one range, the counts of the keys of each batch in the rest of the corpus, in their order."""
+    known, at = np.unique(np.concatenate(keys), return_inverse=True)
+    total = np.bincount(at, np.concatenate(n).astype(np.float64), len(known)).astype(np.int64)
+    return [total[k] - own for k, own in zip(np.split(at, np.cumsum([len(k) for k in keys])[:-1]), n, strict=True)]
+
+
+def word_scores(code: np.ndarray, hashes: np.ndarray, ends: np.ndarray, elsewhere: np.ndarray, bits: int, words: int, weight: float) -> np.ndarray:
+    """Mean negative log probability of each text's words, its own counts taken off.
+
+    ``elsewhere``: by sorted key of the batch, its count in the other batches. Pairs are smoothed by ``weight`` times the
+    probability of the word alone, and words by one count, for which each running word sets one count aside.
+    """
+    start = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+    n = ends - start
+    doc = np.repeat(np.arange(len(ends)), n)
+
+    keys, at, here = np.unique(np.concatenate(word_keys(code, hashes, ends, bits)), return_inverse=True, return_counts=True)
+    total = (elsewhere + here).astype(np.float64)
+
+    def rest(at):
+        _, back, own = np.unique(doc * len(keys) + at, return_inverse=True, return_counts=True)
+        return total[at] - own[back]
+
+    one, two = rest(at[: len(code)]), rest(at[len(code) :])
+    context = np.concatenate([[0.0], one[:-1]]) if len(one) else one
+    context[start[n > 0]] = 0.0
+    two[start[n > 0]] = 0.0  # a text's first word is scored alone
+    alone = (one + 1) / (2 * (words - n[doc]) + 1)
+    log = np.log((two + weight * alone) / (context + weight))
+    with np.errstate(invalid="ignore"):
+        return np.where(n > 0, -np.bincount(doc, log, len(ends)) / np.maximum(n, 1), np.nan)
+
+
 _RAW = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, slot int, n_chars long, log_perplexity double"
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", reach: float = 6.0, least: float = 0.012, short: float = 1.0, batch_bytes: int = 4 << 20) -> DataFrame:
-    """Base counts, base_failed, log_perplexity, its band (low, high) and kept of each row.
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", reach: float = 6.0, least: float = 0.012, short: float = 1.0, batch_bytes: int = 4 << 20, word_reach: float = 2.5, word_least: float = 0.1, word_short: float = 6.0, weight: float = 20.0, part_bits: int = 8) -> DataFrame:
+    """Base counts, base_failed, log_perplexity, its band (low, high), kept, and the words' log perplexity and its upper end.
 
     A band reaches from the language's median ``reach`` times the distance of the quartile (``least`` at least) plus
     ``short`` over the root of the text's length to either side; only rows that pass the base rules shape it. Null and
     empty texts have no words, fail the base rules and have a null perplexity. Null ids stay; unknown and null languages
     share a model and a band; repeated rows get repeated results; other columns are not read. Texts are read whole.
+    The word rule is one-sided and has its own reach, least and short (over the root of the number of words).
     """
     counts = count_grams(docs, text_col, lang_col).toArrow()
     model = KneserNey.estimate(*(counts.column(k).to_numpy() for k in ("slot", "gram", "n")))
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    bits = key_bits(pc.sum(counts.column("n")).as_py() or 0)
     names = [x.split()[0] for x in _RAW.split(", ")]
 
     def run(batches):
-        scorer = _Scorer(sent.value)
+        scorer, number = _Scorer(sent.value), TaskContext.get().partitionId() << 40
         for batch in balanced(batches, "text", batch_bytes):
-            texts, slot = pc.fill_null(batch.column(1), "").to_pylist(), language_slots(batch.column(2))
+            filled = pc.fill_null(batch.column(1), "")
+            texts, slot = filled.to_pylist(), language_slots(batch.column(2))
             base = np.array([base_counts(t) for t in texts], np.int64).reshape(-1, 5)
             failed = (base[:, 0] < 10) | (100 * base[:, 4] > 20 * base[:, 0])
             score = scorer(texts, slot)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(base[:, k]) for k in range(5)), pa.array(failed), pa.array(slot.astype(np.int32)), pa.array(np.fromiter(map(len, texts), np.int64, len(texts))), pa.array(score, mask=np.isnan(score))], names)
+            out = pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(base[:, k]) for k in range(5)), pa.array(failed), pa.array(slot.astype(np.int32)), pa.array(np.fromiter(map(len, texts), np.int64, len(texts))), pa.array(score, mask=np.isnan(score))], names)
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, out.schema) as writer:
+                writer.write_batch(out)
+            code, hashes, ends = word_hashes(filled, bits)
+            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([zlib.compress(sink.getvalue(), 1)]), pa.array([_pack(code)]), pa.array([pack_keys(hashes, bits) if len(hashes) else b""], pa.binary()), pa.array([_pack(ends)]), pa.array([len(code)])], ["batch", "rows", "code", "hashes", "ends", "words"])
+            number += 1
+
+    def ask(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                found = asked(_unpack(r["code"]), _hashes(r["hashes"]), _unpack(r["ends"]), bits, part_bits)
+                yield pa.RecordBatch.from_arrays([pa.array([p for p, _, _ in found], pa.int32()), pa.array([r["batch"]] * len(found), pa.int64()), pa.array([k for _, k, _ in found], pa.binary()), pa.array([n for _, _, n in found], pa.binary())], ["part", "batch", "keys", "n"])
+
+    def add_up(table: pa.Table) -> pa.Table:
+        found = answer(*([f(x) for x in table.column(c).to_pylist()] for c, f in (("keys", unpack_keys), ("n", _unpack))))
+        return pa.table({"part": table.column("part"), "batch": table.column("batch"), "elsewhere": pa.array(list(map(_pack, found)), pa.binary())})
+
+    def score_words(left: pa.Table, right: pa.Table) -> pa.Table:
+        r = left.to_pylist()[0]
+        out = pa.ipc.open_stream(zlib.decompress(r["rows"])).read_all()
+        found = list(map(_unpack, right.sort_by("part").column("elsewhere").to_pylist()))
+        elsewhere = np.concatenate(found) if found else np.zeros(0, np.int64)
+        score = word_scores(_unpack(r["code"]), _hashes(r["hashes"]), _unpack(r["ends"]), elsewhere, bits, words, weight)
+        return out.append_column("word_log_perplexity", pa.array(score, mask=np.isnan(score)))
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    rows = checkpoint(picked.mapInArrow(run, _RAW))
-    bands = rows.where("not base_failed").groupBy("slot").agg(F.percentile_approx("log_perplexity", [0.25, 0.5, 0.75], 10_000).alias("q")).collect()
-    literal = F.lit(None).cast("array<double>")
+    blobs = checkpoint(picked.mapInArrow(run, "batch long, rows binary, code binary, hashes binary, ends binary, words long"))
+    words = blobs.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
+    found = blobs.select("batch", "code", "hashes", "ends").mapInArrow(ask, "part int, batch long, keys binary, n binary").groupBy("part").applyInArrow(add_up, "part int, batch long, elsewhere binary")
+    rows = checkpoint(blobs.groupBy("batch").cogroup(found.groupBy("batch")).applyInArrow(score_words, f"{_RAW}, word_log_perplexity double"))
+    bands = rows.where("not base_failed").groupBy("slot").agg(F.percentile_approx("log_perplexity", [0.25, 0.5, 0.75], 10_000).alias("q"), F.percentile_approx("word_log_perplexity", [0.5, 0.75], 10_000).alias("w")).collect()
+    literal = word_literal = F.lit(None).cast("array<double>")
     for b in bands:  # one for each slot of the fixed list of languages at most
         literal = F.when(F.col("slot") == b.slot, F.array(*map(F.lit, b.q))).otherwise(literal)
-    q = rows.withColumn("q", literal)
+        word_literal = F.when(F.col("slot") == b.slot, F.array(*map(F.lit, b.w))).otherwise(word_literal)
+    q = rows.withColumns({"q": literal, "w": word_literal})
     noise = F.lit(short) / F.sqrt(F.greatest("n_chars", F.lit(1)))
     low = F.col("q")[1] - reach * F.greatest(F.col("q")[1] - F.col("q")[0], F.lit(least)) - noise
     high = F.col("q")[1] + reach * F.greatest(F.col("q")[2] - F.col("q")[1], F.lit(least)) + noise
-    kept = ~F.col("base_failed") & F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")), F.lit(False))
-    return q.withColumns({"low": low, "high": high}).withColumn("kept", kept).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "log_perplexity", "low", "high", "kept")
+    word_high = F.col("w")[0] + word_reach * F.greatest(F.col("w")[1] - F.col("w")[0], F.lit(word_least)) + F.lit(word_short) / F.sqrt(F.greatest("n_words", F.lit(1)))
+    kept = ~F.col("base_failed") & F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")) & (F.col("word_log_perplexity") <= F.col("word_high")), F.lit(False))
+    return q.withColumns({"low": low, "high": high, "word_high": word_high}).withColumn("kept", kept).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "log_perplexity", "low", "high", "kept", "word_log_perplexity", "word_high")

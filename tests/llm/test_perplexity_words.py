@@ -1,0 +1,72 @@
+import math
+import random
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from pointloom.llm import perplexity as P
+
+
+def plain_words(rows, weight=20.0):
+    """The word model by its definition, with dictionaries."""
+    docs = [(t or "").split() for t in rows]
+    single = Counter(w for d in docs for w in d)
+    pairs = Counter(p for d in docs for p in zip(d, d[1:]))
+    total, out = sum(single.values()), []
+    for d in docs:
+        one, two, log = Counter(d), Counter(zip(d, d[1:])), 0.0
+        for i, w in enumerate(d):
+            alone = (single[w] - one[w] + 1) / (2 * (total - len(d)) + 1)
+            p = (d[i - 1], w)
+            log += math.log((pairs[p] - two[p] + weight * alone) / (single[p[0]] - one[p[0]] + weight) if i else alone)
+        out.append(-log / len(d) if d else None)
+    return out
+
+
+@pytest.mark.parametrize("batch_bytes", [60, 1 << 20])
+def test_word_scores(spark, batch_bytes):
+    texts = [None, "", " \n\t", " The cat sat on the mat ", "the cat sat", "the cat sat", "ο γάτος κάθεται", "ο γάτος τρέχει πολύ", "кот сидит на ковре", "1984 was 1985"]
+    frame = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(3)
+    found = {r.doc_id: r.word_log_perplexity for r in P.quality_rules(frame, batch_bytes=batch_bytes).collect()}
+    assert len(found) == len(texts)
+    for i, w in enumerate(plain_words(texts)):
+        assert found[i] == (w if w is None else pytest.approx(w, abs=1e-9))
+
+
+def test_keys_grow_with_the_texts_and_scripts_differ():
+    def keys(texts):
+        return len(np.unique(np.concatenate(P.word_keys(*P.word_hashes(pa.array(texts))))))
+
+    some = [f"wort{i} слово{i}" for i in range(50_000)]
+    assert keys(some) == 2 * keys(some[:25_000]) == 4 * len(some)  # two words, a pair, and the first word's mark
+    assert keys(["漢字"]) == 4 and keys(["Ab"]) + keys(["ab"]) == 4 == keys(["Ab", "ab"])
+
+
+def test_packed_keys():
+    rng = np.random.default_rng(0)
+    for n, space in ((1, 20), (3000, 30), (3000, 56), (5, 3)):
+        keys = np.unique(rng.integers(0, 1 << space, n, np.uint64))
+        assert (P.unpack_keys(P.pack_keys(keys, space)) == keys).all()
+    for values in ([0], [1, 300, 70_000], []):
+        assert P._unpack(P._pack(np.array(values, np.int64))).tolist() == values
+
+
+def test_shuffled_words_are_rejected(spark):
+    rng = random.Random(3)
+    parts = ("λο", "κα", "ρι", "τε", "μυ", "γος", "τρα", "νη", "σμα", "πω", "δι", "φα")
+    names = [f"{a}{b}" for a in parts for b in parts]
+    follow = {w: rng.sample(names, 8) for w in names}
+
+    def prose():
+        words = [rng.choice(names)]
+        while len(words) < 150:
+            words.append(rng.choice(follow[words[-1]]))
+        return words
+
+    rows = [(i, " ".join(prose()), "el") for i in range(300)] + [(1000 + i, " ".join(rng.sample(d := prose(), len(d))), "el") for i in range(15)]
+    kept = {r.doc_id: r.kept for r in P.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).where(~F.col("base_failed")).collect()}
+    good, shuffled = [k for i, k in kept.items() if i < 1000], [k for i, k in kept.items() if i >= 1000]
+    assert good and shuffled and sum(good) > 0.9 * len(good) and sum(shuffled) < 0.2 * len(shuffled)
