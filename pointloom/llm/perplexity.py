@@ -361,7 +361,7 @@ def word_scores(code: np.ndarray, hashes: np.ndarray, ends: np.ndarray, elsewher
 _RAW = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, slot int, n_chars long, log_perplexity double"
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", reach: float = 6.0, least: float = 0.012, short: float = 1.0, batch_bytes: int = 4 << 20, word_reach: float = 2.5, word_least: float = 0.1, word_short: float = 6.0, weight: float = 20.0, part_bits: int = 8) -> DataFrame:
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", reach: float = 4.0, least: float = 0.012, short: float = 1.0, batch_bytes: int = 4 << 20, word_reach: float = 2.5, word_least: float = 0.1, word_short: float = 6.0, weight: float = 20.0, part_bits: int = 8) -> DataFrame:
     """Base counts, base_failed, log_perplexity, its band (low, high), kept, and the words' log perplexity and its upper end.
 
     A band reaches from the language's median ``reach`` times the distance of the quartile (``least`` at least) plus
