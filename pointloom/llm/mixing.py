@@ -10,6 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,7 +62,8 @@ def rake(cells: list[tuple[str, str, str]], tokens: np.ndarray, targets: list[di
     w, at, want = own.copy(), [], []
     for k, target in enumerate(targets):
         values = sorted({c[k] for c in cells})
-        idx = np.array([values.index(c[k]) for c in cells])
+        number = {v: i for i, v in enumerate(values)}
+        idx = np.array([number[c[k]] for c in cells])
         share = np.bincount(idx, own, len(values))
         t = np.array([target.get(v, 0.0) or s for v, s in zip(values, share, strict=True)])
         at.append(idx)
@@ -122,22 +124,43 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return rows.withColumn("sampled", draw("doc_id", seed) < F.col("probability"))
 
 
-def tempered(docs: DataFrame, source_col: str, lang_col: str, text_col: str, power: float, most: tuple[int, int, int] = (64, 16, 8)) -> list[dict[str, float]]:
-    """Targets in proportion to a power of the own token shares; the ``most`` largest of each are named."""
-    weight = token_weight(F.col(text_col).cast("string"))
+def cell_columns(text_col: str, source_col: str, lang_col: str) -> list[Column]:
+    """Every source and language as a slot of its own (null is ``other``), and the topic."""
+    own = [F.coalesce(F.col(c).cast("string"), F.lit(OTHER)) for c in (source_col, lang_col)]
+    return [*own, topic_of(F.col(text_col).cast("string"))]
+
+
+def cell_sums(docs: DataFrame, text_col: str, source_col: str, lang_col: str) -> DataFrame:
+    """s, g, t and the token weight w of each cell of all sources, languages and topics."""
+    s, g, t = cell_columns(text_col, source_col, lang_col)
+    return docs.select(s.alias("s"), g.alias("g"), t.alias("t"), token_weight(F.col(text_col).cast("string")).alias("w")).groupBy("s", "g", "t").agg(F.sum("w").alias("w"))
+
+
+def tempered(cells: list[tuple[str, str, str]], tokens: np.ndarray, power: float) -> list[dict[str, float]]:
+    """Targets in proportion to a power of the own token shares of every source, language and topic."""
     out = []
-    for value, named in zip((F.col(source_col).cast("string"), F.col(lang_col).cast("string"), topic_of(F.col(text_col).cast("string"))), most, strict=True):
-        sums = docs.select(value.alias("x"), weight.alias("w")).where("x is not null").groupBy("x").agg(F.sum("w").alias("w")).orderBy(F.desc("w"), "x").limit(named).collect()
-        total = sum(r.w for r in sums) or 1
-        out.append({r.x: (r.w / total) ** power for r in sums})
+    for k in range(3):
+        sums: dict[str, float] = {}
+        for c, w in zip(cells, tokens.tolist(), strict=True):
+            sums[c[k]] = sums.get(c[k], 0.0) + w
+        total = sum(sums.values()) or 1
+        out.append({v: (w / total) ** power for v, w in sums.items()})
     return out
 
 
 def sample(docs: DataFrame, power: float = 0.9, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", seed: int = 11) -> DataFrame:
-    """The sampled documents under tempered targets."""
-    targets = tempered(docs, source_col, lang_col, text_col, power)
-    raked = fit(docs, text_col, source_col, lang_col, targets)
-    return docs.where(draw(id_col, seed) < _probability(raked, _celled(docs, text_col, source_col, lang_col, targets)))
+    """The sampled documents under tempered targets; the driver holds one row for each cell that has documents."""
+    sums = cell_sums(docs, text_col, source_col, lang_col).orderBy("s", "g", "t").toArrow()
+    if not sums.num_rows:
+        return docs.where(F.lit(False))
+    names = [sums.column(c).to_pylist() for c in "sgt"]
+    cells, tokens = list(zip(*names, strict=True)), sums.column("w").to_numpy().astype(float)
+    raked = rake(cells, tokens, tempered(cells, tokens, power))
+    keys = ["cell_source", "cell_lang", "cell_topic"]
+    own = docs.sparkSession.createDataFrame(pa.table([*names, raked.probability], names=[*keys, "cell_probability"]))
+    at = dict(zip(keys, cell_columns(text_col, source_col, lang_col), strict=True))
+    left = docs.select(F.struct(*map(F.col, docs.columns)).alias("row"), draw(id_col, seed).alias("draw"), *(c.alias(k) for k, c in at.items()))
+    return left.join(own, keys).where("draw < cell_probability").select("row.*")
 
 
 def mix_sql(seed: int = 11, rounds: int = 120) -> str:
