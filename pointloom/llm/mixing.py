@@ -11,9 +11,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import balanced
+from .tokens import WordEncoder, default_path
+
 OTHER = "other"
 TOPICS = ("legal", "contact", "table", "prose")
 #: Target shares of the production mixture; what isn't named shares the rest.
@@ -130,10 +134,24 @@ def cell_columns(text_col: str, source_col: str, lang_col: str) -> list[Column]:
     return [*own, topic_of(F.col(text_col).cast("string"))]
 
 
-def cell_sums(docs: DataFrame, text_col: str, source_col: str, lang_col: str) -> DataFrame:
-    """s, g, t and the token weight w of each cell of all sources, languages and topics."""
+def cell_sums(docs: DataFrame, text_col: str, source_col: str, lang_col: str, vocabulary: str | None = None, batch_bytes: int = 4 << 20) -> DataFrame:
+    """s, g, t and the tokens w of each cell of all sources, languages and topics.
+
+    Tokens are those that packing makes of a text, its end mark included.
+    """
     s, g, t = cell_columns(text_col, source_col, lang_col)
-    return docs.select(s.alias("s"), g.alias("g"), t.alias("t"), token_weight(F.col(text_col).cast("string")).alias("w")).groupBy("s", "g", "t").agg(F.sum("w").alias("w"))
+    path = vocabulary or default_path("word_bpe_49k.json")
+
+    def run(batches):
+        encoder = WordEncoder(path)
+        for batch in balanced(batches, "text", batch_bytes):
+            _, ends = encoder.encode(pc.fill_null(batch.column(3), ""))
+            n = pa.array(np.diff(ends, prepend=0).astype(np.int64) + 1)
+            sums = pa.Table.from_arrays([*batch.columns[:3], n], ["s", "g", "t", "w"]).group_by(["s", "g", "t"]).aggregate([("w", "sum")])
+            yield from sums.select(["s", "g", "t", "w_sum"]).rename_columns(["s", "g", "t", "w"]).to_batches()
+
+    picked = docs.select(s.alias("s"), g.alias("g"), t.alias("t"), F.col(text_col).cast("string").alias("text"))
+    return picked.mapInArrow(run, "s string, g string, t string, w long").groupBy("s", "g", "t").agg(F.sum("w").alias("w"))
 
 
 def tempered(cells: list[tuple[str, str, str]], tokens: np.ndarray, power: float) -> list[dict[str, float]]:

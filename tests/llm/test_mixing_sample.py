@@ -1,6 +1,8 @@
 import numpy as np
+from tokenizers import Tokenizer
 
 from pointloom.llm import mixing
+from pointloom.llm.tokens import default_path
 
 
 def test_every_source_is_tempered(spark):
@@ -27,3 +29,14 @@ def test_nulls_and_no_rows(spark):
     docs = spark.createDataFrame([(1, None, None, None), (1, None, None, None), (None, "x", "other", "en")], "doc_id long, text string, source string, lang string")
     assert mixing.sample(docs.where("false")).collect() == []
     assert mixing.sample(docs).columns == docs.columns
+
+
+def test_cells_hold_the_tokens_that_packing_makes(spark):
+    rows = [(1, "Straße naïve text, 1984!", "a", "de"), (2, "漢字漢字漢字漢字", "a", "zh"), (3, None, "a", "de"), (4, "", None, None), (5, "plain words " * 50, "b", "en")]
+    full = Tokenizer.from_file(default_path("word_bpe_49k.json"))
+    want = {}
+    for _, text, source, lang in rows:
+        key = (source or mixing.OTHER, lang or mixing.OTHER, "prose")
+        want[key] = want.get(key, 0) + len(full.encode(text or "", add_special_tokens=False).ids) + 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").repartition(2)
+    assert {(r.s, r.g, r.t): r.w for r in mixing.cell_sums(docs, "text", "source", "lang").collect()} == want
