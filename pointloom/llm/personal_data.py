@@ -29,8 +29,8 @@ PATTERNS = {
     "card": r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){11,18}+(?![ -]?[0-9])",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
-_SECRET = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,200}+={0,2}+(?![A-Za-z0-9+/_=-])"
-_HANDLE = rf"(?<!{_LOCAL}){_LOCAL}{{1,64}}+ ?[\[(](?:at|AT)[\])] ?[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){{1,8}}+"
+_SECRET = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}+={0,2}+(?![A-Za-z0-9+/_=-])"
+_HANDLE = rf"(?<!{_LOCAL}){_LOCAL}++ ?[\[(](?:at|AT)[\])] ?[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 _NUMBER = r"(?<![0-9+])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])"
 _EXTRA = f"{_SECRET}|{_HANDLE}|{_NUMBER}"
 _BEFORE = {
