@@ -1,223 +1,180 @@
 """Operator 1: quality rules with n-gram perplexity bands.
 
-Spark counts the character 4-grams of all documents by language; characters fall into 32 classes (letters without case
-and accents, digits, white space, punctuation, other signs), so a language has at most 2^20 grams whatever the corpus
-holds, and the languages are a fixed list with one slot for all others: the model's size has a proven bound. From the
-counts a modified Kneser-Ney model (three discounts an order, continuation counts below the top order) is estimated and
-stored, order by order, as arrays sorted by the hash of language and gram, looked up by binary search. A document, each
-stretch of it under the language that fits it best (so that a change of language is no fault), is rejected where its log perplexity leaves the band of its language: the median and, to either side, a multiple of the
-quartile's distance, wider for short texts, whose mean is noisy.
-
-Beside it stands a word model that grows with the corpus: all words (as written; scripts without spaces by code point)
-and all pairs of neighbours are counted, nothing is pruned. Each batch of texts sends its different keys, sorted, to the
-2^``part_bits`` ranges of the hash space; a range adds up what all batches sent and answers each batch in the order it asked.
-A document's own counts are taken off, so that rare words don't vouch for themselves. Documents whose words or word order
-are less likely than the upper end of their language's band are rejected; likely ones aren't, as copies raise each other.
+The language model is a modified Kneser-Ney model of the bytes of UTF-8 (so of every script, case and digits kept), one
+for each language, over 5-grams. Spark counts the grams of all documents, makes the continuation counts and three
+discounts of each order, and estimates all orders by joins; nothing is pruned, so the model grows with the corpus and is
+never broadcast. A gram and its language are one 56-bit number, a hash without collisions of grams.
+
+Documents travel in batches. A batch asks for its different grams once, and what it asked for comes back to it as an
+array sorted by hash beside one of log probabilities, searched by binary search; so what is shuffled is a few hundred
+thousand short rows and the compressed texts of each batch. Each document is scored whole, under the model of its own
+language, and rejected where its mean log perplexity by byte or by word leaves the band of that language: the exact median
+and, to either side, a multiple of the quartile's distance, wider for short texts, whose mean is noisy.
 """
 
 from __future__ import annotations
 
-import hashlib
-import unicodedata
-import zlib
 from collections import Counter
-from dataclasses import dataclass
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
+import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import balanced, checkpoint
 
-LANGUAGES = ("en", "de", "fr", "es")
-_ORDER, _BITS, _CLASSES = 4, 5, 32
+ORDER = 5
+_BYTE, _PAD, _SLOTS = 8, 0xFF, 1 << 16  # byte 255 isn't in UTF-8, so it stands before a text's first byte
 _SPACE = b" \t\n\x0b\x0c\r"
 
 
-def _class_table() -> np.ndarray:
-    table = np.full(0x250, 31, np.uint8)
-    for c in range(0x250):
-        base = unicodedata.normalize("NFKD", chr(c))[0].lower()
-        if "a" <= base <= "z":
-            table[c] = 2 + ord(base) - 97
-        elif base.isdigit():
-            table[c] = 28
-        elif chr(c).isspace():
-            table[c] = 1
-        elif chr(c) in ".,;:!?'\"()-":
-            table[c] = 29
-        elif c < 128:
-            table[c] = 30
-    return table
-
-
-_TABLE = _class_table()
-
-
-def gram_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The 4-gram ending at each character of the texts (class 0 before the first), and where each text's end."""
-    pad = "\0" * (_ORDER - 1)
-    raw = np.frombuffer("".join([x for t in texts for x in (pad, t)]).encode("utf-32-le", "replace"), np.uint32)
-    size = np.fromiter(map(len, texts), np.int64, len(texts))
-    c = np.where(raw < len(_TABLE), _TABLE[np.minimum(raw, len(_TABLE) - 1)], 31).astype(np.int32)
-    starts = np.cumsum(size + _ORDER - 1) - size - (_ORDER - 1)
-    for k in range(_ORDER - 1):
-        c[starts + k] = 0
-    code = c[_ORDER - 1 :].copy() if len(c) else c
-    for k in range(1, _ORDER):
-        code |= c[_ORDER - 1 - k : len(c) - k] << (_BITS * k)
-    keep = np.ones(len(code), bool)
-    for k in range(_ORDER - 1):  # grams that end in the next text's padding
-        at = starts[1:] + k - (_ORDER - 1)
-        keep[at] = False
-    return code[keep], np.cumsum(size)
-
-
 def language_slots(lang: pa.Array) -> np.ndarray:
-    """The slot of each row's language; the last one is for all others and for null."""
-    at = pc.index_in(lang.cast(pa.string()), value_set=pa.array(LANGUAGES))
-    return pc.fill_null(at, len(LANGUAGES)).to_numpy().astype(np.int64)
-
-
-def count_grams(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", batch_bytes: int = 4 << 20) -> DataFrame:
-    """slot, gram and n over all documents: added up in each task, then in Spark."""
-    size = 1 << (_BITS * _ORDER)
-
-    def run(batches):
-        total = [None] * (len(LANGUAGES) + 1)
-        for batch in balanced(batches, "text", batch_bytes):
-            texts, slot = pc.fill_null(batch.column(0), "").to_pylist(), language_slots(batch.column(1))
-            for s in np.unique(slot):
-                code, _ = gram_codes([texts[i] for i in np.flatnonzero(slot == s)])
-                if total[s] is None:
-                    total[s] = np.zeros(size, np.int64)
-                total[s] += np.bincount(code, minlength=size)
-        for s, n in enumerate(total):
-            if n is not None:
-                at = np.flatnonzero(n)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), s, np.int32)), pa.array(at.astype(np.int32)), pa.array(n[at])], ["slot", "gram", "n"])
-
-    picked = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    return picked.mapInArrow(run, "slot int, gram int, n long").groupBy("slot", "gram").agg(F.sum("n").alias("n"))
-
-
-def _discounts(c: np.ndarray) -> np.ndarray:
-    """Discount by count 0, 1, 2, 3 and more."""
-    n = np.bincount(np.minimum(c, 5), minlength=6)[1:5].astype(float)
-    if not n[:3].all():
-        return np.array([0, 0.5, 0.75, 0.9])
-    y = n[0] / (n[0] + 2 * n[1])
-    d = np.array([0, 1 - 2 * y * n[1] / n[0], 2 - 3 * y * n[2] / n[1], 3 - 4 * y * n[3] / n[2]])
-    return np.clip(d, 0, [0, 0.95, 1.9, 2.9])
-
-
-def _hash(slot: int, order: int, gram: np.ndarray) -> np.ndarray:
-    """One-to-one on slot, order and gram: an odd multiplier and a shift."""
-    key = (np.uint64(slot) << np.uint64(24) | np.uint64(order) << np.uint64(21)) | gram.astype(np.uint64)
-    key *= np.uint64(0x9E3779B97F4A7C15)
-    return key ^ key >> np.uint64(32)
-
-
-@dataclass
-class KneserNey:
-    """By order 1 to 4: sorted hashes and the log probability of each gram; likewise the log back-off of each context."""
-
-    grams: list[tuple[np.ndarray, np.ndarray]]
-    contexts: list[tuple[np.ndarray, np.ndarray]]
-
-    @classmethod
-    def estimate(cls, slot: np.ndarray, gram: np.ndarray, n: np.ndarray) -> KneserNey:
-        grams, contexts = [[] for _ in range(_ORDER)], [[] for _ in range(_ORDER)]
-        for s in np.unique(slot):
-            count = np.zeros(1 << (_BITS * _ORDER), np.int64)
-            count[gram[slot == s]] = n[slot == s]
-            counts = [count]
-            for k in range(_ORDER - 1, 0, -1):
-                counts.insert(0, (counts[0].reshape(_CLASSES, -1) > 0).sum(0))
-            lower = np.full(1, 1 / _CLASSES)
-            for k, c in enumerate(counts):
-                by = c.reshape(-1, _CLASSES)
-                total = by.sum(1)
-                d = _discounts(c[c > 0])
-                cut = d[np.minimum(by, 3)]
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    back = np.where(total > 0, cut.sum(1) / total, 1.0)
-                    own = np.where(total[:, None] > 0, (by - cut) / total[:, None], 0.0)
-                shorter = np.tile(lower.reshape(-1, _CLASSES) if k else np.full((1, _CLASSES), lower[0]), (max(1, len(by) // max(1, len(lower) // _CLASSES)), 1))
-                lower = (own + back[:, None] * shorter).reshape(-1)
-                seen = np.flatnonzero(c)
-                grams[k].append((_hash(s, k + 1, seen), np.log(lower[seen]).astype(np.float32)))
-                used = np.flatnonzero(total)
-                contexts[k].append((_hash(s, k + 1, used), np.log(np.maximum(back[used], 1e-12)).astype(np.float32)))
-        return cls([cls._sorted(x) for x in grams], [cls._sorted(x) for x in contexts])
-
-    @staticmethod
-    def _sorted(parts: list) -> tuple[np.ndarray, np.ndarray]:
-        key, value = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.float32))
-        order = np.argsort(key)
-        return key[order], value[order]
-
-    @staticmethod
-    def _find(table: tuple[np.ndarray, np.ndarray], key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Value of each key (0 where it isn't there) and whether it is there."""
-        keys, values = table
-        if not len(keys):
-            return np.zeros(len(key), np.float32), np.zeros(len(key), bool)
-        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-        there = keys[at] == key
-        return np.where(there, values[at], 0), there
-
-    def log_probability(self, slot: int, gram: np.ndarray) -> np.ndarray:
-        """Log probability of the last character of each 4-gram after the others."""
-        out, todo, back = np.empty(len(gram), np.float32), np.arange(len(gram)), np.zeros(len(gram), np.float32)
-        for k in range(_ORDER, 0, -1):
-            own = gram[todo] & ((1 << (_BITS * k)) - 1)
-            value, there = self._find(self.grams[k - 1], _hash(slot, k, own))
-            out[todo[there]] = back[todo[there]] + value[there]
-            todo, own = todo[~there], own[~there]
-            if not len(todo):
-                return out
-            back[todo] += self._find(self.contexts[k - 1], _hash(slot, k, own >> _BITS))[0]
-        out[todo] = back[todo] - np.log(_CLASSES)
-        return out
-
-
-class _Scorer:
-    """Mean negative log probability by document; each different gram is searched for once a language.
-
-    Documents may change their language, so each stretch of ``stretch`` characters counts under whichever language of the
-    list makes it likeliest (of all others' slot only where it is the document's own).
+    """16 bits of a hash of each row's language (null is a language of its own)."""
+    coded = lang.cast(pa.string()).dictionary_encode()
+    each = np.array([xxhash.xxh32_intdigest(v.encode(), 42) % _SLOTS for v in coded.dictionary.to_pylist()] + [0], np.int64)
+    return each[pc.fill_null(coded.indices, len(each) - 1).to_numpy()]
+
+
+def gram_codes(texts: list[bytes], slot: np.ndarray, part: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(text number, key) of the gram that ends at each byte of the texts, about ``part`` bytes at a time, in order."""
+    held, at = [], []
+    size = 0
+
+    def codes() -> tuple[np.ndarray, np.ndarray]:
+        n = np.fromiter((len(t) - (ORDER - 1) for t in held), np.int64, len(held))
+        raw = np.frombuffer(b"".join(held), np.uint8).astype(np.int64)
+        start = np.cumsum(n + ORDER - 1) - n
+        own = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        code = raw[own]
+        for k in range(1, ORDER):
+            code |= raw[own - k] << (_BYTE * k)
+        text = np.repeat(np.array(at, np.int64), n)
+        return text, code | slot[text] << (_BYTE * ORDER)
+
+    pad = bytes([_PAD]) * (ORDER - 1)
+    for i, t in enumerate(texts):
+        for a in range(0, len(t), part):
+            held.append((pad + t[max(0, a - (ORDER - 1)) : a])[-(ORDER - 1) :] + t[a : a + part])
+            at.append(i)
+            size += len(held[-1])
+            if size >= part:
+                yield codes()
+                held, at, size = [], [], 0
+    if held:
+        yield codes()
+
+
+def batches_of(rows: Iterator[pa.RecordBatch], batch_bytes: int, piece_bytes: int = 4 << 20) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
+    """(number, pieces) of batches of about ``batch_bytes`` of text; a batch's number is a hash of its place and content."""
+    held, size, count, digest = [], 0, 0, None
+    for piece in balanced(rows, "text", piece_bytes):
+        if digest is None:
+            digest = xxhash.xxh64(f"{TaskContext.get().partitionId()}:{count}".encode(), 42)
+        held.append(piece)
+        for text in piece.column(1):
+            size += len(text.as_buffer()) if text.is_valid else 0
+            digest.update(text.as_buffer() if text.is_valid else b"\xff")
+        if size >= batch_bytes:
+            yield digest.intdigest() - (1 << 63), held
+            held, size, count, digest = [], 0, count + 1, None
+    if held:
+        yield digest.intdigest() - (1 << 63), held
+
+
+def _content(piece: pa.RecordBatch) -> tuple[list[bytes], np.ndarray]:
+    return pc.fill_null(piece.column(1), "").cast(pa.binary()).to_pylist(), language_slots(piece.column(2))
+
+
+def _distinct(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    key, n = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return key[head], np.add.reduceat(n[order], head)
+
+
+def count_grams(docs: DataFrame, batch_bytes: int = 32 << 20) -> DataFrame:
+    """batch, key and n: the grams of each batch of documents (doc_id, text, lang), each once."""
+
+    def run(rows):
+        for number, pieces in batches_of(rows, batch_bytes):
+            keys, counts = [], []
+            for piece in pieces:
+                for _, code in gram_codes(*_content(piece)):
+                    code.sort()
+                    head = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+                    keys.append(code[head])
+                    counts.append(np.diff(np.append(head, len(code))))
+                    if len(keys) > 8:
+                        keys, counts = ([x] for x in _distinct(keys, counts))
+            if keys:
+                key, n = _distinct(keys, counts)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), number)), pa.array(key), pa.array(n)], ["batch", "key", "n"])
+
+    return docs.mapInArrow(run, "batch long, key long, n long")
+
+
+def discounts(one: Column, two: Column, three: Column, four: Column) -> list[Column]:
+    """Discounts of counts 1, 2, and 3 or more, from how many grams have the counts 1 to 4; fixed ones where some are missing."""
+    y = one / (one + 2 * two)
+    own = [1 - 2 * y * two / one, 2 - 3 * y * three / two, 3 - 4 * y * four / three]
+    whole = (one > 0) & (two > 0) & (three > 0)
+    return [F.when(whole, F.greatest(F.lit(0.0), F.least(d, F.lit(0.95 * (i + 1))))).otherwise(F.lit(plain)) for i, (d, plain) in enumerate(zip(own, (0.5, 0.75, 0.9), strict=True))]
+
+
+def _slot(key: Column, order: int) -> Column:
+    return F.shiftrightunsigned(key, _BYTE * order)
+
+
+def _shorter(key: Column, order: int) -> Column:
+    """Without its first byte, the language kept."""
+    return F.shiftleft(_slot(key, order), _BYTE * (order - 1)).bitwiseOR(key.bitwiseAND((1 << (_BYTE * (order - 1))) - 1))
+
+
+def kneser_ney(counts: DataFrame) -> DataFrame:
+    """key and log_p of every 5-gram, from key and n (each key once): interpolated modified Kneser-Ney.
+
+    Groups are at most 256 grams of one context; the discounts are one row for each of 65,536 language slots at most.
     """
-
-    def __init__(self, model: KneserNey, stretch: int = 128):
-        self.model, self.stretch = model, stretch
-        self.known = np.full((len(LANGUAGES) + 1, 1 << (_BITS * _ORDER)), np.nan, np.float32)
-
-    def __call__(self, texts: list[str], slot: np.ndarray) -> np.ndarray:
-        code, ends = gram_codes(texts)
-        start = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-        n = ends - start
-        count = -(-n // self.stretch)
-        doc = np.repeat(np.arange(len(texts)), count)
-        if not len(doc):
-            return np.full(len(texts), np.nan)
-        first = start[doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)) * self.stretch
-        best = np.full(len(doc), -np.inf)
-        for s, known in enumerate(self.known):
-            if s == len(LANGUAGES) and not (slot == s).any():
-                continue
-            each = known[code]
-            new = np.unique(code[np.isnan(each)])
-            if len(new):
-                known[new] = self.model.log_probability(s, new)
-                each = known[code]
-            total = np.add.reduceat(each, first, dtype=np.float64)
-            best = np.maximum(best, total if s < len(LANGUAGES) else np.where(slot[doc] == s, total, -np.inf))
-        with np.errstate(invalid="ignore"):
-            return np.where(n > 0, -np.bincount(doc, best, len(texts)) / np.maximum(n, 1), np.nan)
+    orders = {ORDER: checkpoint(counts.select("key", F.col("n").cast("double").alias("c")))}
+    for k in range(ORDER - 1, 0, -1):
+        orders[k] = checkpoint(orders[k + 1].groupBy(_shorter(F.col("key"), k + 1).alias("key")).agg(F.count("*").cast("double").alias("c")))
+    lower = None
+    for k in range(1, ORDER + 1):
+        key, c = F.col("key"), F.col("c")
+        of = lambda v: F.sum(F.when(F.col("c") == v, 1.0).otherwise(0.0))
+        cut = orders[k].groupBy(_slot(key, k).alias("slot")).agg(*(of(v).alias(f"m{v}") for v in (1, 2, 3, 4)))
+        cut = cut.select("slot", *(d.alias(f"d{i + 1}") for i, d in enumerate(discounts(*(F.col(f"m{v}") for v in (1, 2, 3, 4))))))
+        rows = orders[k].withColumns({"slot": _slot(key, k), "context": F.shiftrightunsigned(key, _BYTE)}).join(F.broadcast(cut), "slot")
+        own = F.when(c == 1, F.col("d1")).when(c == 2, F.col("d2")).otherwise(F.col("d3"))
+        context = Window.partitionBy("context")
+        rows = rows.withColumn("cut", own).withColumns({"total": F.sum("c").over(context), "back": F.sum("cut").over(context)})
+        if lower is None:
+            rows = rows.withColumn("p_lower", F.lit(1 / 256))
+        else:
+            rows = rows.withColumn("shorter", _shorter(key, k)).join(lower.select(key.alias("shorter"), F.col("p").alias("p_lower")), "shorter")
+        lower = rows.select("key", ((F.col("c") - F.col("cut") + F.col("back") * F.col("p_lower")) / F.col("total")).alias("p"))
+    return lower.select("key", F.log("p").cast("float").alias("log_p"))
+
+
+def log_perplexity(texts: list[bytes], slot: np.ndarray, keys: np.ndarray, log_p: np.ndarray) -> np.ndarray:
+    """Mean negative log probability of a byte of each text (NaN of an empty one); ``keys`` are sorted and hold every gram."""
+    total = np.zeros(len(texts))
+    for text, code in gram_codes(texts, slot):
+        at = np.minimum(np.searchsorted(keys, code), len(keys) - 1)
+        if not len(keys) or (keys[at] != code).any():
+            raise ValueError("the documents changed between counting and scoring")
+        head = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
+        total[text[head]] += np.add.reduceat(log_p[at], head, dtype=np.float64)
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    with np.errstate(invalid="ignore"):
+        return np.where(size > 0, -total / np.maximum(size, 1), np.nan)
 
 
 def base_counts(text: str, span: int = 5) -> tuple[int, int, int, int, int]:
@@ -240,190 +197,68 @@ def base_counts(text: str, span: int = 5) -> tuple[int, int, int, int, int]:
     return n, chars, symbols, len(lines) - len(set(lines)), repeated
 
 
-_UNSPACED = r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]"
-
-
-def word_hashes(texts: pa.Array, bits: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The number of each word among the batch's hashes, these in ascending order, and where each text's words end."""
-    spaced = pc.replace_substring_regex(texts, f"({_UNSPACED})", r" \1 ") if pc.any(pc.match_substring_regex(texts, _UNSPACED)).as_py() else texts
-    words = pc.ascii_split_whitespace(spaced)
-    coded = words.values.dictionary_encode()
-    at, offsets = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), words.offsets.to_numpy()
-    hashes = np.array([int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little") for w in coded.dictionary.to_pylist()], np.uint64)
-    empty = np.array([w == "" for w in coded.dictionary.to_pylist()], bool)  # around leading and trailing space
-    keep = ~empty[at]
-    hashes, rank = np.unique(_short(hashes & ~np.uint64(1), bits), return_inverse=True)
-    return rank[at[keep]], hashes, np.concatenate([[0], np.cumsum(keep)])[offsets[1:] - offsets[0]].astype(np.int64)
-
-
-def word_keys(code: np.ndarray, hashes: np.ndarray, ends: np.ndarray, bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
-    """By word, the key of the word (even) and of the pair with the word before it (odd; a start mark before the first)."""
-    own = hashes[code] if len(code) else np.zeros(0, np.uint64)
-    before = np.concatenate([[np.uint64(0)], own[:-1]]) if len(own) else own
-    first = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-    before[first[first < ends]] = 0
-    pair = before * np.uint64(0x9E3779B97F4A7C15) + own
-    pair ^= pair >> np.uint64(29)
-    pair *= np.uint64(0xBF58476D1CE4E5B9)
-    pair ^= pair >> np.uint64(32)
-    return own, _short(pair | np.uint64(1), bits)
-
-
-def key_bits(chars: int) -> int:
-    """Bits of a key, growing with the corpus: of 2^12 keys about one meets another, whatever the corpus holds."""
-    return min(64, max(24, int(chars).bit_length() + 12))
-
-
-def _short(keys: np.ndarray, bits: int) -> np.ndarray:
-    """The upper bits of keys; the lowest still tells words from pairs."""
-    return keys if bits == 64 else keys >> np.uint64(65 - bits) << np.uint64(1) | keys & np.uint64(1)
-
-
-def _pack(values: np.ndarray) -> bytes:
-    """Byte planes, compressed; the first byte is the width."""
-    width = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
-    return bytes([width]) + zlib.compress(np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes(), 1)
-
-
-def _unpack(blob: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(blob[1:]), np.uint8).reshape(blob[0], -1)
-    out = np.zeros((planes.shape[1], 8), np.uint8)
-    out[:, : blob[0]] = planes.T
-    return out.reshape(-1).view("<u8").astype(np.int64)
+_RAW = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, slot int, n_bytes long, log_perplexity double"
 
 
-def pack_keys(keys: np.ndarray, space: int) -> bytes:
-    """Ascending numbers below 2^space: their lower bits side by side, the upper ones in unary (Elias and Fano)."""
-    low = max(0, space - max(1, len(keys).bit_length() - 1))
-    ones = np.zeros((int(keys[-1]) >> low) + len(keys), np.uint8)
-    ones[(keys >> np.uint64(low)).astype(np.int64) + np.arange(len(keys))] = 1
-    bits = np.unpackbits(keys.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)[:, 64 - low :]
-    return np.array([len(keys), low], "<u4").tobytes() + np.packbits(bits).tobytes() + np.packbits(ones).tobytes()
-
-
-def unpack_keys(blob: bytes) -> np.ndarray:
-    n, low = (int(x) for x in np.frombuffer(blob[:8], "<u4"))
-    cut = 8 + -(-n * low // 8)
-    bits = np.zeros((n, 64), np.uint8)
-    bits[:, 64 - low :] = np.unpackbits(np.frombuffer(blob[8:cut], np.uint8), count=n * low).reshape(n, low)
-    high = np.flatnonzero(np.unpackbits(np.frombuffer(blob[cut:], np.uint8)))[:n] - np.arange(n)
-    return np.packbits(bits, axis=1).reshape(-1).view(">u8").astype(np.uint64) | high.astype(np.uint64) << np.uint64(low)
-
-
-def _hashes(blob: bytes) -> np.ndarray:
-    return unpack_keys(blob) if blob else np.zeros(0, np.uint64)
-
-
-def asked(code: np.ndarray, hashes: np.ndarray, ends: np.ndarray, bits: int, part_bits: int) -> list[tuple[int, bytes, bytes]]:
-    """Range, sorted different keys and their counts in a batch, for each range of the hash space that holds any."""
-    keys, n = np.unique(np.concatenate(word_keys(code, hashes, ends, bits)), return_counts=True)
-    space = bits - part_bits
-    part = (keys >> np.uint64(space)).astype(np.int64)
-    keys &= np.uint64((1 << space) - 1)
-    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(keys)]
-    return [(int(part[a]), pack_keys(keys[a:b], space), _pack(n[a:b])) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
-
-
-def answer(keys: list[np.ndarray], n: list[np.ndarray]) -> list[np.ndarray]:
-    """Of one range, the counts of the keys of each batch in the rest of the corpus, in their order."""
-    known, at = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(at, np.concatenate(n).astype(np.float64), len(known)).astype(np.int64)
-    return [total[k] - own for k, own in zip(np.split(at, np.cumsum([len(k) for k in keys])[:-1]), n, strict=True)]
-
-
-def word_scores(code: np.ndarray, hashes: np.ndarray, ends: np.ndarray, elsewhere: np.ndarray, bits: int, words: int, weight: float) -> np.ndarray:
-    """Mean negative log probability of each text's words, its own counts taken off.
-
-    ``elsewhere``: by sorted key of the batch, its count in the other batches. Pairs are smoothed by ``weight`` times the
-    probability of the word alone, and words by one count, for which each running word sets one count aside.
-    """
-    start = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-    n = ends - start
-    doc = np.repeat(np.arange(len(ends)), n)
-
-    keys, at, here = np.unique(np.concatenate(word_keys(code, hashes, ends, bits)), return_inverse=True, return_counts=True)
-    total = (elsewhere + here).astype(np.float64)
-
-    def rest(at):
-        _, back, own = np.unique(doc * len(keys) + at, return_inverse=True, return_counts=True)
-        return total[at] - own[back]
-
-    one, two = rest(at[: len(code)]), rest(at[len(code) :])
-    context = np.concatenate([[0.0], one[:-1]]) if len(one) else one
-    context[start[n > 0]] = 0.0
-    two[start[n > 0]] = 0.0  # a text's first word is scored alone
-    alone = (one + 1) / (2 * (words - n[doc]) + 1)
-    log = np.log((two + weight * alone) / (context + weight))
-    with np.errstate(invalid="ignore"):
-        return np.where(n > 0, -np.bincount(doc, log, len(ends)) / np.maximum(n, 1), np.nan)
-
-
-_RAW = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, slot int, n_chars long, log_perplexity double"
-
-
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", reach: float = 4.0, least: float = 0.012, short: float = 1.0, batch_bytes: int = 4 << 20, word_reach: float = 2.5, word_least: float = 0.1, word_short: float = 6.0, weight: float = 20.0, part_bits: int = 8) -> DataFrame:
-    """Base counts, base_failed, log_perplexity, its band (low, high), kept, and the words' log perplexity and its upper end.
+def scored(docs: DataFrame, asked: DataFrame, model: DataFrame, batch_bytes: int) -> DataFrame:
+    """Base counts and log perplexity of each document; each batch meets the part of the model that it asked for."""
+    names = [x.split()[0] for x in _RAW.split(", ")]
 
+    def pack(rows):
+        zip_ = zstandard.ZstdCompressor(level=3)
+        for number, pieces in batches_of(rows, batch_bytes):
+            for i, piece in enumerate(pieces):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, piece.schema) as writer:
+                    writer.write_batch(piece)
+                yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([i]), pa.array([zip_.compress(sink.getvalue())])], ["batch", "piece", "docs"])
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        keys, log_p = (right.column(c).to_numpy() for c in ("key", "log_p"))
+        order = np.argsort(keys)
+        keys, log_p = keys[order], log_p[order]
+        out, unzip = [], zstandard.ZstdDecompressor()
+        for blob in left.sort_by("piece").column("docs"):
+            for piece in pa.ipc.open_stream(unzip.decompress(blob.as_buffer())):
+                texts, slot = _content(piece)
+                value = log_perplexity(texts, slot, keys, log_p)
+                plain = [t.decode() for t in texts]
+                base = np.array(list(map(base_counts, plain)), np.int64).reshape(-1, 5)
+                failed = (base[:, 0] < 10) | (100 * base[:, 4] > 20 * base[:, 0])
+                out.append(pa.RecordBatch.from_arrays([piece.column(0), *(pa.array(base[:, k]) for k in range(5)), pa.array(failed), pa.array(slot.astype(np.int32)), pa.array(np.fromiter(map(len, texts), np.int64, len(texts))), pa.array(value, mask=np.isnan(value))], names))
+        return pa.Table.from_batches(out)
+
+    blobs = docs.mapInArrow(pack, "batch long, piece long, docs binary")
+    answers = asked.join(model, "key").select("batch", "key", "log_p")
+    return blobs.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(score, _RAW)
+
+
+def bands(rows: DataFrame, column: str) -> DataFrame:
+    """slot and the exact quartiles of a column (rounded to 1e-4, so there are no more values than that allows) as an array."""
+    seen = rows.where("not base_failed").groupBy("slot", F.round(column, 4).alias("v")).agg(F.count("*").alias("n"))
+    return seen.groupBy("slot").agg(F.percentile("v", [0.25, 0.5, 0.75], F.col("n")).alias(f"q_{column}"))
+
+
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", reach: float = 4.0, least: tuple[float, float] = (0.012, 0.05), short: tuple[float, float] = (1.0, 3.0), batch_bytes: int = 32 << 20) -> DataFrame:
+    """Base counts, base_failed, log perplexity by byte and by word with their bands, and kept of each row.
+
+    The mean is taken over bytes and over words, as signs that are easy to guess lower the first and raise the second.
     A band reaches from the language's median ``reach`` times the distance of the quartile (``least`` at least) plus
-    ``short`` over the root of the text's length to either side; only rows that pass the base rules shape it. Null and
-    empty texts have no words, fail the base rules and have a null perplexity. Null ids stay; unknown and null languages
-    share a model and a band; repeated rows get repeated results; other columns are not read. Texts are read whole.
-    The word rule is one-sided and has its own reach, least and short (over the root of the number of words).
+    ``short`` over the root of the number of bytes (or words) to either side; only rows that pass the base rules shape
+    it. Null and empty texts have no words, fail the base rules and have null perplexities. Null ids stay; a null language
+    is a language; languages share a model and a band where 16 bits of their hashes meet; repeated rows get repeated
+    results; other columns are not read; an empty table gives no row. Texts are read whole.
     """
-    counts = count_grams(docs, text_col, lang_col).toArrow()
-    model = KneserNey.estimate(*(counts.column(k).to_numpy() for k in ("slot", "gram", "n")))
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    bits = key_bits(pc.sum(counts.column("n")).as_py() or 0)
-    names = [x.split()[0] for x in _RAW.split(", ")]
-
-    def run(batches):
-        scorer, number = _Scorer(sent.value), TaskContext.get().partitionId() << 40
-        for batch in balanced(batches, "text", batch_bytes):
-            filled = pc.fill_null(batch.column(1), "")
-            texts, slot = filled.to_pylist(), language_slots(batch.column(2))
-            base = np.array([base_counts(t) for t in texts], np.int64).reshape(-1, 5)
-            failed = (base[:, 0] < 10) | (100 * base[:, 4] > 20 * base[:, 0])
-            score = scorer(texts, slot)
-            out = pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(base[:, k]) for k in range(5)), pa.array(failed), pa.array(slot.astype(np.int32)), pa.array(np.fromiter(map(len, texts), np.int64, len(texts))), pa.array(score, mask=np.isnan(score))], names)
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, out.schema) as writer:
-                writer.write_batch(out)
-            code, hashes, ends = word_hashes(filled, bits)
-            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([zlib.compress(sink.getvalue(), 1)]), pa.array([_pack(code)]), pa.array([pack_keys(hashes, bits) if len(hashes) else b""], pa.binary()), pa.array([_pack(ends)]), pa.array([len(code)])], ["batch", "rows", "code", "hashes", "ends", "words"])
-            number += 1
-
-    def ask(batches):
-        for batch in batches:
-            for r in batch.to_pylist():
-                found = asked(_unpack(r["code"]), _hashes(r["hashes"]), _unpack(r["ends"]), bits, part_bits)
-                yield pa.RecordBatch.from_arrays([pa.array([p for p, _, _ in found], pa.int32()), pa.array([r["batch"]] * len(found), pa.int64()), pa.array([k for _, k, _ in found], pa.binary()), pa.array([n for _, _, n in found], pa.binary())], ["part", "batch", "keys", "n"])
-
-    def add_up(table: pa.Table) -> pa.Table:
-        found = answer(*([f(x) for x in table.column(c).to_pylist()] for c, f in (("keys", unpack_keys), ("n", _unpack))))
-        return pa.table({"part": table.column("part"), "batch": table.column("batch"), "elsewhere": pa.array(list(map(_pack, found)), pa.binary())})
-
-    def score_words(left: pa.Table, right: pa.Table) -> pa.Table:
-        r = left.to_pylist()[0]
-        out = pa.ipc.open_stream(zlib.decompress(r["rows"])).read_all()
-        found = list(map(_unpack, right.sort_by("part").column("elsewhere").to_pylist()))
-        elsewhere = np.concatenate(found) if found else np.zeros(0, np.int64)
-        score = word_scores(_unpack(r["code"]), _hashes(r["hashes"]), _unpack(r["ends"]), elsewhere, bits, words, weight)
-        return out.append_column("word_log_perplexity", pa.array(score, mask=np.isnan(score)))
-
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    blobs = checkpoint(picked.mapInArrow(run, "batch long, rows binary, code binary, hashes binary, ends binary, words long"))
-    words = blobs.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
-    found = blobs.select("batch", "code", "hashes", "ends").mapInArrow(ask, "part int, batch long, keys binary, n binary").groupBy("part").applyInArrow(add_up, "part int, batch long, elsewhere binary")
-    rows = checkpoint(blobs.groupBy("batch").cogroup(found.groupBy("batch")).applyInArrow(score_words, f"{_RAW}, word_log_perplexity double"))
-    bands = rows.where("not base_failed").groupBy("slot").agg(F.percentile_approx("log_perplexity", [0.25, 0.5, 0.75], 10_000).alias("q"), F.percentile_approx("word_log_perplexity", [0.5, 0.75], 10_000).alias("w")).collect()
-    literal = word_literal = F.lit(None).cast("array<double>")
-    for b in bands:  # one for each slot of the fixed list of languages at most
-        literal = F.when(F.col("slot") == b.slot, F.array(*map(F.lit, b.q))).otherwise(literal)
-        word_literal = F.when(F.col("slot") == b.slot, F.array(*map(F.lit, b.w))).otherwise(word_literal)
-    q = rows.withColumns({"q": literal, "w": word_literal})
-    noise = F.lit(short) / F.sqrt(F.greatest("n_chars", F.lit(1)))
-    low = F.col("q")[1] - reach * F.greatest(F.col("q")[1] - F.col("q")[0], F.lit(least)) - noise
-    high = F.col("q")[1] + reach * F.greatest(F.col("q")[2] - F.col("q")[1], F.lit(least)) + noise
-    word_high = F.col("w")[0] + word_reach * F.greatest(F.col("w")[1] - F.col("w")[0], F.lit(word_least)) + F.lit(word_short) / F.sqrt(F.greatest("n_words", F.lit(1)))
-    kept = ~F.col("base_failed") & F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")) & (F.col("word_log_perplexity") <= F.col("word_high")), F.lit(False))
-    return q.withColumns({"low": low, "high": high, "word_high": word_high}).withColumn("kept", kept).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "log_perplexity", "low", "high", "kept", "word_log_perplexity", "word_high")
+    asked = checkpoint(count_grams(picked, batch_bytes))
+    model = kneser_ney(asked.groupBy("key").agg(F.sum("n").alias("n")))
+    rows = scored(picked, asked.select("batch", "key"), model, batch_bytes)
+    rows = checkpoint(rows.withColumn("word_log_perplexity", F.when(F.col("n_words") > 0, F.col("log_perplexity") * F.col("n_bytes") / F.col("n_words"))))
+    out, kept = rows, ~F.col("base_failed")
+    for column, length, prefix, floor, noise in zip(("log_perplexity", "word_log_perplexity"), ("n_bytes", "n_words"), ("", "word_"), least, short, strict=True):
+        out = out.join(F.broadcast(bands(rows, column)), "slot", "left")  # at most 65,536 slots
+        q, wide = F.col(f"q_{column}"), F.lit(noise) / F.sqrt(F.greatest(length, F.lit(1)))
+        low, high = (q[1] - reach * F.greatest(q[1] - q[0], F.lit(floor)) - wide, q[1] + reach * F.greatest(q[2] - q[1], F.lit(floor)) + wide)
+        out = out.withColumns({f"{prefix}low": low, f"{prefix}high": high})
+        kept = kept & F.coalesce(F.col(column).between(F.col(f"{prefix}low"), F.col(f"{prefix}high")), F.lit(False))
+    return out.withColumn("kept", kept).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "log_perplexity", "low", "high", "word_log_perplexity", "word_low", "word_high", "kept")
