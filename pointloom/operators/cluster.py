@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,61 +10,55 @@ from pointloom.operators.neighbors import ball_query, within
 from pointloom.operators.ordering import with_sum_before
 from pointloom.sources.frames import points as as_points
 
+_SALTS = 16
 
-def components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 100) -> DataFrame:
-    """(node, root) with the smallest node reachable over the undirected edges (a, b).
 
-    Each round takes the least label among neighbours and then follows labels once (pointer jumping), until nothing changes.
+def least_reaching(nodes: DataFrame, edges: DataFrame, most_rounds: int = 100) -> DataFrame:
+    """(node, root) with the smallest node from which the node is reachable along the edges (a to b), itself included.
+
+    Each round hands labels on along the edges of the nodes whose label fell, and then follows labels once (pointer
+    jumping), until nothing changes. Edges are dealt out once; where labels are followed, only roots whose own label
+    fell are joined, each to as many salts, so that a root with many members isn't one task's work.
     """
-    both = checkpoint(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
+    parts = max(1, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    out = checkpoint(edges.where("a <> b").select("a", "b").repartition(parts, "a"))
     labels = checkpoint(nodes.select("node", F.col("node").alias("root")))
+    fell = labels
     for _ in range(most_rounds):
-        least = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("root").alias("near"))
-        step = checkpoint(labels.join(least, F.col("node") == F.col("a"), "left").select("node", F.least("root", F.coalesce("near", "root")).alias("root"), F.col("root").alias("was")))
-        jump = step.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        after = checkpoint(step.join(jump, "root").select("node", F.col("next").alias("root"), "was"))
-        labels = after.select("node", "root")
-        if after.where("root <> was").isEmpty():
+        least = out.join(fell.select(F.col("node").alias("a"), "root"), "a").groupBy(F.col("b").alias("node")).agg(F.min("root").alias("near"))
+        step = checkpoint(labels.join(least, "node", "left").select("node", F.least("root", F.coalesce("near", "root")).alias("root"), F.col("root").alias("was")))
+        heads = step.groupBy("root").agg(F.lit(1).alias("there"))
+        moved = heads.join(step.where("node <> root").select(F.col("node").alias("root"), F.col("root").alias("next")), "root").select("root", "next", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt"))
+        after = step.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(_SALTS)).cast("int")).join(moved, ["root", "salt"], "left")
+        after = checkpoint(after.select("node", F.coalesce("next", "root").alias("root"), "was"))
+        labels, fell = after.select("node", "root"), after.where("root <> was").select("node", "root")
+        if fell.isEmpty():
             return labels
-    raise RuntimeError("the components don't settle")
+    raise RuntimeError("the labels don't settle")
+
+
+def components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 100) -> DataFrame:
+    """(node, root) with the smallest node reachable over the undirected edges (a, b)."""
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    return least_reaching(nodes, both, most_rounds)
 
 
 def _grown(part: DataFrame, keys: list[str], nsample: int | None, radius: float, bound: str) -> DataFrame:
-    """keys, point_id, seed (smallest point of the cluster) with clouds told apart by ``keys``."""
+    """keys, point_id, seed (smallest point of the cluster) with clouds told apart by ``keys``.
+
+    Growth from ascending seeds leaves each point to the smallest point that reaches it along the lists: had a smaller
+    seed taken any point on the way, it would have gone on to this one. So both kinds are least labels along edges.
+    """
     one = part.withColumn("cloud_id", F.struct(*keys)) if keys != ["cloud_id"] else part
     q = one.withColumnRenamed("point_id", "query_id")
-    if nsample is None:
-        edges = within(one, q, radius, bound).select(F.struct("cloud_id", "query_id").alias("a"), F.struct("cloud_id", F.col("point_id").alias("query_id")).alias("b"))
-        nodes = one.select(F.struct("cloud_id", F.col("point_id").alias("query_id")).alias("node"))
-        found = components(nodes, edges).select(F.col("node.cloud_id").alias("cloud_id"), F.col("node.query_id").alias("point_id"), F.col("root.query_id").alias("seed"))
-    else:
-        lists = ball_query(one, q, radius, nsample, bound=bound).groupBy("cloud_id", "query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "point_id"))).alias("h"))
-        lists = one.select("cloud_id", F.col("point_id").alias("query_id")).join(lists, ["cloud_id", "query_id"], "left")
-        flat = lists.select("cloud_id", "query_id", F.coalesce(F.transform("h", lambda x: x["point_id"]), F.array().cast("array<bigint>")).alias("next"))
-        kind = dict(flat.dtypes)["cloud_id"]
-        found = flat.withColumn("key", F.to_json(F.struct("cloud_id"))).groupBy("key").applyInPandas(_walk, "key string, point_id long, seed long")
-        found = found.withColumn("cloud_id", F.from_json("key", f"struct<cloud_id:{kind}>")["cloud_id"]).drop("key")
+    near = within(one, q, radius, bound) if nsample is None else ball_query(one, q, radius, nsample, bound=bound)
+    edges = near.select(F.struct("cloud_id", "query_id").alias("a"), F.struct("cloud_id", F.col("point_id").alias("query_id")).alias("b"))
+    nodes = one.select(F.struct("cloud_id", F.col("point_id").alias("query_id")).alias("node")).distinct()
+    # within a radius a point is its neighbour's neighbour, so uncapped edges stand there in both directions
+    found = least_reaching(nodes, edges).select(F.col("node.cloud_id").alias("cloud_id"), F.col("node.query_id").alias("point_id"), F.col("root.query_id").alias("seed"))
     return found if keys == ["cloud_id"] else found.select(*(F.col(f"cloud_id.{k}").alias(k) for k in keys), "point_id", "seed")
 
 
-def _walk(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Forward reachability from ascending seeds; what an earlier seed reached stays with it."""
-    pdf = pdf.sort_values("query_id")
-    ids = pdf["query_id"].to_numpy()
-    lists = [np.searchsorted(ids, np.asarray(x, ids.dtype)) for x in pdf["next"]]
-    seed = np.full(len(ids), -1)
-    for i in range(len(ids)):
-        if seed[i] >= 0:
-            continue
-        seed[i], open_ = i, [i]
-        while open_:
-            for j in lists[open_.pop()]:
-                if seed[j] < 0:
-                    seed[j] = i
-                    open_.append(j)
-    return pd.DataFrame({"key": pdf["key"].iloc[0], "point_id": ids, "seed": ids[seed]})
-
-
 def _numbered(found: DataFrame, group: list[str], order: list[str], least: int) -> DataFrame:
     """Clusters of at least ``least`` members, numbered from 0 in the given order; numbers are made from one row a cluster."""
     found = checkpoint(found)  # read twice below
@@ -80,6 +72,7 @@ def grow_proximity(points: DataFrame, nsample: int | None = 16, radius: float =
 
     With ``nsample`` each point lists its nearest neighbours only, and growth follows the lists from ascending seeds;
     with None all neighbours count and clusters are connected components. Clusters are numbered by cloud and seed.
+    Points without finite coordinates belong to none; a repeated point_id of a cloud is one point; no points, no rows.
     """
     found = _grown(as_points(points), ["cloud_id"], nsample, radius, bound)
     return _numbered(found, ["cloud_id", "seed"], ["cloud_id", "seed"], min_cluster_size).select("cluster_id", "cloud_id", "point_id")

@@ -16,9 +16,8 @@ def _rounded(df, *columns):
 
 
 def _split(spark, d):
-    """Support points and queries: a fifth of the points of each cloud asks for neighbours among the rest."""
-    p = frames.embedding_points(spark, d)
-    return p.where("point_id % 5 <> 0"), p.where("point_id % 5 = 0").withColumnRenamed("point_id", "query_id")
+    """Support points and queries: every point of the first three dimensions, asked for by every point of the next three."""
+    return frames.embedding_points(spark, d), frames.embedding_points(spark, d, first=3).withColumnRenamed("point_id", "query_id")
 
 
 def _ball(**how):
@@ -59,6 +58,11 @@ def _labelled(spark, d):
     return frames.embedding_points(spark, d).withColumn("label", F.col("point_id") % 2)
 
 
+def _scaled(spark, d):
+    """Clouds small enough for the default radius."""
+    return frames.embedding_points(spark, d).withColumns({c: F.col(c) / 10 for c in "xyz"})
+
+
 def _iou(eps):
     def run(spark, d):
         p = frames.embedding_points(spark, d).select("cloud_id", "point_id")
@@ -68,8 +72,8 @@ def _iou(eps):
 
 
 def _sides(spark, d):
-    p = frames.embedding_points(spark, d)
-    return p.where("point_id % 2 = 0"), p.where("point_id % 2 = 1")
+    """Two clouds of each label: all points of the first three dimensions and of the next three."""
+    return frames.embedding_points(spark, d), frames.embedding_points(spark, d, first=3)
 
 
 def _voxels(spark, d):
@@ -104,7 +108,7 @@ QUERIES = {
     "ball_single_cloud": lambda spark, d: neighbors.ball_query(*(x.withColumn("cloud_id", F.lit(0).cast("long")) for x in _split(spark, d)), radius=0.1, nsample=8),
     "knn_k5": lambda spark, d: neighbors.knn(*_split(spark, d), 5),
     "knn_cells": lambda spark, d: neighbors.knn(*_split(spark, d), 5, small=0),
-    "knn_events": lambda spark, d: neighbors.knn(*(x if i == 0 else x.withColumnRenamed("point_id", "query_id") for i, x in enumerate((frames.event_points(spark, d), frames.event_points(spark, d).where("point_id % 10 = 0")))), 3),
+    "knn_events": lambda spark, d: neighbors.knn(frames.event_points(spark, d), frames.event_points(spark, d).withColumnRenamed("point_id", "query_id"), 3),
     "three_nn": lambda spark, d: neighbors.three_nn(*reversed(_split(spark, d))),
     "idw_weights": lambda spark, d: _rounded(_weights(spark, d), "weight"),
     "three_interpolate": lambda spark, d: _rounded(_interpolated(spark, d), "value"),
@@ -117,6 +121,8 @@ QUERIES = {
     "region_grow": lambda spark, d: cluster.region_grow(_labelled(spark, d), (), None, 0.12, 1),
     "region_grow_ignore": lambda spark, d: cluster.region_grow(_labelled(spark, d), (1,), None, 0.15, 3),
     "region_grow_capped": lambda spark, d: cluster.region_grow(_labelled(spark, d), (), 4, 0.15, 2),
+    "grow_proximity_capped": lambda spark, d: cluster.grow_proximity(frames.embedding_points(spark, d), 3, 0.15, 2),
+    "grow_proximity_default": lambda spark, d: cluster.grow_proximity(_scaled(spark, d), min_cluster_size=2),
     "instance_iou": lambda spark, d: _rounded(_iou(0.0)(spark, d), "iou"),
     "instance_iou_eps": lambda spark, d: _rounded(_iou(1e-5)(spark, d), "iou"),
     "chamfer": lambda spark, d: _rounded(metrics.chamfer_dist(*_sides(spark, d)), "chamfer"),
@@ -135,11 +141,12 @@ QUERIES = {
     "cubic_grad": _cubic_grad,
     "degree": lambda spark, d: neighbors.degree(frames.event_points(spark, d)),
     "batch_offsets": lambda spark, d: neighbors.batch_offsets(frames.event_points(spark, d)),
-    "dense_batch_ids": lambda spark, d: neighbors.dense_cloud_ids(frames.event_points(spark, d).where("cloud_id % 3 <> 1")),
+    "dense_batch_ids": lambda spark, d: neighbors.dense_cloud_ids(frames.event_points(spark, d).withColumn("cloud_id", F.col("cloud_id") * 3 + 1)),
 }
 
 _P = "p AS (SELECT CAST(label AS BIGINT) AS cloud_id, vec_id AS point_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z FROM embeddings)"
-_S = _P + ", s AS (SELECT * FROM p WHERE point_id % 5 <> 0), q AS (SELECT cloud_id, point_id AS query_id, x, y, z FROM p WHERE point_id % 5 = 0)"
+_P2 = _P.replace("p AS", "p2 AS").replace("[3]", "[6]").replace("[2]", "[5]").replace("[1]", "[4]")
+_S = f"{_P}, {_P2}, s AS (SELECT * FROM p), q AS (SELECT cloud_id, point_id AS query_id, x, y, z FROM p2)"
 _E = "e AS (SELECT CAST(user_id AS BIGINT) AS cloud_id, event_id AS point_id, CAST(value / 600 AS DOUBLE) AS x, hour(ts) / CAST(24 AS DOUBLE) AS y, CAST(json_extract_string(props, '$.k') AS DOUBLE) / 100 AS z FROM events)"
 _F = "f AS (SELECT CAST(label AS BIGINT) AS cloud_id, vec_id AS point_id, CAST(c AS BIGINT) AS channel, CAST(embedding[c + 4] AS DOUBLE) AS value FROM embeddings, range(8) AS r(c))"
 
@@ -194,13 +201,15 @@ def _fps_sql(picks: int, skip: bool) -> str:
 SELECT DISTINCT cloud_id, CAST(step AS BIGINT) AS rank, sel AS point_id FROM t"""
 
 
-def _grow_sql(radius: float, least: int, ignore: str = "FALSE", label: str = "point_id % 2", with_label: bool = True) -> str:
+def _grow_sql(radius: float, least: int, ignore: str = "FALSE", label: str = "point_id % 2", with_label: bool = True, most: int | None = None, points: str = "p") -> str:
     order = "label, seed, cloud_id" if with_label else "cloud_id, seed"
     names = "cluster_id, label, cloud_id, point_id" if with_label else "cluster_id, cloud_id, point_id"
-    return f"""WITH RECURSIVE {_P}, l AS (SELECT *, {label} AS label FROM p WHERE NOT ({ignore})),
-edge AS (SELECT a.point_id AS a, b.point_id AS b FROM l a JOIN l b ON a.cloud_id = b.cloud_id AND a.label = b.label WHERE {_d2('a', 'b')} < {_double(radius * radius)}),
+    nearest = f"row_number() OVER (PARTITION BY a.point_id ORDER BY {_d2('a', 'b')}, b.point_id)"
+    capped = "" if most is None else f" QUALIFY {nearest} <= {most}"
+    return f"""WITH RECURSIVE {_P}, l AS (SELECT *, {label} AS label FROM {points} WHERE NOT ({ignore})),
+edge AS (SELECT a.point_id AS a, b.point_id AS b FROM l a JOIN l b ON a.cloud_id = b.cloud_id AND a.label = b.label WHERE {_d2('a', 'b')} < {_double(radius * radius)}{capped}),
 reach AS (SELECT point_id AS a, point_id AS b FROM l UNION SELECT r.a, e.b FROM reach r JOIN edge e ON r.b = e.a),
-c AS (SELECT a AS point_id, min(b) AS seed FROM reach GROUP BY a),
+c AS (SELECT b AS point_id, min(a) AS seed FROM reach GROUP BY b),
 m AS (SELECT l.label, l.cloud_id, l.point_id, c.seed, count(*) OVER (PARTITION BY c.seed) AS n FROM l JOIN c USING (point_id))
 SELECT {names} FROM (SELECT CAST(dense_rank() OVER (ORDER BY {order}) - 1 AS BIGINT) AS cluster_id, label, cloud_id, point_id FROM m WHERE n >= {least})"""
 
@@ -217,13 +226,13 @@ SELECT ps.proposal_id, sp.gt_col, ps.cloud_id, sp.instance_id, {_round(f'CASE WH
 FROM ps JOIN sp USING (cloud_id) LEFT JOIN gs ON gs.cloud_id = sp.cloud_id AND gs.instance_id = sp.instance_id LEFT JOIN sh ON sh.proposal_id = ps.proposal_id AND sh.instance_id = sp.instance_id"""
 
 
-def _chamfer_cte(a: str = "SELECT * FROM p WHERE point_id % 2 = 0", b: str = "SELECT * FROM p WHERE point_id % 2 = 1") -> str:
+def _chamfer_cte(a: str = "SELECT * FROM p", b: str = "SELECT * FROM p2") -> str:
     one = lambda side, u, v: f"SELECT {side} AS side, {u}.cloud_id, {u}.point_id, {v}.point_id AS match_id, {_d2(u, v)} AS dist2, row_number() OVER (PARTITION BY {u}.cloud_id, {u}.point_id ORDER BY {_d2(u, v)}, {v}.point_id) AS rn FROM {u} JOIN {v} USING (cloud_id)"
-    return f"{_P}, a AS ({a}), b AS ({b}), cp AS (SELECT CAST(side AS BIGINT) AS side, cloud_id, point_id, match_id, dist2 FROM ({one(1, 'a', 'b')} UNION ALL {one(2, 'b', 'a')}) WHERE rn = 1)"
+    return f"{_P}, {_P2}, a AS ({a}), b AS ({b}), cp AS (SELECT CAST(side AS BIGINT) AS side, cloud_id, point_id, match_id, dist2 FROM ({one(1, 'a', 'b')} UNION ALL {one(2, 'b', 'a')}) WHERE rn = 1)"
 
 
 _CHAMFER = "avg(CASE WHEN side = 1 THEN dist2 END) + avg(CASE WHEN side = 2 THEN dist2 END)"
-_ZEROED = "SELECT * FROM (SELECT cloud_id, point_id, x, y, CASE WHEN point_id % 9 < 2 THEN -x - y ELSE z END AS z FROM p WHERE point_id % 2 = {}) WHERE x + y + z <> 0"
+_ZEROED = "SELECT * FROM (SELECT cloud_id, point_id, x, y, CASE WHEN point_id % 9 < 2 THEN -x - y ELSE z END AS z FROM {}) WHERE x + y + z <> 0"
 
 
 def _corner_cte(scale: int) -> str:
@@ -266,7 +275,7 @@ ORACLES = {
     "ball_single_cloud": _ball_sql(0.1, on="ON TRUE", cloud="CAST(0 AS BIGINT)"),
     "knn_k5": _KNN,
     "knn_cells": _KNN,
-    "knn_events": f"WITH {_E}, h AS (SELECT q.cloud_id, q.point_id AS query_id, s.point_id, {_d2('q', 's')} AS dist2 FROM e q JOIN e s USING (cloud_id) WHERE q.point_id % 10 = 0) {_rank('h', 'dist2, point_id', 3)}",
+    "knn_events": f"WITH {_E}, h AS (SELECT q.cloud_id, q.point_id AS query_id, s.point_id, {_d2('q', 's')} AS dist2 FROM e q JOIN e s USING (cloud_id)) {_rank('h', 'dist2, point_id', 3)}",
     "three_nn": f"WITH {_S}, {_ALL}, n AS ({_rank('h', 'dist2, point_id', 3)}) SELECT cloud_id, query_id, rank, point_id, sqrt(dist2) AS dist FROM n",
     "idw_weights": f"WITH {_W3} SELECT cloud_id, query_id, rank, point_id, {_round('weight')} AS weight FROM w",
     "three_interpolate": f"WITH {_W3}, {_F} SELECT w.cloud_id, w.query_id, f.channel, {_round('sum(f.value * w.weight)')} AS value FROM w JOIN f USING (cloud_id, point_id) GROUP BY ALL",
@@ -278,11 +287,14 @@ ORACLES = {
     "grow_proximity": _grow_sql(0.12, 2, label="0", with_label=False),
     "region_grow": _grow_sql(0.12, 1),
     "region_grow_ignore": _grow_sql(0.15, 3, ignore="point_id % 2 = 1"),
+    "region_grow_capped": _grow_sql(0.15, 2, most=4),
+    "grow_proximity_capped": _grow_sql(0.15, 2, label="0", with_label=False, most=3),
+    "grow_proximity_default": _grow_sql(0.02, 2, label="0", with_label=False, most=16, points="(SELECT cloud_id, point_id, x / CAST(10 AS DOUBLE) AS x, y / CAST(10 AS DOUBLE) AS y, z / CAST(10 AS DOUBLE) AS z FROM p)"),
     "instance_iou": _iou_sql(0.0),
     "instance_iou_eps": _iou_sql(1e-5),
     "chamfer": f"WITH {_chamfer_cte()} SELECT {_round(_CHAMFER)} AS chamfer FROM cp",
     "chamfer_clouds": f"WITH {_chamfer_cte()} SELECT cloud_id, {_round(_CHAMFER)} AS chamfer FROM cp GROUP BY cloud_id",
-    "chamfer_ignore_zeros": f"WITH {_chamfer_cte(_ZEROED.format(0), _ZEROED.format(1))} SELECT {_round(_CHAMFER)} AS chamfer FROM cp",
+    "chamfer_ignore_zeros": f"WITH {_chamfer_cte(_ZEROED.format('p'), _ZEROED.format('p2'))} SELECT {_round(_CHAMFER)} AS chamfer FROM cp",
     "chamfer_points": f"WITH {_chamfer_cte()} SELECT * FROM cp",
     "chamfer_grad": f"WITH {_chamfer_cte()}, g AS (SELECT side, 1 / CAST(count(*) AS DOUBLE) AS g FROM cp GROUP BY side), t AS (SELECT CAST(1 AS BIGINT) AS side, * FROM a UNION ALL SELECT 2, * FROM b), u AS (SELECT cp.side, cp.cloud_id, cp.point_id, cp.match_id, {', '.join(f'2 * g.g * (o.{c} - m.{c}) AS g{c}' for c in 'xyz')} FROM cp JOIN g USING (side) JOIN t o ON o.side = cp.side AND o.cloud_id = cp.cloud_id AND o.point_id = cp.point_id JOIN t m ON m.side = 3 - cp.side AND m.cloud_id = cp.cloud_id AND m.point_id = cp.match_id), v AS (SELECT side, cloud_id, point_id, gx, gy, gz FROM u UNION ALL SELECT 3 - side, cloud_id, match_id, -gx, -gy, -gz FROM u) SELECT side, cloud_id, point_id, {', '.join(_round(f'sum(g{c})') + f' AS g{c}' for c in 'xyz')} FROM v GROUP BY side, cloud_id, point_id",
     "zero_point_filter": f"WITH {_P}, m AS (SELECT cloud_id, point_id, x, y, CASE WHEN point_id % 3 = 0 THEN CAST(0 AS DOUBLE) - (x + y) ELSE z END AS z FROM p) SELECT * FROM m WHERE x + y + z <> 0",
@@ -296,5 +308,5 @@ ORACLES = {
     "cubic_grad": f"WITH {_cubic_cte(1)} SELECT cloud_id, vertex, CAST(0 AS BIGINT) AS channel, CAST(sum(point_id % 5 + slot) AS DOUBLE) AS grad FROM cv WHERE vertex >= 0 GROUP BY cloud_id, vertex",
     "degree": f"WITH {_E} SELECT cloud_id, count(*) AS degree FROM e GROUP BY cloud_id",
     "batch_offsets": f"WITH {_E}, d AS (SELECT cloud_id, count(*) AS degree FROM e GROUP BY cloud_id) SELECT cloud_id, degree, CAST(sum(degree) OVER (ORDER BY cloud_id) - degree AS BIGINT) AS start FROM d",
-    "dense_batch_ids": f"WITH {_E} SELECT cloud_id, CAST(row_number() OVER (ORDER BY cloud_id) - 1 AS BIGINT) AS dense_id FROM (SELECT DISTINCT cloud_id FROM e WHERE cloud_id % 3 <> 1)",
+    "dense_batch_ids": f"WITH {_E} SELECT cloud_id, CAST(row_number() OVER (ORDER BY cloud_id) - 1 AS BIGINT) AS dense_id FROM (SELECT DISTINCT cloud_id * 3 + 1 AS cloud_id FROM e)",
 }

@@ -24,10 +24,10 @@ def points(df: DataFrame, id_col: str = "point_id", *more: str) -> DataFrame:
     return df
 
 
-def embedding_points(spark: SparkSession, sf_dir: str, *more) -> DataFrame:
-    """Clouds by label, of the first three dimensions of the embeddings."""
+def embedding_points(spark: SparkSession, sf_dir: str, *more, first: int = 0) -> DataFrame:
+    """Clouds by label, of three dimensions of the embeddings from ``first`` on."""
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    axes = [F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate("xyz")]
+    axes = [F.col("embedding")[first + i].cast("double").alias(c) for i, c in enumerate("xyz")]
     return e.select(F.col("label").cast("long").alias("cloud_id"), F.col("vec_id").alias("point_id"), *axes, *more)
 
 
