@@ -68,16 +68,18 @@ class Differ:
 
 
 def _dictionary(texts: list[bytes], size: int, piece: int = 512) -> bytes:
-    """Evenly taken pieces of the texts, in turn, up to ``size`` bytes."""
-    parts, held, at = [], 0, 0
+    """Pieces from all over the texts, one of each text in turn, up to ``size`` bytes."""
+    parts, held, turn = [], 0, 0
     while texts and held < size:
-        texts = [t for t in texts if len(t) > at]
-        for t in texts:
+        for i, t in enumerate(texts):
+            spread = (turn * len(texts) + i) * 0.6180339887498949 % 1
+            at = int(spread * max(0, len(t) - piece + 1))
             parts.append(t[at : at + piece])
             held += len(parts[-1])
             if held >= size:
                 break
-        at += piece
+        turn += 1
+        texts = [t for t in texts if len(t) > turn * piece]
     return b"".join(parts)[:size]
 
 
@@ -119,8 +121,10 @@ def fit(rows: list[tuple[str, int, int]], class_rows: list[int], dictionary_byte
 def score(docs: DataFrame, model: CompressionModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, batch_bytes: int = 8 << 20) -> DataFrame:
     """doc_id, held_out, score and predicted (score >= threshold) of each row."""
 
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of fixed size and a curve
+
     def run(batches):
-        scores = model.scorer()
+        scores = sent.value.scorer()
         for batch in balanced(batches, "text", batch_bytes):
             s = scores(pc.fill_null(batch.column(1).cast(pa.string()), "").cast(pa.binary()).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
@@ -129,20 +133,22 @@ def score(docs: DataFrame, model: CompressionModel, id_col: str = "doc_id", text
     return picked.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
-def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", per_class: int = 1500, most_chars: int = 20_000, threshold: float = 0.3) -> DataFrame:
-    """Fit on a bounded labelled sample (``per_class`` rows a class) and score every row.
+def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", per_class: int = 1500, most_bytes: int = 64 << 20, threshold: float = 0.3) -> DataFrame:
+    """Fit on a bounded labelled sample (``per_class`` rows and ``most_bytes`` of whole texts a class) and score every row.
 
     Null and empty texts get the score of the usual difference of good text. Null ids stay and count as held out. Repeated rows get
     repeated results; other columns are not read; without labels of both classes the score is their smoothed share.
     """
-    return score(docs, fit(*sample(docs, labels, label, per_class, most_chars, id_col, text_col)), id_col, text_col, threshold)
+    return score(docs, fit(*sample(docs, labels, label, per_class, most_bytes, id_col, text_col)), id_col, text_col, threshold)
 
 
 def keep_good(docs: DataFrame, model: CompressionModel, text_col: str = "text", threshold: float = 0.3, batch_bytes: int = 8 << 20) -> DataFrame:
     """The documents whose score is ``threshold`` or more, all columns as they are; a map stage, so no join by id."""
 
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
     def run(batches):
-        scores = model.scorer()
+        scores = sent.value.scorer()
         for batch in balanced(batches, text_col, batch_bytes):
             texts = pc.fill_null(batch.column(batch.schema.get_field_index(text_col)).cast(pa.string()), "").cast(pa.binary()).to_pylist()
             yield batch.filter(pa.array(scores(texts) >= threshold))

@@ -1,12 +1,16 @@
 """Operator 7: mixing sources to target weights by iterative proportional fitting.
 
-Documents fall into cells of source, language and topic. Token weights of the cells are raked until their marginals meet
-the targets of all three, and each document is sampled with its cell's calibrated probability. Only cell sums reach the
-driver, and values that a target doesn't name share one slot, so there are at most the product of the targets' sizes.
+One map stage finds each document's topic (the kind of mark it is densest in) and its tokens (those that packing makes).
+Documents fall into cells of source, language and topic. The token weights of the cells are raked until their marginals
+meet the targets of all three, and each document is sampled with its cell's calibrated probability: the raked over the
+own weight of its cell, times the share of tokens asked for, or the largest share that no cell is too small for. Only cell
+sums reach the driver.
 """
 
 from __future__ import annotations
 
+import hashlib
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,33 +19,46 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import balanced
+from .common import balanced, checkpoint
 from .tokens import WordEncoder, default_path
 
 OTHER = "other"
-TOPICS = ("legal", "contact", "table", "prose")
-#: Target shares of the production mixture; what isn't named shares the rest.
-SOURCE_TARGET = {f"src{i}": 0.05 for i in range(20)} | {OTHER: 0.0}
+#: Of each topic its marks, and how many of them a thousand characters hold on average where the text is about it.
+MARKS = {"legal": (r"(?i)licen[cs]e|copyright|rights reserved|warrant", 0.5), "contact": (r"@|\[EMAIL\]|\[PHONE\]|\+[0-9]", 1.0), "table": (r" \| |\t", 10.0)}
+TOPICS = (*MARKS, "prose")
+#: Target shares of the production mixture; None keeps a value's own share, 0 removes the value.
+SOURCE_TARGET = {f"src{i}": 0.05 for i in range(20)} | {OTHER: None}
 LANG_TARGET = {"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.10, OTHER: 0.05}
 TOPIC_TARGET = {"legal": 0.05, "contact": 0.10, "table": 0.05, "prose": 0.80}
 
 
-def topic_of(text: Column) -> Column:
-    """A topic by plain marks: licence lines, ways to reach somebody, tables, and prose for the rest (and for null)."""
-    t = F.coalesce(text, F.lit(""))
-    legal = t.contains("icensed under") | t.contains("License") | t.contains("opyright")
-    contact = t.contains("@") | t.contains("[EMAIL]") | t.contains("[PHONE]") | t.rlike(r"\+[0-9]")
-    return F.when(legal, TOPICS[0]).when(contact, TOPICS[1]).when(t.contains(" | "), TOPICS[2]).otherwise(TOPICS[3])
+def topics_of(texts: pa.Array) -> pa.Array:
+    """The topic of each text (none is null): the kind whose marks are the densest, prose where none is dense enough."""
+    thousands = np.maximum(pc.utf8_length(texts).to_numpy(zero_copy_only=False), 1) / 1000
+    dense = [pc.count_substring_regex(texts, pattern).to_numpy(zero_copy_only=False) / thousands / least for pattern, least in MARKS.values()]
+    best = np.argmax(np.stack([*dense, np.ones(len(texts))]), axis=0)
+    return pa.array(TOPICS).take(pa.array(best))
 
 
-def token_weight(text: Column) -> Column:
-    """A cheap stand-in for tokens: a word for each white-space run inside, and one for each six characters."""
-    t = F.coalesce(text, F.lit(""))
-    return F.length(t) - F.length(F.translate(t, " \n\t", "")) + F.floor(F.length(t) / 6) + 1
+def described(docs: DataFrame, id_col: str, text_col: str, source_col: str, lang_col: str, vocabulary: str | None = None, batch_bytes: int = 4 << 20) -> DataFrame:
+    """doc_id, source and lang (null is ``other``), topic and tokens (the end mark included) of each row."""
+    path = vocabulary or default_path("word_bpe_49k.json")
+
+    def run(batches):
+        encoder = WordEncoder(path)
+        for batch in balanced(batches, "text", batch_bytes):
+            texts = pc.fill_null(batch.column(3), "")
+            _, ends = encoder.encode(texts)
+            tokens = np.diff(ends, prepend=0).astype(np.int64) + 1
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], topics_of(texts), pa.array(tokens)], ["doc_id", "source", "lang", "topic", "tokens"])
+
+    own = [F.coalesce(F.col(c).cast("string"), F.lit(OTHER)).alias(n) for c, n in ((source_col, "source"), (lang_col, "lang"))]
+    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), *own, F.col(text_col).cast("string").alias("text"))
+    return picked.mapInArrow(run, "doc_id long, source string, lang string, topic string, tokens long")
 
 
-def slot(value: Column, target: dict[str, float]) -> Column:
-    """The value where the target names it, else ``other`` (null too)."""
+def slot(value: Column, target: dict) -> Column:
+    """The value where the target names it, else ``other``."""
     named = sorted(set(target) - {OTHER})
     return F.when(value.isin(named), value).otherwise(OTHER) if named else F.lit(OTHER)
 
@@ -56,11 +73,13 @@ class Raked:
     gap: float
 
 
-def rake(cells: list[tuple[str, str, str]], tokens: np.ndarray, targets: list[dict[str, float]], rounds: int = 200, close: float = 1e-13) -> Raked:
+def rake(cells: list[tuple[str, str, str]], tokens: np.ndarray, targets: list[dict], rounds: int = 200, close: float = 1e-13, share: float | None = None, most_gap: float | None = None) -> Raked:
     """Iterative proportional fitting of cell weights to the targets.
 
-    Targets count over the values that have tokens and sum to one there (a target of 0 keeps its value's own share).
-    Probabilities are the raked over the own share of a cell, scaled so that the largest is 1.
+    Targets count over the values that have tokens and sum to one there; a value without a target, or with None, keeps
+    its own share, and one with 0 goes. ``share`` is how much of all tokens to draw; None draws as much as no cell is too
+    small for. A share that a cell is too small for is a ValueError, as are marginals off by more than ``most_gap``
+    (where cells are missing, targets may contradict each other) and targets that leave nothing.
     """
     own = tokens / tokens.sum()
     w, at, want = own.copy(), [], []
@@ -68,8 +87,10 @@ def rake(cells: list[tuple[str, str, str]], tokens: np.ndarray, targets: list[di
         values = sorted({c[k] for c in cells})
         number = {v: i for i, v in enumerate(values)}
         idx = np.array([number[c[k]] for c in cells])
-        share = np.bincount(idx, own, len(values))
-        t = np.array([target.get(v, 0.0) or s for v, s in zip(values, share, strict=True)])
+        held = np.bincount(idx, own, len(values))
+        t = np.array([s if target.get(v) is None else target[v] for v, s in zip(values, held, strict=True)], float)
+        if (t < 0).any() or not t.sum() > 0:
+            raise ValueError("targets are negative or leave nothing")
         at.append(idx)
         want.append(t / t.sum())
     gap = 1.0
@@ -79,33 +100,28 @@ def rake(cells: list[tuple[str, str, str]], tokens: np.ndarray, targets: list[di
             have = np.bincount(idx, w, len(t))
             gap = max(gap, float(np.abs(have - t).max()))
             w = w * (t / np.where(have > 0, have, 1))[idx]
-        if gap < close:
+        if gap < close or not w.sum() > 0:
             break
+    if not w.sum() > 0:
+        raise ValueError("the targets leave no cell")
     w /= w.sum()
+    gap = max(float(np.abs(np.bincount(idx, w, len(t)) - t).max()) for idx, t in zip(at, want, strict=True))
+    if most_gap is not None and gap > most_gap:
+        raise ValueError(f"the targets contradict each other: a marginal is off by {gap:.3g}")
     ratio = w / own
-    return Raked(cells, np.minimum(1.0, ratio / ratio.max()), w, gap)
-
-
-def _celled(docs: DataFrame, text_col: str, source_col: str, lang_col: str, targets: list[dict]) -> list[Column]:
-    text = F.col(text_col).cast("string")
-    parts = [F.col(source_col).cast("string"), F.col(lang_col).cast("string"), topic_of(text)]
-    return [slot(p, t) for p, t in zip(parts, targets, strict=True)]
+    most = 1 / ratio.max()
+    if share is not None and share > most * (1 + 1e-9):
+        raise ValueError(f"{share:.3g} of the tokens are asked for; the smallest cell allows {most:.3g}")
+    return Raked(cells, np.minimum(1.0, ratio * (most if share is None else share)), w, gap)
 
 
-def fit(docs: DataFrame, text_col: str, source_col: str, lang_col: str, targets: list[dict[str, float]]) -> Raked:
-    """Rake the cell sums of token weights of all documents."""
-    s, g, t = _celled(docs, text_col, source_col, lang_col, targets)
-    sums = docs.select(s.alias("s"), g.alias("g"), t.alias("t"), token_weight(F.col(text_col).cast("string")).alias("w")).groupBy("s", "g", "t").agg(F.sum("w").alias("w")).orderBy("s", "g", "t").collect()
-    if not sums:
-        return Raked([], np.zeros(0), np.zeros(0), 0.0)
-    return rake([(r.s, r.g, r.t) for r in sums], np.array([float(r.w) for r in sums]), targets)
-
-
-def _probability(raked: Raked, cell: list[Column]) -> Column:
-    if not raked.cells:
-        return F.lit(0.0)
-    table = F.create_map(*[F.lit(x) for c, p in zip(raked.cells, raked.probability.tolist(), strict=True) for x in ("\x1f".join(c), p)])
-    return F.coalesce(F.try_element_at(table, F.concat_ws("\x1f", *cell)), F.lit(0.0))
+def cell_sums(rows: DataFrame, most_cells: int = 2_000_000) -> tuple[list[tuple[str, str, str]], np.ndarray]:
+    """Cells (columns source, lang, topic) in order, and the tokens of each; ValueError beyond ``most_cells``."""
+    sums = rows.groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens")).limit(most_cells + 1).toArrow().sort_by([(c, "ascending") for c in ("source", "lang", "topic")])
+    if sums.num_rows > most_cells:
+        raise ValueError(f"there are more than {most_cells} cells of source, language and topic")
+    cells = list(zip(*(sums.column(c).to_pylist() for c in ("source", "lang", "topic")), strict=True))
+    return cells, sums.column("tokens").to_numpy().astype(float)
 
 
 def draw(id_col: str, seed: int) -> Column:
@@ -114,50 +130,34 @@ def draw(id_col: str, seed: int) -> Column:
     return F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / float(1 << 48)
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", source_target: dict | None = None, lang_target: dict | None = None, topic_target: dict | None = None, seed: int = 11) -> DataFrame:
-    """doc_id, source, lang and topic slots, tokens, probability and sampled of each row.
-
-    Null texts weigh one token and count as prose; null or unnamed sources and languages fall into ``other``; null ids
-    stay; repeated rows are drawn alike; other columns are not read; an empty table gives no row.
-    """
-    targets = [source_target or SOURCE_TARGET, lang_target or LANG_TARGET, topic_target or TOPIC_TARGET]
-    raked = fit(docs, text_col, source_col, lang_col, targets)
-    s, g, t = _celled(docs, text_col, source_col, lang_col, targets)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), s.alias("source_slot"), g.alias("lang_slot"), t.alias("topic"), token_weight(F.col(text_col).cast("string")).alias("tokens"))
-    rows = rows.withColumn("probability", _probability(raked, [F.col("source_slot"), F.col("lang_slot"), F.col("topic")]))
-    return rows.withColumn("sampled", draw("doc_id", seed) < F.col("probability"))
-
-
-def cell_columns(text_col: str, source_col: str, lang_col: str) -> list[Column]:
-    """Every source and language as a slot of its own (null is ``other``), and the topic."""
-    own = [F.coalesce(F.col(c).cast("string"), F.lit(OTHER)) for c in (source_col, lang_col)]
-    return [*own, topic_of(F.col(text_col).cast("string"))]
+def drawn(doc_id, seed: int) -> float:
+    """The same of one id."""
+    return int(hashlib.md5(f"{seed}:{'' if doc_id is None else doc_id}".encode()).hexdigest()[:12], 16) / float(1 << 48)
 
 
-def cell_sums(docs: DataFrame, text_col: str, source_col: str, lang_col: str, vocabulary: str | None = None, batch_bytes: int = 4 << 20) -> DataFrame:
-    """s, g, t and the tokens w of each cell of all sources, languages and topics.
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", source_target: dict | None = None, lang_target: dict | None = None, topic_target: dict | None = None, seed: int = 11, share: float | None = None, most_gap: float | None = None, vocabulary: str | None = None) -> DataFrame:
+    """doc_id, source, lang and topic slots, tokens, probability, sampled, and the marginals' last gap, of each row.
 
-    Tokens are those that packing makes of a text, its end mark included.
+    Null texts are one token (the end mark) and count as prose; null or unnamed sources and languages fall into ``other``;
+    null ids stay; repeated rows are drawn alike; other columns are not read; an empty table gives no row. ``share`` and
+    ``most_gap`` as in ``rake``. There are at most as many cells as the targets' sizes allow.
     """
-    s, g, t = cell_columns(text_col, source_col, lang_col)
-    path = vocabulary or default_path("word_bpe_49k.json")
-
-    def run(batches):
-        encoder = WordEncoder(path)
-        for batch in balanced(batches, "text", batch_bytes):
-            _, ends = encoder.encode(pc.fill_null(batch.column(3), ""))
-            n = pa.array(np.diff(ends, prepend=0).astype(np.int64) + 1)
-            sums = pa.Table.from_arrays([*batch.columns[:3], n], ["s", "g", "t", "w"]).group_by(["s", "g", "t"]).aggregate([("w", "sum")])
-            yield from sums.select(["s", "g", "t", "w_sum"]).rename_columns(["s", "g", "t", "w"]).to_batches()
-
-    picked = docs.select(s.alias("s"), g.alias("g"), t.alias("t"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(run, "s string, g string, t string, w long").groupBy("s", "g", "t").agg(F.sum("w").alias("w"))
-
-
-def tempered(cells: list[tuple[str, str, str]], tokens: np.ndarray, power: float) -> list[dict[str, float]]:
+    targets = [source_target or SOURCE_TARGET, lang_target or LANG_TARGET, topic_target or TOPIC_TARGET]
+    rows = described(docs, id_col, text_col, source_col, lang_col, vocabulary)
+    slots = [slot(F.col(c), t).alias(c) for c, t in zip(("source", "lang", "topic"), targets, strict=True)]
+    rows = checkpoint(rows.select("doc_id", *slots, "tokens"))
+    cells, tokens = cell_sums(rows)
+    raked = rake(cells, tokens, targets, share=share, most_gap=most_gap) if cells else Raked([], np.zeros(0), np.zeros(0), 0.0)
+    names = list(zip(*raked.cells, strict=True)) or [[], [], []]
+    own = pa.table([*(pa.array(x, pa.string()) for x in names), pa.array(raked.probability, pa.float64())], names=["source", "lang", "topic", "probability"])
+    out = rows.join(F.broadcast(docs.sparkSession.createDataFrame(own)), ["source", "lang", "topic"])
+    return out.select("doc_id", F.col("source").alias("source_slot"), F.col("lang").alias("lang_slot"), "topic", "tokens", "probability", (draw("doc_id", seed) < F.col("probability")).alias("sampled"), F.lit(raked.gap).alias("gap"))
+
+
+def tempered(cells: list[tuple[str, str, str]], tokens: np.ndarray, *powers: float) -> list[dict[str, float]]:
     """Targets in proportion to a power of the own token shares of every source, language and topic."""
     out = []
-    for k in range(3):
+    for k, power in enumerate(powers):
         sums: dict[str, float] = {}
         for c, w in zip(cells, tokens.tolist(), strict=True):
             sums[c[k]] = sums.get(c[k], 0.0) + w
@@ -166,42 +166,28 @@ def tempered(cells: list[tuple[str, str, str]], tokens: np.ndarray, power: float
     return out
 
 
-def sample(docs: DataFrame, power: float = 0.9, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", seed: int = 11) -> DataFrame:
-    """The sampled documents under tempered targets; the driver holds one row for each cell that has documents."""
-    sums = cell_sums(docs, text_col, source_col, lang_col).orderBy("s", "g", "t").toArrow()
-    if not sums.num_rows:
+def sample(docs: DataFrame, powers: tuple[float, float, float] = (0.9, 0.9, 1.0), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", seed: int = 11, share: float | None = None, wide_gap: float = 0.01, batch_bytes: int = 4 << 20) -> DataFrame:
+    """The sampled documents under tempered targets of every source, language and topic, all columns as they are.
+
+    By default small sources and languages are raised a little, and each topic is held at its own share.
+
+    Two map stages, nothing is shuffled but cell sums; the driver and each task hold a number for each cell that has
+    documents (at most ``most_cells`` of ``cell_sums``). A gap of the marginals beyond ``wide_gap`` is a warning.
+    """
+    cells, tokens = cell_sums(described(docs, id_col, text_col, source_col, lang_col))
+    if not cells:
         return docs.where(F.lit(False))
-    names = [sums.column(c).to_pylist() for c in "sgt"]
-    cells, tokens = list(zip(*names, strict=True)), sums.column("w").to_numpy().astype(float)
-    raked = rake(cells, tokens, tempered(cells, tokens, power))
-    keys = ["cell_source", "cell_lang", "cell_topic"]
-    own = docs.sparkSession.createDataFrame(pa.table([*names, raked.probability], names=[*keys, "cell_probability"]))
-    at = dict(zip(keys, cell_columns(text_col, source_col, lang_col), strict=True))
-    left = docs.select(F.struct(*map(F.col, docs.columns)).alias("row"), draw(id_col, seed).alias("draw"), *(c.alias(k) for k, c in at.items()))
-    return left.join(own, keys).where("draw < cell_probability").select("row.*")
-
-
-def mix_sql(seed: int = 11, rounds: int = 120) -> str:
-    """DuckDB SQL of ``mix`` with the production targets, its probability rounded to six places."""
-    quoted = lambda v: "'" + v + "'"
-
-    def named(value: str, target: dict[str, float]) -> str:
-        return f"CASE WHEN {value} IN ({', '.join(quoted(v) for v in target if v != OTHER)}) THEN {value} ELSE '{OTHER}' END"
-
-    def wanted(name: str, column: str, target: dict[str, float]) -> str:
-        share = f"CASE {column} " + " ".join(f"WHEN {quoted(v)} THEN CAST({x!r} AS DOUBLE)" for v, x in target.items()) + " END"
-        return f"{name} AS (SELECT {column}, x / sum(x) OVER () AS {name} FROM (SELECT {column}, COALESCE(NULLIF({share}, 0), sum(own)) AS x FROM cell GROUP BY {column}))"
-
-    text = "COALESCE(text, '')"
-    topic = f"CASE WHEN contains({text}, 'icensed under') OR contains({text}, 'License') OR contains({text}, 'opyright') THEN 'legal' WHEN contains({text}, '@') OR contains({text}, '[EMAIL]') OR contains({text}, '[PHONE]') OR regexp_matches({text}, '\\+[0-9]') THEN 'contact' WHEN contains({text}, ' | ') THEN 'table' ELSE 'prose' END"
-    weight = f"length({text}) - length(translate({text}, ' ' || chr(10) || chr(9), '')) + length({text}) // 6 + 1"
-    scaled = lambda old, new, column, target, source: f"(SELECT *, {old} * {target} / sum({old}) OVER (PARTITION BY {column}) AS {new} FROM {source})"
-    step = scaled("v2", "v3", "topic", "ct", scaled("v1", "v2", "lang_slot", "cg", scaled("w", "v1", "source_slot", "cs", f"(SELECT * FROM raked WHERE k < {rounds})")))
-    return f"""WITH RECURSIVE d AS (SELECT doc_id, {named('source', SOURCE_TARGET)} AS source_slot, {named('lang', LANG_TARGET)} AS lang_slot, {topic} AS topic, CAST({weight} AS BIGINT) AS tokens FROM documents),
-cell AS (SELECT source_slot, lang_slot, topic, sum(tokens) / sum(sum(tokens)) OVER () AS own FROM d GROUP BY source_slot, lang_slot, topic),
-{wanted('cs', 'source_slot', SOURCE_TARGET)}, {wanted('cg', 'lang_slot', LANG_TARGET)}, {wanted('ct', 'topic', TOPIC_TARGET)},
-raked AS (SELECT 0 AS k, source_slot, lang_slot, topic, own, own AS w, cs, cg, ct FROM cell JOIN cs USING (source_slot) JOIN cg USING (lang_slot) JOIN ct USING (topic)
-  UNION ALL SELECT k + 1, source_slot, lang_slot, topic, own, v3, cs, cg, ct FROM {step}),
-p AS (SELECT source_slot, lang_slot, topic, w / own / max(w / own) OVER () AS probability FROM raked WHERE k = {rounds})
-SELECT d.doc_id, d.source_slot, d.lang_slot, d.topic, d.tokens, round(p.probability, 6) AS probability, CAST('0x' || substr(md5('{seed}:' || COALESCE(CAST(doc_id AS VARCHAR), '')), 1, 12) AS BIGINT) / CAST({1 << 48} AS DOUBLE) < p.probability AS sampled
-FROM d JOIN p ON d.source_slot = p.source_slot AND d.lang_slot = p.lang_slot AND d.topic = p.topic"""
+    raked = rake(cells, tokens, tempered(cells, tokens, *powers), share=share)
+    if raked.gap > wide_gap:
+        warnings.warn(f"marginals are off by {raked.gap:.3g}: cells are missing that the targets need", stacklevel=2)
+    sent = docs.sparkSession.sparkContext.broadcast(dict(zip(cells, raked.probability.tolist(), strict=True)))
+
+    def run(batches):
+        for batch in balanced(batches, text_col, batch_bytes):
+            column = lambda name: batch.column(batch.schema.get_field_index(name))
+            texts = pc.fill_null(column(text_col).cast(pa.string()), "")
+            keys = zip(*(pc.fill_null(column(c).cast(pa.string()), OTHER).to_pylist() for c in (source_col, lang_col)), topics_of(texts).to_pylist(), strict=True)
+            keep = [drawn(i, seed) < sent.value[k] for i, k in zip(column(id_col).to_pylist(), keys, strict=True)]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

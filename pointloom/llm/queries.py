@@ -4,12 +4,10 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from pyspark.sql import functions as F
-
 from .common import table
 from .compression import quality
 from .iso_media import media_columns
-from .mixing import mix, mix_sql
+from .mixing import mix
 from .packing import pack
 from .perplexity import quality_rules
 from .personal_data import personal_data
@@ -26,10 +24,10 @@ QUERIES = {
     "op4_compression_quality": lambda spark, d: quality(table(spark, d, "documents"), table(spark, d, "labels")),
     "op5_token_counts": lambda spark, d: token_counts(table(spark, d, "documents")),
     "op6_simhash": lambda spark, d: near_duplicates(table(spark, d, "documents")),
-    "op7_mixing": lambda spark, d: mix(table(spark, d, "documents")).withColumn("probability", F.round("probability", 6)),
+    "op7_mixing": lambda spark, d: mix(table(spark, d, "documents")),
     "op8_suffix_dedup": lambda spark, d: dedup(table(spark, d, "documents")),
     "op9_packing": lambda spark, d: pack(table(spark, d, "documents")),
     "op10_toxicity": lambda spark, d: toxicity(table(spark, d, "documents"), table(spark, d, "labels")),
     "pipeline": corpus_pipeline.run,
 }
-ORACLES: dict[str, str] = {"op7_mixing": mix_sql(), "op8_suffix_dedup": SUFFIX_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+ORACLES: dict[str, str] = {"op8_suffix_dedup": SUFFIX_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

@@ -205,8 +205,25 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self.slope * top + self.offset, -30, 30)))
 
 
-def fit(rows: list[tuple[str, int, int]], vocabulary: int = 8000, epochs: int = 10, batch: int = 32, rate: float = 0.005, seed: int = 7) -> Network:
-    """Train on labelled texts; without both classes the network gives a constant score."""
+def fit(rows: list[tuple[str, int, int]], every: int = 8, **how) -> Network:
+    """Train on labelled texts and calibrate on each ``every``-th of them, which training doesn't see.
+
+    Where either part would lack a class, all texts serve both ends.
+    """
+    own, kept = [r for i, r in enumerate(rows) if i % every], rows[::every]
+    if any(len({r[1] for r in part}) < 2 for part in (own, kept)):
+        own = kept = rows
+    net = train(own, **how)
+    if net.vocabulary:
+        doc, logit = net.logits(pa.array([r[0] for r in kept], pa.string()))
+        best = np.full(len(kept), -np.inf)
+        np.maximum.at(best, doc, logit)
+        net.slope, net.offset = _calibrate(best, np.array([r[1] for r in kept]))
+    return net
+
+
+def train(rows: list[tuple[str, int, int]], vocabulary: int = 8000, epochs: int = 10, batch: int = 32, rate: float = 0.005, seed: int = 7) -> Network:
+    """The network without its calibration; without both classes it gives a constant score."""
     y = np.array([r[1] for r in rows], np.int64)
     if not 0 < y.sum() < len(y):
         net = Network([])
@@ -256,10 +273,6 @@ def fit(rows: list[tuple[str, int, int]], vocabulary: int = 8000, epochs: int =
                 m[k] = 0.9 * m[k] + 0.1 * g
                 v[k] = 0.999 * v[k] + 0.001 * g * g
                 net.p[k] = (net.p[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
-    doc, logit = net.logits(pa.array([r[0] for r in rows], pa.string()))
-    best = np.full(len(rows), -np.inf)
-    np.maximum.at(best, doc, logit)
-    net.slope, net.offset = _calibrate(best, y)
     return net
 
 
@@ -278,15 +291,18 @@ def _calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float
     return float(w[0] / scale), float(w[1] - w[0] * mean / scale)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", per_class: int = 2000, most_chars: int = 20_000, threshold: float = 0.5, batch_bytes: int = 4 << 20) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", per_class: int = 2000, most_bytes: int = 64 << 20, threshold: float = 0.5, batch_bytes: int = 4 << 20) -> DataFrame:
     """doc_id, held_out, score and predicted (score >= threshold) of each row, after training on a bounded sample.
 
+    The sample is ``per_class`` rows and ``most_bytes`` of whole texts a class.
+
     Null and empty texts are one window without words. Null ids stay and count as held out. Repeated rows get repeated
     results; other columns are not read. Every window of a text of any length is scored.
     """
-    net = fit(sample(docs, labels, label, per_class, most_chars, id_col, text_col)[0])
+    sent = docs.sparkSession.sparkContext.broadcast(fit(sample(docs, labels, label, per_class, most_bytes, id_col, text_col)[0]))
 
     def run(batches):
+        net = sent.value
         for batch in balanced(batches, "text", batch_bytes):
             s = net.scores(pc.fill_null(batch.column(1).cast(pa.string()), "")).astype(float)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])

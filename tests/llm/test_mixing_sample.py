@@ -1,4 +1,3 @@
-import numpy as np
 from tokenizers import Tokenizer
 
 from pointloom.llm import mixing
@@ -9,9 +8,8 @@ def test_every_source_is_tempered(spark):
     """A hundred equal sources and a large one: none may be favoured by its name, all small ones are raised."""
     rows = [(i * 1000 + k, "some words of a text", f"s{i:03d}", f"l{k % 20}") for i in range(100) for k in range(20)] + [(10**6 + k, "some words of a text", "big", f"l{k % 20}") for k in range(2000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
-    sums = mixing.cell_sums(docs, "text", "source", "lang").collect()
-    cells, tokens = [(r.s, r.g, r.t) for r in sums], np.array([float(r.w) for r in sums])
-    targets = mixing.tempered(cells, tokens, 0.9)
+    cells, tokens = mixing.cell_sums(mixing.described(docs, "doc_id", "text", "source", "lang"))
+    targets = mixing.tempered(cells, tokens, 0.9, 0.9, 1.0)
     assert len(targets[0]) == 101 and len(targets[1]) == 20 and mixing.OTHER not in targets[0]
     own = {s: sum(w for c, w in zip(cells, tokens) if c[0] == s) / tokens.sum() for s in targets[0]}
     assert all(abs(t - own[s] ** 0.9) < 1e-12 for s, t in targets[0].items())
@@ -39,4 +37,4 @@ def test_cells_hold_the_tokens_that_packing_makes(spark):
         key = (source or mixing.OTHER, lang or mixing.OTHER, "prose")
         want[key] = want.get(key, 0) + len(full.encode(text or "", add_special_tokens=False).ids) + 1
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").repartition(2)
-    assert {(r.s, r.g, r.t): r.w for r in mixing.cell_sums(docs, "text", "source", "lang").collect()} == want
+    assert dict(zip(*mixing.cell_sums(mixing.described(docs, "doc_id", "text", "source", "lang")))) == want

@@ -6,7 +6,7 @@ from pointloom.llm import compression, labelled
 def test_stages(spark, sf_docs, sf_labels):
     assert [k for k, _ in corpus_pipeline.STAGES] == ["quality classifier", "SimHash near-dedup", "PII", "mixing sources to target weights", "packing"]
     docs, before = sf_docs, sf_docs.count()
-    model = compression.fit(*labelled.sample(sf_docs, sf_labels, "quality", 1500, 20_000))
+    model = compression.fit(*labelled.sample(sf_docs, sf_labels, "quality", 1500))
     keep = {r.doc_id for r in compression.score(sf_docs, model).where("predicted = 1").collect()}
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
         docs = stage(spark, docs, "/root/testdata/sf0.001").persist()
