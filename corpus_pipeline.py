@@ -13,7 +13,7 @@ from pointloom.llm.common import checkpoint, table
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression classifier doesn't reject (score of 0.3 and more)."""
-    model = compression.fit(*labelled.sample(docs, table(spark, sf_dir, "labels"), "quality", 1500, 20_000))
+    model = compression.fit(*labelled.sample(docs, table(spark, sf_dir, "labels"), "quality", 1500))
     return compression.keep_good(docs, model)
 
 
