@@ -205,7 +205,7 @@ def scored(docs: DataFrame, asked: DataFrame, model: DataFrame, batch_bytes: int
     names = [x.split()[0] for x in _RAW.split(", ")]
 
     def pack(rows):
-        zip_ = zstandard.ZstdCompressor(level=3)
+        zip_ = zstandard.ZstdCompressor(level=9)
         for number, pieces in batches_of(rows, batch_bytes):
             for i, piece in enumerate(pieces):
                 sink = pa.BufferOutputStream()
