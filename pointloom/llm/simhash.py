@@ -3,10 +3,10 @@
 Fingerprints are made in one map stage; only different fingerprints are compared from there on. Two that differ in at
 most two bits agree in at least two of four 16-bit blocks, so each goes to the six buckets of its block pairs. Within a
 bucket the fingerprints stand vertically, 64 to a block of bit planes; a carry-save counter adds up all 64 distances
-plane by plane and a block is abandoned once every lane exceeds the radius. Buckets leave a spanning forest of their
-links, never all pairs. A bucket of more than ``most`` fingerprints is not compared in one task: its members meet at
-their one-bit neighbours instead (two within two bits always share one, and at most 33 members share any), which is
-exact and linear in the bucket. Components come from alternating large-star and small-star rounds.
+plane by plane and a block is abandoned once every lane exceeds the radius. A bucket of more than ``most`` fingerprints is
+dealt again by the bits that its members needn't share: of these, too, at least two of four blocks agree. After three
+such steps a bucket shares 56 bits, so it holds 256 different fingerprints at most, and every comparison stays exact and
+bit-sliced. Buckets leave chains through the fingerprints that hang together, never all pairs and never stars.
 """
 
 from __future__ import annotations
@@ -19,7 +19,8 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from pointloom.operators.cluster import components
 
 from .common import balanced, checkpoint
 
@@ -119,7 +120,7 @@ def bit_sliced_links(bucket: np.ndarray, fp: np.ndarray, most_pairs: int = 20_00
 
 
 def _bucket_links(batches: Iterator[pa.RecordBatch], least: int = 50_000) -> Iterator[pa.RecordBatch]:
-    """Forest links of buckets that come in ascending order, some whole buckets at a time."""
+    """Links of buckets that come in ascending order, some whole buckets at a time: a chain through each component."""
 
     def links(bucket, fp):
         again = np.flatnonzero((np.append(bucket[1:] == bucket[:-1], False)) | np.concatenate([[False], bucket[1:] == bucket[:-1]]))
@@ -127,8 +128,9 @@ def _bucket_links(batches: Iterator[pa.RecordBatch], least: int = 50_000) -> Ite
         if not len(fp):
             return None
         root = bit_sliced_links(bucket, fp.view(np.uint64))
-        far = np.flatnonzero(root != np.arange(len(root)))
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(fp[far], fp[root[far]])), pa.array(np.maximum(fp[far], fp[root[far]]))], ["a", "b"])
+        order = np.lexsort((fp, root))
+        same = np.flatnonzero(root[order[1:]] == root[order[:-1]])
+        return pa.RecordBatch.from_arrays([pa.array(fp[order[same]]), pa.array(fp[order[same + 1]])], ["a", "b"])
 
     held: list[tuple[np.ndarray, np.ndarray]] = []
     for batch in batches:
@@ -144,46 +146,49 @@ def _bucket_links(batches: Iterator[pa.RecordBatch], least: int = 50_000) -> Ite
         yield out
 
 
-def links(different: DataFrame, most: int = 4096) -> DataFrame:
+def _deal(rows: DataFrame, bits: int) -> DataFrame:
+    """bucket, fp and free (what members of the new bucket needn't share) of the six buckets of four blocks of ``free``.
+
+    Buckets are numbered by a hash; where two meet, more is compared than need be.
+    """
+    block = [F.shiftrightunsigned("free", bits * i).bitwiseAND((1 << bits) - 1) for i in range(4)]
+    each = []
+    for t, (i, j) in enumerate(_PAIRS):
+        k, m = (x for x in range(4) if x not in (i, j))
+        each.append(F.struct(F.xxhash64("bucket", F.lit(t), block[i], block[j]).alias("bucket"), F.shiftleft(block[m], bits).bitwiseOR(block[k]).alias("free")))
+    return rows.select("fp", F.explode(F.array(*each)).alias("x")).select("x.bucket", "fp", "x.free")
+
+
+def links(different: DataFrame, most: int = 4096, most_broadcast: int = 100_000) -> DataFrame:
     """Links (a < b) between fingerprints (column fp) whose components are those of all pairs within two bits."""
-    block = [F.shiftrightunsigned("fp", 16 * i).bitwiseAND(0xFFFF) for i in range(4)]
-    key = [F.lit(t << 32) + block[i] * 65536 + block[j] for t, (i, j) in enumerate(_PAIRS)]
-    keyed = different.select(F.explode(F.array(*key)).alias("bucket"), "fp")
-    hot = checkpoint(keyed.groupBy("bucket").count().where(F.col("count") > most).select("bucket"))
-    n_hot = hot.count()
-    cold = keyed
-    if n_hot:
-        side = F.broadcast(hot) if n_hot <= 100_000 else hot
-        cold = keyed.join(side, "bucket", "left_anti")
     parts = max(1, int(different.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    found = cold.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_bucket_links, "a long, b long")
-    if n_hot:
-        free = F.array(*[F.array(*[F.lit(1 << (16 * x + y) if 16 * x + y < 63 else -(1 << 63)) for x in range(4) if x not in pair for y in range(16)]) for pair in _PAIRS])
-        table = F.shiftright("bucket", 32).cast("int")
-        near = keyed.join(side, "bucket", "left_semi").select("bucket", "fp", F.concat(F.array(F.lit(0).cast("long")), F.element_at(free, table + 1)).alias("flips"))
-        met = near.select("bucket", "fp", F.explode("flips").alias("flip")).select("bucket", "fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("mid"))
-        low = F.min("fp").over(Window.partitionBy("bucket", "mid"))
-        found = found.unionByName(met.select("fp", low.alias("low")).where("low < fp").select(F.col("low").alias("a"), F.col("fp").alias("b")))
+    rows, found = different.select(F.lit(0).cast("long").alias("bucket"), "fp", F.col("fp").alias("free")), None
+    for bits in (16, 8, 4):
+        rows = _deal(rows, bits)
+        hot = checkpoint(rows.groupBy("bucket").count().where(F.col("count") > most).select("bucket")) if bits > 4 else None
+        n_hot = hot.count() if hot else 0
+        side = (F.broadcast(hot) if n_hot <= most_broadcast else hot) if n_hot else None
+        cold = rows.join(side, "bucket", "left_anti") if n_hot else rows
+        own = cold.select("bucket", "fp").repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_bucket_links, "a long, b long")
+        found = own if found is None else found.unionByName(own)
+        if not n_hot:
+            break
+        rows = rows.join(side, "bucket", "left_semi")
     return found.distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, root) of every node of the links (a, b), root the smallest node reachable: alternating stars to a fixpoint."""
-    edges = checkpoint(edges.where("a <> b").select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).distinct())
-    before = None
-    for _ in range(most_rounds):
-        both = edges.select(F.col("high").alias("u"), F.col("low").alias("v")).unionByName(edges.select(F.col("low").alias("u"), F.col("high").alias("v")))
-        least = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
-        large = both.where("v > u").join(least, "u").where("v <> m").select(F.col("m").alias("low"), F.col("v").alias("high")).distinct()
-        least = large.groupBy(F.col("high").alias("u")).agg(F.min("low").alias("m"))
-        down = large.select(F.col("high").alias("u"), F.col("low").alias("v")).join(least, "u")
-        small = down.where("v <> m").select(F.col("m").alias("low"), F.col("v").alias("high")).unionByName(least.select(F.col("m").alias("low"), F.col("u").alias("high")))
-        edges = checkpoint(small.distinct())
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("low", "high").cast("decimal(38,0)"))).first()
-        if state == before:
-            return edges.select(F.col("high").alias("node"), F.col("low").alias("root")).unionByName(edges.select(F.col("low").alias("node"), F.col("low").alias("root")).distinct())
-        before = state
-    raise RuntimeError("the components don't settle")
+def with_labels(rows: DataFrame, labels: DataFrame, salts: int = 64, least: int = 1000) -> DataFrame:
+    """``rows`` (doc_id, fp) with the component_id of ``labels`` (fp, n rows, component_id), hot fingerprints salted.
+
+    Hot is what has more than a sixteenth of a task's even share of the rows, so there are at most 16 for each task.
+    """
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    total = labels.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    is_hot = F.col("n") > max(least, total // (16 * parts))
+    hot = checkpoint(labels.where(is_hot).select("fp", F.lit(salts).alias("of")))
+    left = rows.join(F.broadcast(hot), "fp", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.col("of")), F.lit(0)).cast("int")).drop("of")
+    right = labels.select("fp", "component_id", F.explode(F.sequence(F.lit(0), F.when(is_hot, salts - 1).otherwise(0))).alias("salt"))
+    return left.join(right, ["fp", "salt"]).select("doc_id", "fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 4096) -> DataFrame:
@@ -194,12 +199,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component. Other columns are not read. An empty table gives no row. Texts of any length are read whole.
     """
     rows = checkpoint(fingerprints(docs, id_col, text_col))
-    different = checkpoint(rows.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    nodes = components(links(different, most))
+    different = checkpoint(rows.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")))
+    edges = checkpoint(links(different, most))
+    linked = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
+    nodes = components(linked, edges)
     named = nodes.join(different, F.col("node") == F.col("fp")).select("fp", "root", "low")
     lowest = named.groupBy("root").agg(F.min("low").alias("component"))
-    labels = different.join(named.select("fp", "root").join(lowest, "root").select("fp", "component"), "fp", "left").select("fp", F.coalesce("component", "low").alias("component_id"))
-    return rows.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    own = checkpoint(named.select("fp", "root").join(lowest, "root").select("fp", "component"))
+    labels = checkpoint(different.join(own, "fp", "left").select("fp", "n", F.coalesce("component", "low").alias("component_id")))
+    return with_labels(rows, labels).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_broadcast: int = 1_000_000) -> DataFrame:

@@ -59,6 +59,32 @@ def test_hot_buckets_are_exact(docs_of):
     assert sorted(map(tuple, simhash.near_duplicates(docs_of(rows), most=2).collect()), key=str) == expected(rows)
 
 
+def test_crowded_bucket_is_dealt_again(spark):
+    """Thousands of fingerprints that share 44 bits: beyond the bound at the first step, and at the second."""
+    rng = random.Random(8)
+    top = rng.getrandbits(44) << 20
+    fps = sorted({top | rng.getrandbits(20) for _ in range(700)} | {rng.getrandbits(64) for _ in range(50)})
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    frame = spark.createDataFrame([(f,) for f in signed], "fp long").repartition(4)
+    comp = plain_components(fps)
+    for most in (4096, 100, 8):
+        found = simhash.links(frame, most).collect()
+        assert all(r.a < r.b for r in found) and len(found) < 18 * len(fps)
+        mine = list(range(len(fps)))
+        at = {f: i for i, f in enumerate(signed)}
+        for r in found:
+            a, b = mine[at[r.a]], mine[at[r.b]]
+            mine = [a if c == b else c for c in mine] if a != b else mine
+        assert len(set(zip(mine, comp, strict=True))) == len(set(mine)) == len(set(comp))
+
+
+def test_hot_fingerprints_are_salted(spark):
+    rows = spark.createDataFrame([(i, 5 if i % 3 else i) for i in range(300)], "doc_id long, fp long")
+    labels = rows.groupBy("fp").count().selectExpr("fp", "count AS n", "fp + 1 AS component_id")
+    found = simhash.with_labels(rows, labels, 8, 10).collect()
+    assert sorted((r.doc_id, r.fp, r.component_id) for r in found) == [(i, f, f + 1) for i in range(300) for f in [5 if i % 3 else i]]
+
+
 def test_sf_table(sf_docs):
     rows = [(r.doc_id, r.text) for r in sf_docs.select("doc_id", "text").collect()]
     assert sorted(map(tuple, simhash.near_duplicates(sf_docs).collect()), key=str) == expected(rows)
