@@ -1,29 +1,28 @@
 """Exact tokenizer access with memory-bounded memo tables.
 
-Byte-pair merges never cross a pre-token, so a text's ids are the concatenation of its pre-tokens' ids. Words repeat,
-so both levels (white-space chunk, pre-token) are memoised; every unseen pre-token goes through the ``tokenizers``
-library's own model. Whatever the fast route doesn't surely cover (scripts beyond Latin, control characters, special
-strings) goes through the library's full encoder.
+Byte-pair merges never cross a pre-token, so a text's ids are the concatenation of its pre-tokens' ids. Lengths come from
+the library's batch encoder over the different parts of texts. Ids of words are memoised, too (white-space chunk and
+pre-token); every unseen pre-token goes through the ``tokenizers`` library's own model, and whatever that route doesn't
+surely cover (scripts beyond Latin, control characters, special strings) through the library's full encoder.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
-_BYTE_PATTERN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 _WORD_PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 #: What the fast route doesn't cover; of the rest, only tab, line feed, carriage return and space are white space.
 _BEYOND = "[^\t\n\r\x20-\x7e\xa1-\u012f\u0131-\u024f]|<\\|"
 _BEYOND_RE = re.compile(_BEYOND)
-#: White space other than single separators between words.
-_ODD = "[\t\r]|[ \n][ \n]|^[ \n]|[ \n]$"
 #: A letter before a run of other signs that ends a word: a pre-token always starts after it.
 _WORD_END = "([a-z\u00df-\u00f6\u00f8-\u00ff])([!-&(-/:-@\\[-`{-~]+)([ \n])"
 
@@ -76,68 +75,75 @@ class _Tokenizer:
         return self.model.tokenize(piece)
 
 
-class ByteCounter(_Tokenizer):
-    """Numbers of tokens under a byte-level vocabulary."""
+class BatchCounter:
+    """Numbers of tokens by the library's batch encoder, of which only lengths are kept.
 
-    def __init__(self, path: str, memo: int = 700_000, long: int = 1 << 16):
-        super().__init__(path, memo)
-        self.long = long
-        self.line_end = self.pieces["\n"]
-        self.chunks = _Memo(self._word, memo)
-
-    def _piece(self, piece: str) -> int:
-        return len(self._tokens(piece))
-
-    def _word(self, word: str) -> int:
-        """Tokens of a word and the separator before it: a line feed where the word starts with one, else a space."""
-        if word[:1] == "\n":
-            return self.line_end + self._chunk(word[1:])
-        if word.isalpha():
-            return self._piece(" " + word)
-        return self._chunk(" " + word)
-
-    def _chunk(self, chunk: str) -> int:
-        return sum(map(self.pieces.__getitem__, _BYTE_PATTERN.findall(chunk)))
-
-    def _regular(self, texts: pa.Array) -> np.ndarray:
-        """Words parted by one space or line feed: each such separator starts a pre-token."""
-        marked = pc.binary_join_element_wise("\n", pc.replace_substring(texts, "\n", " \n"), "")
-        words = pc.split_pattern(marked, " ")
-        coded = words.values.dictionary_encode()
-        each = np.fromiter(map(self.chunks.__getitem__, coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
-        ends = np.concatenate([[0], np.cumsum(each[coded.indices.to_numpy()])])
-        at = words.offsets.to_numpy()
-        return ends[at[1:]] - ends[at[:-1]] - self.line_end
-
-    def safe_parts(self, text: str) -> list[str]:
-        """Cut a long text before single spaces between non-spaces, where a pre-token always starts."""
-        parts, start = [], 0
-        while len(text) - start > self.long:
-            at = start + self.long
-            while (at := text.find(" ", at)) >= 0 and (at + 1 >= len(text) or text[at - 1].isspace() or text[at + 1].isspace()):
-                at += 1
-            if at < 0:
-                break
-            parts.append(text[start:at])
-            start = at
-        return [*parts, text[start:]]
-
-    def counts(self, texts: pa.Array) -> np.ndarray:
-        """The number of tokens of each text; none is null."""
-        out = np.zeros(len(texts), np.int64)
-        beyond = pc.match_substring_regex(texts, _BEYOND).to_numpy(zero_copy_only=False)
-        odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
-        empty = pc.equal(texts, "").to_numpy(zero_copy_only=False)
-        regular = ~(beyond | odd | empty)
-        if regular.any():
-            out[regular] = self._regular(texts.filter(pa.array(regular)))
-        for i in np.flatnonzero(odd & ~beyond & ~empty):
-            out[i] = self._chunk(texts[i].as_py())
-        rest = [(i, part) for i in np.flatnonzero(beyond) for part in self.safe_parts(texts[i].as_py())]
-        for at in range(0, len(rest), 64):
-            some = rest[at : at + 64]
-            for (i, _), e in zip(some, self.full.encode_batch_fast([p for _, p in some], add_special_tokens=False), strict=True):
-                out[i] += len(e)
+    Texts are split where a pre-token surely starts: before a space, and around a line feed, that stand alone between other
+    signs, and between a letter or digit and a sign (no apostrophe or bar). Equal parts are encoded once as long as the memo holds them (``memo`` parts of up to ``short`` signs); all
+    parts that it doesn't hold go to the encoder in batches of about ``batch_bytes``. That these places are safe follows
+    from the byte-level pre-tokenizer; under any other pre-tokenizer, or a normalizer, texts are encoded whole.
+    """
+
+    _SAFE = re.compile(r"(?<=\S)(?=[ \n]\S)|(?<=\S\n)(?=\S)|(?<=[0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f])(?=[!-&(-/:-@\[-`{}~])")
+
+    _WORD = re.compile(r" ?\S+")
+
+    def __init__(self, path: str, memo: int = 700_000, short: int = 64, batch_bytes: int = 1 << 20):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.full = Tokenizer.from_file(path)
+        self.full.no_truncation()
+        self.full.no_padding()
+        self.most, self.short, self.batch_bytes, self.memo = memo, short, batch_bytes, {}
+        made = json.loads(self.full.to_str())
+        before = made["pre_tokenizer"] or {}
+        plain = all(not (t["lstrip"] or t["rstrip"] or t["single_word"]) and self._SAFE.split(t["content"]) == [t["content"]] for t in made["added_tokens"])
+        self.splits = made["normalizer"] is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and plain
+        line_end = self.full.encode("\n", add_special_tokens=False).ids
+        self.splits, self.line_end = self.splits and len(line_end) == 1, line_end[0] if line_end else -1
+
+    def _batches(self, parts: list[str]) -> Iterator[list[str]]:
+        at = 0
+        while at < len(parts):
+            end, held = at, 0
+            while end < len(parts) and (end == at or held + len(parts[end]) <= self.batch_bytes):
+                held += len(parts[end]) + 1
+                end += 1
+            yield parts[at:end]
+            at = end
+
+    def _lengths(self, parts: list[str]) -> list[int]:
+        return [len(e) for some in self._batches(parts) for e in self.full.encode_batch_fast(some, add_special_tokens=False)]
+
+    def _joined(self, words: list[str]) -> list[int]:
+        """The same of parts that hold no white space but a space before them: a batch is one text, a line for each."""
+        out = []
+        for some in self._batches(words):
+            ids = np.array(self.full.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids + [self.line_end])
+            ends = np.flatnonzero(ids == self.line_end)
+            if len(ends) != len(some):
+                raise ValueError("the tokenizer doesn't keep line feeds apart")
+            out += (np.diff(ends, prepend=-1) - 1).tolist()
+        return out
+
+    def counts(self, texts: list[str]) -> list[int]:
+        """The number of tokens of each text."""
+        if not self.splits:
+            return self._lengths(texts)
+        parts = [self._SAFE.split(t) for t in texts]
+        unseen = list({p for own in parts for p in own} - self.memo.keys())
+        if len(self.memo) + len(unseen) > self.most:
+            self.memo.clear()
+            unseen = list({p for own in parts for p in own})
+        words = [p for p in unseen if self._WORD.fullmatch(p)]
+        others = [p for p in unseen if not self._WORD.fullmatch(p)]
+        self.memo.update(zip(words, self._joined(words), strict=True))
+        self.memo.update(zip(others, self._lengths(others), strict=True))
+        out = [sum(map(self.memo.__getitem__, own)) for own in parts]
+        for p in unseen:
+            if len(p) > self.short:
+                del self.memo[p]
         return out
 
 
