@@ -2,10 +2,13 @@
 
 Regular expressions find the base kinds (e-mail, ip, card, phone) and further candidates (secrets, written-out e-mail
 addresses, other numbers). Four labelers vote on each candidate (+1, 0 or -1): its regular expression's strict form, a
-gazetteer of words before it, the signs around it, and the spread of its characters. Expectation-maximisation over the
-counts of vote patterns (81 at most) estimates how reliable each labeler is, as one SQL expression over one row; the
-posteriors then train the span classifier, a naive Bayes over the candidate's own features, with one small aggregation.
-Base spans always stand; the classifier adds spans to them.
+gazetteer (cue words, given names, places and organisations before it, or words that speak against it), the signs around
+it, and the spread of its characters. Expectation-maximisation over the counts of vote patterns (81 at most) estimates how
+reliable each labeler is, as one SQL expression over one row; the posteriors then train the span classifier, a naive Bayes
+over the candidate's own features, with one small aggregation. Base spans always stand; the classifier adds spans to them.
+
+Long texts stay cheap: they are cut once into pieces of equal length, in which what stands around a span is looked up, and
+overlaps are found by running largest ends over sorted spans, block by block.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, written
 
 KINDS = ("email", "ip", "card", "phone")
 MORE = ("secret", "handle", "number")
@@ -33,23 +36,53 @@ _SECRET = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}+={0,2}+(?![A-Za-z0-9+/_=-])
 _HANDLE = rf"(?<!{_LOCAL}){_LOCAL}++ ?[\[(](?:at|AT)[\])] ?[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 _NUMBER = r"(?<![0-9+])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])"
 _EXTRA = f"{_SECRET}|{_HANDLE}|{_NUMBER}"
+# The gazetteer, in the four languages of the tables.
+_CUES = "token|key|secret|password|passwd|pwd|api|auth|bearer|credential|login|user|username|account|mail|e-mail|email|contact|call|phone|tel|fax|mobile|cell|whatsapp|card|visa|mastercard|amex|credit|debit|iban|ssn|passport|ip|host|server|address|name|passwort|kennwort|schlüssel|benutzer|konto|karte|kreditkarte|telefon|handy|rufnummer|anruf|adresse|kontakt|motdepasse|clé|compte|carte|téléphone|portable|courriel|adresse|contraseña|clave|cuenta|tarjeta|teléfono|móvil|correo|dirección|contacto"
+_NAMES = "james|john|robert|michael|william|david|richard|thomas|mary|patricia|jennifer|linda|elizabeth|susan|sarah|karen|anna|peter|hans|klaus|jürgen|wolfgang|ursula|monika|sabine|petra|jean|pierre|michel|marie|nathalie|isabelle|françois|juan|josé|carlos|antonio|carmen|maría|ana|lucía|mr|mrs|ms|dr|prof|herr|frau|monsieur|madame|señor|señora"
+_PLACES = "london|paris|berlin|madrid|vienna|zurich|munich|hamburg|lyon|marseille|barcelona|sevilla|new york|boston|chicago|toronto|sydney|dublin|street|road|avenue|straße|platz|rue|calle|plaza"
+_ORGANISATIONS = "inc|ltd|llc|corp|company|gmbh|ag|kg|sarl|sa|sl|bank|university|hospital|office|support|team|sales|service"
+_AGAINST = "version|release|v|isbn|issn|doi|license|licence|chapter|section|page|pages|year|copyright|commit|sha|md5|checksum|figure|table|article|volume|kapitel|seite|abschnitt|chapitre|capítulo|página|année|año|jahr"
 _BEFORE = {
-    1: r"(?i)\b(?:token|key|secret|passwo?r?d|pwd|api|auth|bearer|mail|e-mail|contact|call|phone|tel|fax|mobile|card|visa|account|iban|ssn|ip|host)\b[^A-Za-z0-9]*$",
-    -1: r"(?i)\b(?:version|v|isbn|issn|doi|license|licence|chapter|section|page|year|copyright|commit|sha|md5)\b[^A-Za-z0-9]*$",
+    1: rf"(?iu)\b(?:{_CUES})\b[^\p{{L}}\p{{N}}]*$",
+    2: rf"(?iu)\b(?:{_NAMES}|{_PLACES}|{_ORGANISATIONS})\b[^\p{{L}}\p{{N}}]*$",
+    -1: rf"(?iu)\b(?:{_AGAINST})\b[^\p{{L}}\p{{N}}]*$",
 }
+_PIECE = 4096
 _LABELERS = 4
-_FEATURES = ("kind", "length", "digits", "left", "right")
+_FEATURES = ("kind", "length", "digits", "left", "right", "upper", "different", "before")
+
+
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _scan(values: Column, zero: Column, op, inclusive: bool = True, block: int = 256) -> Column:
+    """``op`` of all elements up to each one (or before it): in blocks, so that long arrays aren't copied once an element."""
+    add = lambda acc, x: F.concat(acc, F.array(op(F.element_at(acc, -1), x)))
+
+    def scan(own: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.ceil(F.size(own) / F.lit(float(block))).cast("int") - 1)
+        part = lambda b: F.slice(own, b * block + 1, block)
+        starts = F.aggregate(F.transform(numbers, lambda b: F.aggregate(part(b), zero, lambda acc, x: op(acc, x))), F.array(zero), add)
+        inner = lambda s: F.flatten(F.transform(numbers, lambda b: F.slice(F.aggregate(part(b), F.array(F.element_at(s, b + 1)), add), 2 if inclusive else 1, F.size(part(b)))))
+        return F.when(F.size(own) > 0, _let(starts, inner)).otherwise(F.array().cast("array<long>"))
 
+    return _let(values, scan)
 
-def _running(sizes: Column, block: int = 256) -> Column:
-    """Sums of what stands before each element: in blocks, so that long arrays aren't copied once an element."""
-    zero = F.lit(0).cast("long")
-    add = lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x))
-    numbers = F.sequence(F.lit(0), F.ceil(F.size(sizes) / F.lit(float(block))).cast("int") - 1)
-    part = lambda b: F.slice(sizes, b * block + 1, block)
-    starts = F.aggregate(F.transform(numbers, lambda b: F.aggregate(part(b), zero, lambda a, x: a + x)), F.array(zero), add)
-    inner = F.transform(numbers, lambda b: F.slice(F.aggregate(part(b), F.array(F.element_at(starts, b + 1)), add), 1, F.size(part(b))))
-    return F.when(F.size(sizes) > 0, F.flatten(inner)).otherwise(F.array().cast("array<long>"))
+
+def _pieces(text: Column) -> Column:
+    """The text in pieces of ``_PIECE`` code points."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_PIECE}}}"), F.lit(0))
+
+
+def _between(pieces: Column, start: Column, end: Column) -> Column:
+    """What stands from ``start`` to ``end`` in a text given as pieces, at a cost of its length and two pieces."""
+    n, a, b = F.lit(_PIECE), F.floor(start / _PIECE).cast("int"), F.floor(end / _PIECE).cast("int")
+    cut = lambda i, at, size: F.coalesce(F.get(pieces, i).substr(at.cast("int"), size.cast("int")), F.lit(""))
+    one = cut(a, start % n + 1, end - start)
+    more = F.concat(cut(a, start % n + 1, n), F.array_join(F.slice(pieces, a + 2, F.greatest(b - a - 1, F.lit(0))), ""), cut(b, F.lit(1), end % n))
+    return F.when(a == b, one).otherwise(more)
 
 
 def _with_found(df: DataFrame, name: str, text: str, pattern: str, maybe: Column) -> DataFrame:
@@ -58,7 +91,7 @@ def _with_found(df: DataFrame, name: str, text: str, pattern: str, maybe: Column
     found = F.when(maybe, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
     df = df.withColumn(m, found).withColumn(g, F.when(F.size(m) > 0, F.split(text, pattern, -1)))
     # the start of match i: all gaps up to it and all matches before it
-    df = df.withColumn(at, F.when(F.size(m) > 0, _running(F.transform(F.col(g), lambda x, i: F.length(x).cast("long") + F.coalesce(F.length(F.get(F.col(m), i)), F.lit(0))))))
+    df = df.withColumn(at, F.when(F.size(m) > 0, _scan(F.transform(F.col(g), lambda x, i: F.length(x).cast("long") + F.coalesce(F.length(F.get(F.col(m), i)), F.lit(0))), F.lit(0).cast("long"), lambda a, x: a + x, False)))
     spans = F.transform(F.col(m), lambda x, i: F.struct((F.get(F.col(at), i) + F.length(F.get(F.col(g), i))).alias("start"), (F.get(F.col(at), i) + F.length(F.get(F.col(g), i)) + F.length(x)).alias("end"), x.alias("m")))
     empty = F.array().cast("array<struct<start:bigint,end:bigint,m:string>>")
     return df.withColumn(name, F.coalesce(spans, empty)).drop(m, g, at)
@@ -91,19 +124,50 @@ _VALID = {
 }
 
 
-def _candidate(text: str, kind: Column, is_base: Column, strict: Column, x: Column) -> Column:
-    before = F.col(text).substr(F.greatest(x["start"] - 23, F.lit(1)).cast("int"), F.least(x["start"], F.lit(24)).cast("int"))
-    after = F.col(text).substr((x["end"] + 1).cast("int"), F.lit(1))
-    left = F.right(before, F.lit(1))
-    vote = lambda c: F.when(c, 1).otherwise(-1)
-    gazetteer = F.when(before.rlike(_BEFORE[1]), 1).when(before.rlike(_BEFORE[-1]), -1).otherwise(0)
-    context = F.when(left.rlike("[\"'=:<(\\[{]") | after.rlike("[\"'>)\\]}]"), 1).when(left.rlike(r"[\p{L}_]") | after.rlike(r"[\p{L}_]"), -1).otherwise(0)
-    size, n_digits = F.length(x["m"]), F.length(_digits(x["m"]))
-    # digits without the checksum or the length of their kind have the wrong make-up too
-    spread = F.when(~strict & (kind == len(KINDS) + 2), -1).when(x["m"].rlike(r"^(.)\1*+$") | (n_digits == 0), -1).when(F.size(F.array_distinct(F.split(F.lower(x["m"]), ""))) >= 8, 1).otherwise(0)
-    side = lambda c: F.when(c == "", 0).when(c.rlike(r"\s"), 1).when(c.rlike("[\"'=:]"), 2).when(c.rlike(r"[\p{L}\p{N}]"), 3).otherwise(4)
-    features = [kind, F.least(F.lit(7), F.floor(F.log2(size))).cast("int"), F.floor(n_digits * 4 / size).cast("int"), side(left), side(after)]
-    return F.struct(kind.alias("kind"), x["start"].alias("start"), x["end"].alias("end"), is_base.alias("base"), F.array(vote(strict), gazetteer, context, spread).alias("v"), F.array(*features).alias("f"))
+def _with(x: Column, names: tuple[str, ...], **more: Column) -> Column:
+    return F.struct(*(x[n].alias(n) for n in names), *(c.alias(n) for n, c in more.items()))
+
+
+def _candidates(spans: Column, pieces: Column, is_base: bool) -> Column:
+    """The spans (kind, start, end, m, strict) with their votes and features; each step works on what the one before worked out."""
+    names = ("kind", "start", "end", "m", "strict")
+    around = F.transform(spans, lambda x: _with(x, names, before=_between(pieces, F.greatest(x["start"] - 24, F.lit(0).cast("long")), x["start"]), after=_between(pieces, x["end"], x["end"] + 1)))
+
+    def measures(x: Column) -> Column:
+        word = F.when(x["before"].rlike(_BEFORE[1]), 1).when(x["before"].rlike(_BEFORE[2]), 2).when(x["before"].rlike(_BEFORE[-1]), 3).otherwise(0)
+        different = F.size(F.array_distinct(F.split(F.lower(x["m"]), "")))
+        return _with(x, (*names, "after"), left=F.right(x["before"], F.lit(1)), word=word, size=F.length(x["m"]), digits=F.length(_digits(x["m"])), upper=F.length(F.regexp_replace(x["m"], "[^A-Z]", "")), different=different)
+
+    def judged(x: Column) -> Column:
+        kind, strict, left, after, word = (x[k] for k in ("kind", "strict", "left", "after", "word"))
+        vote = lambda c: F.when(c, 1).otherwise(-1)
+        gazetteer = F.when(word == 0, 0).when(word == 3, -1).otherwise(1)
+        context = F.when(left.rlike("[\"'=:<(\\[{]") | after.rlike("[\"'>)\\]}]"), 1).when(left.rlike(r"[\p{L}_]") | after.rlike(r"[\p{L}_]"), -1).otherwise(0)
+        # digits without the checksum or the length of their kind have the wrong make-up too
+        spread = F.when(~strict & (kind == len(KINDS) + 2), -1).when(x["m"].rlike(r"^(.)\1*+$") | (x["digits"] == 0), -1).when(x["different"] >= 8, 1).otherwise(0)
+        side = lambda c: F.when(c == "", 0).when(c.rlike(r"\s"), 1).when(c.rlike("[\"'=:]"), 2).when(c.rlike(r"[\p{L}\p{N}]"), 3).otherwise(4)
+        quarter = lambda n: F.floor(n * 4 / x["size"]).cast("int")
+        features = [kind, F.least(F.lit(7), F.floor(F.log2(x["size"]))).cast("int"), quarter(x["digits"]), side(left), side(after), quarter(x["upper"]), F.least(F.lit(4), F.floor(x["different"] / 5)).cast("int"), word]
+        return _with(x, ("kind", "start", "end"), base=F.lit(is_base), v=F.array(vote(strict), gazetteer, context, spread), f=F.array(*features))
+
+    return F.transform(F.transform(around, measures), judged)
+
+
+_FAR = (1 << 62) - 1
+
+
+def _free(base: Column, more: Column) -> Column:
+    """Those of ``more`` that no span of ``base`` overlaps: both sorted as one, with the largest end before and the least start after."""
+    mark = lambda spans, c: F.transform(spans, lambda x: F.struct(x["start"].alias("start"), F.lit(c).alias("c"), x["end"].alias("end"), x["kind"].alias("kind"), x["m"].alias("m"), x["strict"].alias("strict")))
+    both = F.array_sort(F.concat(mark(base, 0), mark(more, 1)))
+    far = F.lit(_FAR).cast("long")
+
+    def pick(own: Column) -> Column:
+        ends = _scan(F.transform(own, lambda x: F.when(x["c"] == 0, x["end"]).otherwise(F.lit(-1).cast("long"))), F.lit(-1).cast("long"), F.greatest)
+        starts = F.reverse(_scan(F.transform(F.reverse(own), lambda x: F.when(x["c"] == 0, x["start"]).otherwise(far)), far, F.least))
+        return _let(ends, lambda e: _let(starts, lambda s: F.filter(own, lambda x, i: (x["c"] == 1) & (F.get(e, i) <= x["start"]) & (F.get(s, i) >= x["end"]))))
+
+    return F.when((F.size(base) > 0) & (F.size(more) > 0), _let(both, pick)).otherwise(mark(more, 1))
 
 
 def annotate(df: DataFrame, text_col: str, prefix: str = "__pii_") -> DataFrame:
@@ -116,29 +180,23 @@ def annotate(df: DataFrame, text_col: str, prefix: str = "__pii_") -> DataFrame:
     for kind in KINDS:
         df = _with_found(df, names[kind], text, PATTERNS[kind], maybe[kind])
     df = _with_found(df, names["extra"], text, _EXTRA, digit | F.col(text).contains("at") | F.col(text).contains("AT"))
+    first_more = len(KINDS)
 
     def listed(i: int, k: str) -> Column:
-        return F.transform(F.col(names[k]), lambda x: F.struct(F.lit(i).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["m"].alias("m"), _VALID[k](x["m"]).alias("ok")))
+        return F.transform(F.col(names[k]), lambda x: F.struct(F.lit(i).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["m"].alias("m"), _VALID[k](x["m"]).alias("strict")))
 
-    df = df.withColumn(f"{prefix}all", F.concat(*(listed(i, k) for i, k in enumerate(KINDS)))).drop(*(names[k] for k in KINDS))
-    df = df.withColumn(f"{prefix}good", F.filter(F.col(f"{prefix}all"), lambda x: x["ok"]))
-    base = F.array_sort(F.transform(F.col(f"{prefix}good"), lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))))
-    near = F.filter(F.col(f"{prefix}all"), lambda x: ~x["ok"] & (x["kind"] >= 2))
-    free = lambda x: ~F.exists(F.col(f"{prefix}good"), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    first_more = len(KINDS)
     extra_kind = lambda m: F.when(m.rlike(f"^(?:{_HANDLE})$"), first_more + 1).when(m.rlike(f"^(?:{_NUMBER})$"), first_more + 2).otherwise(first_more)
     strict_extra = lambda m: m.rlike("^[0-9a-f]{32,}$|^[0-9A-F]{32,}$|^[A-Za-z0-9+/_-]*[0-9][A-Za-z0-9+/_-]*={0,2}$") | m.rlike(f"^(?:{_HANDLE}|{_NUMBER})$")
-    cand = F.concat(
-        F.transform(F.col(f"{prefix}good"), lambda x: _candidate(text, x["kind"], F.lit(True), F.lit(True), x)),
-        F.transform(F.filter(near, free), lambda x: _candidate(text, F.lit(first_more + 2), F.lit(False), F.lit(False), x)),
-        F.transform(F.filter(F.col(names["extra"]), free), lambda x: _candidate(text, extra_kind(x["m"]), F.lit(False), strict_extra(x["m"]), x)),
-    )
-    return df.withColumn(f"{prefix}base", base).withColumn(f"{prefix}cand", cand).drop(f"{prefix}all", f"{prefix}good", names["extra"], text)
-
-
-def _let(value: Column, use) -> Column:
-    """``use(value)`` with the value computed once."""
-    return F.element_at(F.transform(F.array(value), use), 1)
+    whole, good, more, pieces = (F.col(prefix + k) for k in ("all", "good", "more", "pieces"))
+    df = df.withColumn(f"{prefix}all", F.concat(*(listed(i, k) for i, k in enumerate(KINDS)))).drop(*(names[k] for k in KINDS))
+    df = df.withColumn(f"{prefix}good", F.filter(whole, lambda x: x["strict"]))
+    near = F.transform(F.filter(whole, lambda x: ~x["strict"] & (x["kind"] >= 2)), lambda x: F.struct(F.lit(first_more + 2).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["m"].alias("m"), x["strict"].alias("strict")))
+    extra = F.transform(F.col(names["extra"]), lambda x: F.struct(extra_kind(x["m"]).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["m"].alias("m"), strict_extra(x["m"]).alias("strict")))
+    df = df.withColumn(f"{prefix}more", F.concat(near, extra)).withColumn(f"{prefix}more", _free(good, more))
+    df = df.withColumn(f"{prefix}pieces", F.when(F.size(good) + F.size(more) > 0, _pieces(F.col(text))))
+    cand = F.concat(_candidates(good, pieces, True), _candidates(more, pieces, False))
+    base = F.array_sort(F.transform(good, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))))
+    return df.withColumn(f"{prefix}cand", cand).withColumn(f"{prefix}base", base).drop(names["extra"], text, *(prefix + k for k in ("all", "good", "more", "pieces")))
 
 
 def reliability(patterns: Column, rounds: int = 40, right: float = 7.0, wrong: float = 3.0, low: float = 0.55, high: float = 0.99) -> Column:
@@ -199,7 +257,7 @@ class SpanModel:
 def fit(rows: DataFrame, cand: str = "__pii_cand") -> SpanModel:
     """Estimate reliabilities over the candidates' votes, then train the classifier on the posteriors.
 
-    What reaches the driver is one row of 5 numbers and at most 8 values of each of 5 features.
+    What reaches the driver is one row of 5 numbers and at most 8 values of each of 8 features.
     """
     each = rows.select(F.explode(cand).alias("c")).groupBy(F.col("c.v").alias("v"), F.col("c.f").alias("f")).agg(F.count("*").cast("double").alias("n"))
     each = checkpoint(each)
@@ -243,23 +301,27 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def mask(docs: DataFrame, text_col: str = "text", length_col: str | None = None) -> DataFrame:
-    """The documents with each span (overlapping ones as one) replaced by its first kind in brackets.
+    """The documents with each span (overlapping ones as one) replaced by its first kind in brackets; texts are searched once.
 
     ``length_col``, if given, is set to the new length. Null texts stay null.
     """
-    rows = checkpoint(annotate(docs.select(F.col(text_col)), text_col).select("__pii_cand"))
+    rows = written(annotate(docs, text_col))
     model = fit(rows)
-    found = annotate(docs, text_col).withColumn("__pii_spans", spans(F.col("__pii_base"), F.col("__pii_cand"), model))
-    s, text = F.col("__pii_spans"), F.col(text_col)
+    s, text, far = F.col("__pii_spans"), F.col(text_col), F.col("__pii_reach")
+    found = rows.withColumn("__pii_spans", spans(F.col("__pii_base"), F.col("__pii_cand"), model))
+    found = found.withColumn("__pii_reach", F.when(F.size(s) > 0, _scan(F.transform(s, lambda x: x["end"]), F.lit(0).cast("long"), F.greatest)))
     # a span that starts before an earlier one ends joins it
-    head = F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: ~F.exists(s, lambda o: (o["start"] < F.element_at(s, i)["start"]) & (o["end"] > F.element_at(s, i)["start"])) & ~F.exists(F.slice(s, 1, F.greatest(i - 1, F.lit(0))), lambda o: o["start"] == F.element_at(s, i)["start"]))
-    found = found.withColumn("__pii_head", F.when(F.size(s) > 0, F.transform(head, lambda i: F.element_at(s, i))))
-    h = F.col("__pii_head")
-    reach = F.transform(h, lambda x, i: F.array_max(F.transform(F.filter(s, lambda o: (o["start"] >= x["start"]) & (F.get(h, i + 1).isNull() | (o["start"] < F.get(h, i + 1)["start"]))), lambda o: o["end"])))
-    found = found.withColumn("__pii_reach", reach)
-    names = F.array(*map(F.lit, (*KINDS, *MORE)))
-    piece = lambda x, i: F.concat(F.lit("["), F.upper(F.get(names, x["kind"])), F.lit("]"), text.substr((F.get(F.col("__pii_reach"), i) + 1).cast("int"), (F.coalesce(F.get(h, i + 1)["start"], F.length(text).cast("long")) - F.get(F.col("__pii_reach"), i)).cast("int")))
-    new = F.when(F.size(h) > 0, F.concat(text.substr(F.lit(1), F.get(h, F.lit(0))["start"].cast("int")), F.array_join(F.transform(h, piece), ""))).otherwise(text)
+    heads = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i)["start"] >= F.get(far, i - 1)))
+    found = found.withColumn("__pii_head", F.when(F.size(s) > 0, heads)).withColumn("__pii_pieces", F.when(F.size(s) > 0, _pieces(text)))
+    h, pieces, names = F.col("__pii_head"), F.col("__pii_pieces"), F.array(*map(F.lit, (*KINDS, *MORE)))
+
+    def replaced(i: Column, k: Column) -> Column:
+        following = F.get(h, k + 1)
+        ends, begins = F.get(far, F.coalesce(following, F.size(s)) - 1), F.coalesce(F.get(s, following)["start"], F.length(text).cast("long"))
+        return F.concat(F.lit("["), F.upper(F.get(names, F.get(s, i)["kind"])), F.lit("]"), _between(pieces, ends, begins))
+
+    first = _between(pieces, F.lit(0).cast("long"), F.get(s, F.lit(0))["start"])
+    new = F.when(F.size(h) > 0, F.concat(first, F.array_join(F.transform(h, replaced), ""))).otherwise(text)
     out = found.withColumn(text_col, new)
     if length_col:
         out = out.withColumn(length_col, F.length(text_col).cast("long"))
