@@ -22,12 +22,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import balanced, checkpoint
+from .common import batches_of, checkpoint
 
 ORDER = 5
 _BYTE, _PAD, _SLOTS = 8, 0xFF, 1 << 16  # byte 255 isn't in UTF-8, so it stands before a text's first byte
@@ -70,23 +69,6 @@ def gram_codes(texts: list[bytes], slot: np.ndarray, part: int = 1 << 21) -> Ite
         yield codes()
 
 
-def batches_of(rows: Iterator[pa.RecordBatch], batch_bytes: int, piece_bytes: int = 4 << 20) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
-    """(number, pieces) of batches of about ``batch_bytes`` of text; a batch's number is a hash of its place and content."""
-    held, size, count, digest = [], 0, 0, None
-    for piece in balanced(rows, "text", piece_bytes):
-        if digest is None:
-            digest = xxhash.xxh64(f"{TaskContext.get().partitionId()}:{count}".encode(), 42)
-        held.append(piece)
-        for text in piece.column(1):
-            size += len(text.as_buffer()) if text.is_valid else 0
-            digest.update(text.as_buffer() if text.is_valid else b"\xff")
-        if size >= batch_bytes:
-            yield digest.intdigest() - (1 << 63), held
-            held, size, count, digest = [], 0, count + 1, None
-    if held:
-        yield digest.intdigest() - (1 << 63), held
-
-
 def _content(piece: pa.RecordBatch) -> tuple[list[bytes], np.ndarray]:
     return pc.fill_null(piece.column(1), "").cast(pa.binary()).to_pylist(), language_slots(piece.column(2))
 

@@ -1,14 +1,21 @@
 """Operator 8: removal of byte strings that also start in a document with a smaller id.
 
-Suffixes are sorted one bucket at a time. A 50-byte window goes to the bucket of its minimizer (the leftmost 16-byte
+Suffixes are sorted one bucket at a time. A 50-byte window goes to the bucket of its minimizer (the leftmost 8-byte
 string of least hash in it), so equal windows meet in one bucket, and neighbouring windows travel together as one short
-segment: the whole text is shuffled once, compressed, as segments. Before the shuffle each batch of documents keeps one
-copy of equal segments, that of its smallest document, and marks the rest at once; so a passage that many documents
-share reaches its bucket once a batch. In a bucket equal segments are one, windows whose larger side of the minimizer nobody else has are set
-aside, the rest is one text whose window suffixes are sorted block by block: first by 16 bytes, then ties are resolved by the ranks of a
-difference cover's sample suffixes, sorted beforehand with the lengths of their common prefixes. For any two tied
-suffixes some shift below the cover's period brings both onto sample positions, so each suffix finds the smallest
-document of its class through one of a few rank look-ups, and memory stays bounded by the block and the sample.
+segment. A minimizer that a sample of the documents shows to be frequent is told apart by the 21 bytes on one side of it, which
+windows around it share, too. There are as many buckets as the bytes of all documents need, so that one fits into a
+task whatever the size of the corpus.
+
+Before the shuffle each batch of documents keeps one copy of equal segments, that of its smallest document, and marks the
+rest at once; so a passage that many documents share reaches its bucket once a batch. In a bucket, too, segments that
+are equal byte for byte count as one (this is a departure: they don't go through the sort, which would only find what is
+known). Windows whose larger side of the minimizer nobody else has are set aside; the rest is one text whose window
+suffixes are sorted block by block: first by 16 bytes, then ties are resolved by the ranks of a difference cover's sample
+suffixes, sorted beforehand with the lengths of their common prefixes. For any two tied suffixes some shift below the
+cover's period brings both onto sample positions, so each suffix finds the smallest document of its class through one
+of a few rank look-ups, and memory stays bounded by the block and the sample.
+
+Spans go back to the batch they came from, and meet its compressed texts there.
 """
 
 from __future__ import annotations
@@ -22,16 +29,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import balanced, checkpoint
+from .common import balanced, batches_of, checkpoint
 
-_GRAM = 16
+_GRAM = 8
 _PERIOD, _COVER = 13, (0, 1, 3, 9)  # every difference modulo 13 is one of two of these
-_HASH = 0x7FFFFFFF  # what is kept of a text's hash: it only tells apart rows of the same id
-_SPANS = "doc_id long, text_hash int, start long, end long"
+_SPANS = "batch long, row int, start int, end int"
 
 
 def _words(text: np.ndarray, at: np.ndarray | slice, big: bool) -> np.ndarray:
@@ -106,7 +111,7 @@ def _first(keys: np.ndarray, order: np.ndarray) -> np.ndarray:
 
 
 #: Type of each part of a blob, and whether it is stored as differences.
-_FIELDS = {"size": ("u1", False), "anchor": ("u1", False), "count": ("<u4", False), "doc": ("<i8", True), "hash": ("<i4", False), "null": ("u1", False), "row": ("<i4", True), "pos": ("<i4", True), "end": ("<i4", True), "data": ("u1", False)}
+_FIELDS = {"size": ("u1", False), "anchor": ("u1", False), "count": ("<u4", False), "doc": ("<i8", True), "row": ("<i4", True), "local": ("<i4", True), "pos": ("<i4", True), "end": ("<i4", True), "data": ("u1", False)}
 
 
 def _blob(zip_: zstandard.ZstdCompressor, **parts: np.ndarray) -> bytes:
@@ -132,25 +137,55 @@ def _parts(blob: bytes, unzip: zstandard.ZstdDecompressor) -> dict[str, np.ndarr
     return out
 
 
-def _ship(batches: Iterator[pa.RecordBatch], depth: int, ids_of_buckets: np.ndarray, batch_bytes: int) -> Iterator[pa.RecordBatch]:
-    """(bucket, blob) rows: segments once a batch; a blob without segments holds spans that are settled already."""
-    zip_ = zstandard.ZstdCompressor(level=1)
-    buckets = len(ids_of_buckets)
+def _joined(row: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The spans, by row and start, those that overlap or touch as one."""
+    if not len(row):
+        return row, start, end
+    order = np.lexsort((start, row))
+    row, start, end = row[order], start[order], end[order]
+    far = int(end.max()) + 1
+    reach = np.maximum.accumulate(row.astype(np.int64) * far + end)
+    head = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (row[1:].astype(np.int64) * far + start[1:] > reach[:-1])]))
+    return row[head], start[head], (reach[np.append(head[1:], len(row)) - 1] - row[head].astype(np.int64) * far).astype(end.dtype)
+
+
+def _texts(column: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The texts as bytes, all of them one after another with 64 spare bytes, and the size of each."""
+    texts = pc.fill_null(column.cast(pa.string()), "").cast(pa.binary()).to_pylist()
+    return texts, np.frombuffer(b"".join([*texts, bytes(64)]), np.uint8), np.fromiter(map(len, texts), np.int64, len(texts))
+
+
+def _split_hot(text: np.ndarray, s0: np.ndarray, count: np.ndarray, anchor: np.ndarray, depth: int, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Segments and the hash that says their bucket; those of a frequent minimizer in two, by the side that all their windows hold."""
+    key = gram_hash(text, anchor)
+    often = np.isin(key, hot)
+    if not often.any():
+        return s0, count, anchor, key
+    half = (depth - _GRAM) // 2
+    out = [(x[~often],) for x in (s0, count, anchor, key)]
+    s, n, at = s0[often], count[often], anchor[often]
+    first = np.clip(at - s - half + 1, 0, n)  # windows with so many bytes before the minimizer
+    for begin, some, shift in ((s, first, -half), (s + first, n - first, 0)):
+        there = np.flatnonzero(some)
+        own = (begin[there], some[there], at[there], gram_hash(text, at[there] + shift, half + _GRAM))
+        out = [(*x, y) for x, y in zip(out, own, strict=True)]
+    return tuple(np.concatenate(x) for x in out)
+
+
+def _ship(batches: Iterator[pa.RecordBatch], depth: int, buckets: int, hot: np.ndarray, batch_bytes: int) -> Iterator[pa.RecordBatch]:
+    """(bucket, batch, blob) rows: segments once a batch; a blob without segments holds spans that are settled already."""
+    zip_ = zstandard.ZstdCompressor(level=3)
     few = np.uint16 if buckets < 1 << 16 else np.uint32
-    for batch in balanced(batches, "text", batch_bytes):
-        texts = pc.fill_null(batch.column(1).cast(pa.string()), "").cast(pa.binary()).to_pylist()
-        ids = batch.column(0)
-        null = ids.is_null().to_numpy(zero_copy_only=False)
-        doc = pc.fill_null(ids, np.iinfo(np.int64).max).to_numpy()
-        size = np.fromiter(map(len, texts), np.int64, len(texts))
+    for number, (batch,) in batches_of(batches, 1, batch_bytes):
+        _, text, size = _texts(batch.column(1))
+        doc = pc.fill_null(batch.column(0), np.iinfo(np.int64).max).to_numpy()
         start = np.cumsum(size) - size
-        text = np.frombuffer(b"".join([*texts, bytes(64)]), np.uint8)
         s0, count, anchor = segments(text, start, size, depth)
         if not len(s0):
             continue
-        hashes = np.array([xxhash.xxh64_intdigest(t, 42) & _HASH if len(t) >= depth else 0 for t in texts], np.int32)
-        bucket = ((gram_hash(text, anchor) >> np.uint64(20)) % np.uint64(buckets)).astype(few)
-        by = np.argsort(bucket, kind="stable")
+        s0, count, anchor, key = _split_hot(text, s0, count, anchor, depth, hot)
+        bucket = ((key >> np.uint64(20)) % np.uint64(buckets)).astype(few)
+        by = np.lexsort((s0, bucket))
         s0, anchor, bucket, length = s0[by], anchor[by], bucket[by], count[by] + depth - 1
         offsets = np.concatenate([[0], np.cumsum(length)])
         data = pa.py_buffer(_gather(text, s0, length))
@@ -160,18 +195,17 @@ def _ship(batches: Iterator[pa.RecordBatch], depth: int, ids_of_buckets: np.ndar
         at = s0 - start[row]
         keep = np.ones(len(code), bool)
         often = np.flatnonzero((np.bincount(code) > 1)[code])
+        names, blobs = [], []
         if len(often):
-            order = often[np.lexsort((at[often], hashes[row[often]], doc[row[often]], code[often]))]
+            order = often[np.lexsort((doc[row[often]], code[often]))]
             head = _first(code, order)
             low = np.repeat(doc[row[order[head]]], np.diff(np.append(head, len(order))))
-            own = doc[row[order]] == low
-            done, order = order[~own], order[own]
-            # rows that repeat a document (its id and text) say nothing new
-            key = np.stack([code[order], at[order], hashes[row[order]]])
-            keep[done] = keep[order[1:][(key[:, 1:] == key[:, :-1]).all(0)]] = False
+            done = order[doc[row[order]] != low]
+            keep[done] = False
             if len(done):
-                part = {"doc": doc[row[done]], "hash": hashes[row[done]], "null": null[row[done]], "pos": at[done], "end": at[done] + length[done]}
-                yield pa.RecordBatch.from_arrays([pa.array([ids_of_buckets[int(doc[row[done[0]]]) * 0x9E3779B1 % buckets]], pa.int32()), pa.array([_blob(zip_, **part)], pa.binary())], ["bucket", "blob"])
+                names.append(number % buckets)
+                settled = _joined(row[done], at[done], at[done] + length[done])
+                blobs.append(_blob(zip_, **dict(zip(("row", "pos", "end"), settled, strict=True))))
         kept = np.flatnonzero(keep)
         kept = kept[np.argsort(code[kept], kind="stable")]
         head = np.append(_first(code, kept), len(kept))  # of each different segment, in the order of the dictionary
@@ -179,12 +213,12 @@ def _ship(batches: Iterator[pa.RecordBatch], depth: int, ids_of_buckets: np.ndar
         places = np.frombuffer(coded.dictionary.buffers()[1], np.int64, len(seg) + 1)
         content = np.frombuffer(coded.dictionary.buffers()[2], np.uint8)
         bounds = np.append(np.flatnonzero(np.concatenate([[True], bucket[seg][1:] != bucket[seg][:-1]])), len(seg))
-        names, blobs = ids_of_buckets[bucket[seg[bounds[:-1]]]], []
         for a, b in zip(bounds[:-1], bounds[1:], strict=True):
             occ, s = kept[head[a] : head[b]], seg[a:b]
-            docs, local = np.unique(row[occ], return_inverse=True)
-            blobs.append(_blob(zip_, size=length[s], anchor=anchor[s] - s0[s], count=uses[a:b], doc=doc[docs], hash=hashes[docs], null=null[docs], row=local, pos=at[occ], data=content[places[a] : places[b]]))
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+            rows, local = np.unique(row[occ], return_inverse=True)
+            names.append(int(bucket[s[0]]))
+            blobs.append(_blob(zip_, size=length[s], anchor=anchor[s] - s0[s], count=uses[a:b], doc=doc[rows], row=rows, local=local, pos=at[occ], data=content[places[a] : places[b]]))
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([number] * len(names), pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "batch", "blob"])
 
 
 class CoverSample:
@@ -288,12 +322,12 @@ def shared_parts(data: np.ndarray, at: np.ndarray, left: np.ndarray, right: np.n
     return np.maximum(least, around - right), np.minimum(most, left)
 
 
-def _settle(parts: list[dict], depth: int) -> Iterator[tuple]:
-    """(doc, null, text hash, start, end) arrays of what a bucket shows to be removable."""
+def _settle(parts: list[dict], depth: int) -> tuple | None:
+    """(batch, row, start, end) arrays of what a bucket shows to be removable."""
     if not parts:
-        return
+        return None
     size, anchor, count = (np.concatenate([p[k] for p in parts]).astype(np.int64) for k in ("size", "anchor", "count"))
-    low = np.concatenate([p["doc"][p["row"][np.cumsum(p["count"], dtype=np.int64) - p["count"]]] for p in parts])
+    low = np.concatenate([p["doc"][p["local"][np.cumsum(p["count"], dtype=np.int64) - p["count"]]] for p in parts])
     content = np.concatenate([p["data"] for p in parts])
     coded = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(size)])), pa.py_buffer(content)]).dictionary_encode()
     code = coded.indices.to_numpy()
@@ -318,106 +352,120 @@ def _settle(parts: list[dict], depth: int) -> Iterator[tuple]:
         rel = np.arange(len(seg)) - (np.cumsum(windows) - windows)[seg]
         own = lowest[shared][seg]
         hit = np.flatnonzero(smallest_of_equal(text, begin[seg] + rel, own, depth) < own)
-        # windows of one segment start closer than a window's length, so what they cover is one span
-        which, at = np.unique(seg[hit], return_index=True)
-        span = np.zeros((2, len(head)), np.int64)
-        span[0, shared[which]] = rel[hit][at] + skip[which]
-        span[1, shared[which]] = rel[hit][np.append(at[1:], len(hit)) - 1] + skip[which] + depth
-        a, b = np.where(b > 0, a, span[0][code]), np.where(b > 0, b, span[1][code])
+        if len(hit):
+            # windows of one segment start closer than a window's length, so what they cover is one span
+            which, at = np.unique(seg[hit], return_index=True)
+            span = np.zeros((2, len(head)), np.int64)
+            span[0, shared[which]] = rel[hit][at] + skip[which]
+            span[1, shared[which]] = rel[hit][np.append(at[1:], len(hit)) - 1] + skip[which] + depth
+            a, b = np.where(b > 0, a, span[0][code]), np.where(b > 0, b, span[1][code])
     cut = np.flatnonzero(b)
     if not len(cut):
-        return
-    base = np.cumsum([0, *(len(p["doc"]) for p in parts)])[:-1]
-    doc, null, hashed = (np.concatenate([p[k] for p in parts]) for k in ("doc", "null", "hash"))
-    row = np.concatenate([p["row"] + o for p, o in zip(parts, base, strict=True)])
-    pos = np.concatenate([p["pos"] for p in parts])
+        return None
+    base = np.cumsum([0, *(len(p["row"]) for p in parts)])[:-1]
+    batch, row = np.concatenate([np.full(len(p["row"]), p["batch"]) for p in parts]), np.concatenate([p["row"] for p in parts])
+    local, pos = np.concatenate([p["local"] + o for p, o in zip(parts, base, strict=True)]), np.concatenate([p["pos"] for p in parts])
     uses = count[cut]
     use = np.repeat((np.cumsum(count) - count)[cut] - (np.cumsum(uses) - uses), uses) + np.arange(uses.sum())
-    row = row[use]
-    yield doc[row], null[row], hashed[row], pos[use] + np.repeat(a[cut], uses), pos[use] + np.repeat(b[cut], uses)
+    own = local[use]
+    return batch[own], row[own], pos[use] + np.repeat(a[cut], uses), pos[use] + np.repeat(b[cut], uses)
 
 
 def _spans(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
     unzip = zstandard.ZstdDecompressor()
-    names = [x.split()[0] for x in _SPANS.split(", ")]
 
-    def rows(found):
-        for doc, null, hashed, a, b in found:
-            yield pa.RecordBatch.from_arrays([pa.array(doc, mask=null.astype(bool)), pa.array(hashed), pa.array(a), pa.array(b)], names)
+    def rows(found, part: int = 1 << 18):
+        for at in range(0, len(found[0]) if found else 0, part):
+            batch, *rest = (x[at : at + part] for x in found)
+            yield pa.RecordBatch.from_arrays([pa.array(batch, pa.int64()), *(pa.array(x.astype(np.int32)) for x in rest)], ["batch", "row", "start", "end"])
 
     held, now = [], None
-    for batch in batches:
-        for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+    for whole in batches:
+        for bucket, number, blob in zip(whole.column(0).to_pylist(), whole.column(1).to_pylist(), whole.column(2), strict=True):
             if bucket != now:
                 yield from rows(_settle(held, depth))
                 held, now = [], bucket
-            p = _parts(blob.as_buffer(), unzip)
+            p = _parts(blob.as_buffer(), unzip) | {"batch": number}
             if len(p["size"]):
                 held.append(p)
             else:
-                yield from rows([(p["doc"], p["null"], p["hash"], p["pos"], p["end"])])
+                yield from rows((np.full(len(p["row"]), number), p["row"], p["pos"], p["end"]))
     yield from rows(_settle(held, depth))
 
 
-def bucket_ids(spark: SparkSession, partitions: int, each: int) -> np.ndarray:
-    """Numbers that the hash partitioning deals evenly, ``each`` to a partition (what chance leaves short, others take)."""
-    tried = spark.range(partitions * each * 8).select(F.col("id").cast("int").alias("id")).withColumn("part", F.pmod(F.hash("id"), F.lit(partitions)))
-    first = tried.withColumn("nth", F.row_number().over(Window.partitionBy("part").orderBy("id"))).where(F.col("nth") <= each)
-    return np.sort(first.select("id").toArrow().column(0).to_numpy())
+def survey(docs: DataFrame, depth: int, one_in: int = 64, most_hot: int = 10_000, least: int = 1000) -> tuple[int, np.ndarray]:
+    """Bytes of all texts, and the hashes of frequent minimizers: those of more than ``least`` segments in a hashed sample of texts.
 
+    The sample only says what is dealt apart, ``most_hot`` minimizers at most; what is found doesn't depend on it.
+    """
 
-def removable(docs: DataFrame, id_col: str, text_col: str, depth: int = 50, buckets_by_partition: int = 2, batch_bytes: int = 8 << 20) -> DataFrame:
-    """doc_id, text_hash and spans (pairs of little-endian 64-bit start and end, merged and ascending) of texts to cut."""
-    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    buckets = bucket_ids(docs.sparkSession, parts, buckets_by_partition)
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    shipped = picked.mapInArrow(lambda batches: _ship(batches, depth, buckets, batch_bytes), "bucket int, blob binary")
-    spans = shipped.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda batches: _spans(batches, depth), _SPANS)
+    def run(batches):
+        for batch in balanced(batches, "text", 8 << 20):
+            texts, _, size = _texts(batch.column(1))
+            texts = [t for t in texts if len(t) >= depth and xxhash.xxh64_intdigest(t, 42) % one_in == 0]
+            _, text, own = _texts(pa.array(texts, pa.binary()).cast(pa.string()))
+            _, _, anchor = segments(text, np.cumsum(own) - own, own, depth)
+            key, n = np.unique(gram_hash(text, anchor), return_counts=True) if len(anchor) else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            key = np.append(key.view(np.int64), np.int64(0))
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.append(n, 0)), pa.array(np.append(np.zeros(len(n), np.int64), size.sum()))], ["key", "n", "bytes"])
 
-    def merge(batches):
-        for batch in batches:
-            out = []
-            for pairs in batch.column(2).to_pylist():
-                x = np.array([(p["start"], p["end"]) for p in pairs], "<i8")
-                x = x[np.argsort(x[:, 0], kind="stable")]
-                reach = np.maximum.accumulate(x[:, 1])
-                head = np.flatnonzero(np.concatenate([[True], x[1:, 0] > reach[:-1]]))
-                out.append(np.stack([x[head, 0], reach[np.append(head[1:], len(x)) - 1]], 1).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["doc_id", "text_hash", "spans"])
+    seen = docs.mapInArrow(run, "key long, n long, bytes long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
+    seen = checkpoint(seen.where((F.col("n") > least) | (F.col("bytes") > 0)))
+    total = seen.agg(F.sum("bytes")).first()[0] or 0
+    hot = seen.where(F.col("n") > least).orderBy(F.desc("n"), "key").limit(most_hot).select("key").toArrow().column(0).to_numpy()
+    return total, np.sort(hot).view(np.uint64)
 
-    by_doc = spans.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "end")).alias("pairs"))
-    return by_doc.mapInArrow(merge, "doc_id long, text_hash int, spans binary")
 
+_OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 50, most_broadcast: int = 32 << 20, keep_text: bool = False, **how) -> DataFrame:
+
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 50, bucket_bytes: int = 6 << 20, batch_bytes: int = 8 << 20, keep_text: bool = False, hot: list[int] | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each row; ``keep_text`` adds kept (binary).
 
-    Removed is each byte that a ``depth``-byte string covers which also starts in a document of smaller id. Null texts are
-    empty; a null id is larger than any other and equal to other null ids, so it removes nothing elsewhere. Repeated
-    rows (same id) remove nothing from each other. Other columns are not read. Texts are treated whole.
+    Removed is each byte that a ``depth``-byte string (of at most 255) covers which also starts in a document of smaller id. Null
+    texts are empty; a null id is larger than any other and equal to other null ids, so it removes nothing elsewhere.
+    Repeated rows (same id) remove nothing from each other. Other columns are not read; an empty table gives no row.
+    Texts are treated whole. A bucket holds the segments of about ``bucket_bytes`` of text. ``hot``: hashes of minimizers
+    to deal apart, by default those that ``survey`` finds.
     """
-    cut = checkpoint(removable(docs, id_col, text_col, depth, **how))
-    weight = cut.agg(F.sum(F.length("spans") + 64)).first()[0] or 0
-    side = cut.select(F.col("doc_id").alias("cut_id"), "text_hash", "spans")
+    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    joined = picked.join(F.broadcast(side) if weight <= most_broadcast else side, F.col("doc_id").eqNullSafe(F.col("cut_id")) & (F.xxhash64("text").bitwiseAND(_HASH).cast("int") == F.col("text_hash")), "left")
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
-
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for text, spans in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                text, at, kept, gone = text or b"", 0, [], 0
-                pairs = np.frombuffer(spans or b"", "<i8").reshape(-1, 2).tolist()
-                for a, b in pairs:
-                    kept.append(text[at:a])
-                    gone, at = gone + b - a, b
-                kept = b"".join([*kept, text[at:]])
-                rows.append((len(text), gone, len(pairs), hashlib.sha256(kept).hexdigest(), *[kept] * keep_text))
-            if rows:
-                yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, zip(*rows, strict=True))], [x.split()[0] for x in schema.split(", ")])
-
-    return joined.select("doc_id", "text", "spans").mapInArrow(run, schema)
+    total, often = survey(picked, depth)
+    often = often if hot is None else np.sort(np.array(hot, np.uint64))
+    buckets = -(-max(2 * parts, total // bucket_bytes) // parts) * parts
+    schema = _OUT + ", kept binary" * keep_text
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def pack(rows):
+        zip_ = zstandard.ZstdCompressor(level=6)
+        for number, (piece,) in batches_of(rows, 1, batch_bytes):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, piece.schema) as writer:
+                writer.write_batch(piece)
+            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([zip_.compress(sink.getvalue())])], ["batch", "docs"])
+
+    def cut(left: pa.Table, right: pa.Table) -> pa.Table:
+        if left.num_rows != 1:
+            raise ValueError("the documents changed between two scans")
+        piece = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(left.column("docs")[0].as_buffer())).read_all().to_batches()[0]
+        texts, _, _ = _texts(piece.column(1))
+        row, start, end = _joined(*(right.column(c).to_numpy() for c in ("row", "start", "end")))
+        bounds = np.searchsorted(row, np.arange(len(texts) + 1)).tolist()
+        start, end, out = start.tolist(), end.tolist(), []
+        for i, text in enumerate(texts):
+            at, kept, gone = 0, [], 0
+            for k in range(bounds[i], bounds[i + 1]):
+                kept.append(text[at : start[k]])
+                gone, at = gone + end[k] - start[k], end[k]
+            kept = b"".join([*kept, text[at:]])
+            out.append((len(text), gone, bounds[i + 1] - bounds[i], hashlib.sha256(kept).hexdigest(), *[kept] * keep_text))
+        return pa.Table.from_arrays([piece.column(0), *map(pa.array, zip(*out, strict=True))], names)
+
+    shipped = picked.mapInArrow(lambda rows: _ship(rows, depth, buckets, often, batch_bytes), "bucket long, batch long, blob binary")
+    dealt = shipped.repartitionById(parts, F.pmod("bucket", F.lit(parts)).cast("int")).sortWithinPartitions("bucket")
+    spans = dealt.mapInArrow(lambda rows: _spans(rows, depth), _SPANS)
+    blobs = picked.mapInArrow(pack, "batch long, docs binary")
+    return blobs.groupBy("batch").cogroup(spans.groupBy("batch")).applyInArrow(cut, schema)
 
 
 #: DuckDB SQL of ``dedup``: all windows of all documents, grouped.

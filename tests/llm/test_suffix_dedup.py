@@ -48,9 +48,25 @@ def test_same_as_brute_force(docs_of):
     assert got(found) == plain(rows)
 
 
-def test_small_batches_and_shuffle_join(docs_of):
+def test_small_batches_and_many_buckets(docs_of):
     rows = edge_rows()
-    assert got(suffix_dedup.dedup(docs_of(rows), batch_bytes=500, buckets_by_partition=1, most_broadcast=0)) == plain(rows)
+    assert got(suffix_dedup.dedup(docs_of(rows), batch_bytes=500, bucket_bytes=300)) == plain(rows)
+
+
+def test_frequent_minimizers_are_dealt_apart(docs_of, spark):
+    rows = edge_rows()
+    text = np.concatenate([np.frombuffer((t or "").encode() + bytes(64), np.uint8) for _, t in rows])
+    every = np.unique(suffix_dedup.gram_hash(text, slice(0, len(text) - 7)))
+    for hot in (every.tolist(), every[::2].tolist()):
+        assert got(suffix_dedup.dedup(docs_of(rows), batch_bytes=2000, bucket_bytes=500, hot=hot)) == plain(rows)
+    docs = spark.createDataFrame([(i, f"{i} " * 20 + "the same eight bytes " * 30) for i in range(50)], "doc_id long, text string")
+    total, found = suffix_dedup.survey(docs, 50, 1, least=40)
+    assert total == sum(len(r.text) for r in docs.collect()) and 0 < len(found) <= 21 and (np.diff(found.astype(float)) > 0).all()
+
+
+def test_kept_text(docs_of):
+    rows = [(1, "x" * 60 + "abc"), (2, "12" + "x" * 60 + "3é"), (3, None)]
+    assert {r.doc_id: bytes(r.kept).decode() for r in suffix_dedup.dedup(docs_of(rows), keep_text=True).collect()} == {1: "x" * 60 + "abc", 2: "123é", 3: ""}
 
 
 def test_sf_table(sf_docs):
