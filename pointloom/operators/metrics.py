@@ -10,12 +10,13 @@ from pointloom.operators.ordering import with_sum_before
 from pointloom.sources.frames import points as as_points
 
 
-def instance_iou(proposals: DataFrame, gt: DataFrame, eps: float = 0.0) -> DataFrame:
+def instance_iou(proposals: DataFrame, gt: DataFrame, eps: float = 0.0, sparse: bool = False) -> DataFrame:
     """proposal_id, gt_col, cloud_id, instance_id, iou of each proposal with the instances of its own cloud.
 
     ``proposals`` has proposal_id, cloud_id, point_id (repeats count); ``gt`` has cloud_id, point_id, instance_id with 0 for
     background. Instances of a cloud are 1 to its largest id, gaps included; gt_col counts on over the clouds.
-    Instances of other clouds, which a matrix would show as 0, have no row. A proposal over two clouds raises ValueError.
+    Instances of other clouds, which a matrix would show as 0, have no row; with ``sparse`` only pairs that share points do,
+    so that rows follow the overlaps and not the instances. A proposal over two clouds raises ValueError.
     """
     spread = proposals.groupBy("proposal_id").agg(F.min("cloud_id").alias("cloud_id"), F.max("cloud_id").alias("other"), F.count("*").alias("size"))
     if not spread.where("cloud_id <> other").isEmpty():
@@ -25,7 +26,10 @@ def instance_iou(proposals: DataFrame, gt: DataFrame, eps: float = 0.0) -> DataF
     spine = spine.select("cloud_id", "instance_id", (F.col("before") + F.col("instance_id") - 1).cast("long").alias("gt_col"))
     sizes = gt.where("instance_id > 0").groupBy("cloud_id", "instance_id").agg(F.count("*").alias("gt_size"))
     shared = proposals.join(gt.where("instance_id > 0"), ["cloud_id", "point_id"]).groupBy("proposal_id", "cloud_id", "instance_id").agg(F.count("*").alias("n"))
-    out = spread.select("proposal_id", "cloud_id", "size").join(spine, "cloud_id").join(sizes, ["cloud_id", "instance_id"], "left").join(shared, ["proposal_id", "cloud_id", "instance_id"], "left")
+    if sparse:
+        before = with_sum_before(top, ["cloud_id"], F.col("top"), "before").select("cloud_id", "before")
+        spine = shared.join(before, "cloud_id").select("proposal_id", "cloud_id", "instance_id", (F.col("before") + F.col("instance_id") - 1).cast("long").alias("gt_col"))
+    out = spread.select("proposal_id", "cloud_id", "size").join(spine, ["proposal_id", "cloud_id"] if sparse else "cloud_id").join(sizes, ["cloud_id", "instance_id"], "left").join(shared, ["proposal_id", "cloud_id", "instance_id"], "left")
     n = F.coalesce("n", F.lit(0)).cast("double")
     union = F.col("size") + F.coalesce("gt_size", F.lit(0)) - n + F.lit(eps)
     return out.select("proposal_id", "gt_col", "cloud_id", "instance_id", F.when(n > 0, n / union).otherwise(0.0).alias("iou"))

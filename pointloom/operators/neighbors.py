@@ -2,7 +2,12 @@
 
 Neighbours are an edge list: cloud_id, query_id, rank (from 0), point_id, dist2. A radius join is an equi-join on the
 cloud and a grid cell as wide as the radius, with each query in its 27 cells, so a cloud of any size spreads over tasks.
-Nearest neighbours use the whole cloud where clouds are small, and grid cells of growing width where they are not.
+Where only some neighbours of each query are wanted, narrow cells come first and settle the queries in crowded places,
+so that pairs of a dense cell aren't all made. Nearest neighbours of small clouds use the whole cloud; larger ones are
+searched in cells of growing width, from one that fits the cloud's most crowded cell.
+
+Points without finite coordinates are nobody's neighbours and ask for none; ties go to the smaller point_id; repeated
+points count as often as they stand there; other columns are not read; without points or queries there are no rows.
 """
 
 from __future__ import annotations
@@ -15,6 +20,7 @@ from pointloom.functions.geometry import around, cell, dist2
 from pointloom.operators.lineage import checkpoint
 from pointloom.operators.ordering import with_sum_before
 from pointloom.sources.frames import points as as_points
+from pointloom.sources.frames import require
 
 _CELL = ("cx", "cy", "cz")
 
@@ -48,7 +54,21 @@ def _ranked(pairs: DataFrame, order: list[Column], most: int | None) -> DataFram
     return (out if most is None else out.where(F.col("rank") < most)).select("cloud_id", "query_id", "rank", "point_id", "dist2")
 
 
-def ball_query(points: DataFrame, queries: DataFrame, radius: float, nsample: int | None = None, order: str = "distance", bound: str = "strict", metric: str = "l2", seed: int = 0, strict_clouds: bool = False) -> DataFrame:
+def _capped(p: DataFrame, q: DataFrame, radius: float, most: int, bound: str, metric: str, order: list[Column]) -> DataFrame:
+    """The nearest ``most`` points within the radius: queries that have as many in a narrower one are settled there."""
+    every, done, todo = Window.partitionBy("cloud_id", "query_id"), [], q
+    for narrow in (4, 2):
+        found = checkpoint(_ranked(within(p, todo, radius / narrow, "strict", metric), order, most).withColumn("n", F.count("*").over(every)))
+        full = found.where(F.col("n") >= most)
+        done.append(full.drop("n"))
+        todo = checkpoint(todo.join(full.where("rank = 0").select("cloud_id", "query_id").distinct(), ["cloud_id", "query_id"], "left_anti"))
+    out = _ranked(within(p, todo, radius, bound, metric), order, most)
+    for part in done:
+        out = out.unionByName(part)
+    return out
+
+
+def ball_query(points: DataFrame, queries: DataFrame, radius: float, nsample: int | None = None, order: str = "distance", bound: str = "strict", metric: str = "l2", seed: int = 0, strict_clouds: bool = False, small: int = 20_000) -> DataFrame:
     """Up to ``nsample`` points (all, if None or not positive) around each query, ranked.
 
     order: "distance" (then point_id), "index" (point_id) or "hash" (a seeded shuffle). Queries without a hit have no row.
@@ -58,7 +78,36 @@ def ball_query(points: DataFrame, queries: DataFrame, radius: float, nsample: in
         raise ValueError(f"unknown order {order!r}")
     if strict_clouds:
         same_clouds(points, queries)
-    return _ranked(within(points, queries, radius, bound, metric), orders[order], nsample if nsample and nsample > 0 else None)
+    most = nsample if nsample and nsample > 0 else None
+    if most and order == "distance" and radius > 0 and len(points.take(small + 1) if small else [0]) > small:
+        p, q = as_points(points), as_points(queries, "query_id")
+        if q.groupBy("cloud_id", "query_id").count().where("count > 1").isEmpty():  # repeated queries are ranked as one
+            return _capped(p, q, radius, most, bound, metric, orders[order])
+    return _ranked(within(points, queries, radius, bound, metric), orders[order], most)
+
+
+def ball_query_layout(points: DataFrame, queries: DataFrame, radius: float, nsample: int, mode: str | None = "dense", order: str = "distance", point_batch: str | None = None, query_batch: str | None = None) -> DataFrame:
+    """``ball_query`` padded as a layout asks: "dense" or "partial_dense", in any case.
+
+    "partial_dense" needs the batch columns of points and queries named, holding the same clouds. "dense" takes none, as
+    all clouds have as many points there. ValueError otherwise, and for a mode that is missing or unknown.
+    """
+    if mode is None:
+        raise ValueError("a mode is needed: dense or partial_dense")
+    name = mode.lower()
+    if name not in ("dense", "partial_dense"):
+        raise ValueError(f"unknown mode {mode!r}: it is dense or partial_dense")
+    batches = (point_batch, query_batch)
+    if name == "partial_dense":
+        if None in batches:
+            raise ValueError("partial_dense needs the batch columns of points and queries")
+        points, queries = (require(df, batch, i, "x", "y", "z").withColumnRenamed(batch, "cloud_id") for df, batch, i in ((points, point_batch, "point_id"), (queries, query_batch, "query_id")))
+    elif batches != (None, None):
+        raise ValueError("dense takes no batch columns")
+    elif points.groupBy("cloud_id").count().select("count").distinct().count() > 1:
+        raise ValueError("clouds of different size are not dense")
+    found = ball_query(points, queries, radius, nsample, order, strict_clouds=True)
+    return padded(found, queries, nsample, "dense" if name == "dense" else "partial")
 
 
 def padded(neighbors: DataFrame, queries: DataFrame, nsample: int | None = None, layout: str = "dense") -> DataFrame:
@@ -70,15 +119,15 @@ def padded(neighbors: DataFrame, queries: DataFrame, nsample: int | None = None,
     if layout not in ("dense", "partial"):
         raise ValueError(f"unknown layout {layout!r}")
     if nsample is None or nsample <= 0:
-        most = neighbors.agg(F.max("rank")).first()[0]
-        nsample = 0 if most is None else most + 1
-        nsample = max(nsample, 1) if layout == "dense" else nsample
-    hits = neighbors.where(F.col("rank") < nsample).groupBy("cloud_id", "query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "point_id", "dist2"))).alias("h"))
+        width = F.greatest(F.coalesce(neighbors.agg(F.max("rank") + 1).scalar(), F.lit(0)), F.lit(1 if layout == "dense" else 0)).cast("int")
+    else:
+        width = F.lit(nsample)
+    hits = neighbors.where(F.col("rank") < width).groupBy("cloud_id", "query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "point_id", "dist2"))).alias("h"))
     fill = F.coalesce(F.get("h", F.lit(0))["point_id"], F.lit(0)) if layout == "dense" else F.lit(-1)
-    at = F.sequence(F.lit(0), F.lit(nsample - 1)) if nsample else F.array().cast("array<int>")
-    out = queries.select("cloud_id", "query_id").join(hits, ["cloud_id", "query_id"], "left")
-    idx = F.transform(at, lambda i: F.coalesce(F.get("h", i)["point_id"], fill.cast("long")))
-    return out.select("cloud_id", "query_id", idx.alias("idx"), F.transform(at, lambda i: F.coalesce(F.get("h", i)["dist2"], F.lit(-1.0))).alias("dist2"))
+    at = F.when(width > 0, F.sequence(F.lit(0), F.greatest(width - 1, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+    out = queries.select("cloud_id", "query_id").join(hits, ["cloud_id", "query_id"], "left").withColumn("at", at)
+    idx = F.transform("at", lambda i: F.coalesce(F.get("h", i)["point_id"], fill.cast("long")))
+    return out.select("cloud_id", "query_id", idx.alias("idx"), F.transform("at", lambda i: F.coalesce(F.get("h", i)["dist2"], F.lit(-1.0))).alias("dist2"))
 
 
 def _brute(p: DataFrame, q: DataFrame, k: int, metric: str) -> DataFrame:
@@ -86,11 +135,12 @@ def _brute(p: DataFrame, q: DataFrame, k: int, metric: str) -> DataFrame:
     return _ranked(pairs, [F.col("dist2"), F.col("point_id")], k)
 
 
-def knn(points: DataFrame, queries: DataFrame, k: int, metric: str = "l2", small: int = 20_000, levels: int = 24) -> DataFrame:
+def knn(points: DataFrame, queries: DataFrame, k: int, metric: str = "l2", small: int = 20_000, levels: int = 64) -> DataFrame:
     """The ``k`` nearest points of each query, ranked by (dist2, point_id); ValueError if a queried cloud has fewer.
 
-    Clouds of up to ``small`` points are joined whole. Larger ones are searched in grid cells: a query is settled once its
-    k-th neighbour lies closer than the rim of its 27 cells; the rest go on with cells twice as wide.
+    Where no cloud has more than ``small`` points they are joined whole. Otherwise they are searched in grid cells, first in
+    so narrow ones that the most crowded holds some 64 k points at most (or a thousandth of the usual width): a query is
+    settled once its k-th neighbour lies closer than the rim of its 27 cells; the rest go on with cells twice as wide.
     """
     if k < 1:
         raise ValueError("k is less than 1")
@@ -104,6 +154,9 @@ def knn(points: DataFrame, queries: DataFrame, k: int, metric: str = "l2", small
         return _brute(p, q, k, metric)
     span = F.greatest(*(F.col(f"hi_{c}") - F.col(f"lo_{c}") for c in "xyz"), F.lit(1e-12))
     width = sizes.select("cloud_id", (span / F.greatest(F.lit(1.0), F.cbrt(F.col("n") / F.lit(float(k))))).alias("w"))
+    crowd = p.join(width, "cloud_id").groupBy("cloud_id", "w", *(cell(F.col(c), F.col("w")).alias(n) for c, n in zip("xyz", _CELL, strict=True))).count().groupBy("cloud_id", "w").agg(F.max("count").alias("most"))
+    halvings = F.least(F.lit(10), F.greatest(F.lit(0), F.ceil(F.log2(F.col("most") / (64.0 * k)) / 3)))
+    width = checkpoint(crowd.select("cloud_id", (F.col("w") / F.pow(F.lit(2.0), halvings)).alias("w")))
     p, todo, done = p.join(width, "cloud_id"), checkpoint(q.join(width, "cloud_id")), None
     for level in range(levels):
         w = F.col("w") * float(2**level)
@@ -121,7 +174,7 @@ def knn(points: DataFrame, queries: DataFrame, k: int, metric: str = "l2", small
         todo = checkpoint(todo.join(last, ["cloud_id", "query_id"], "left_anti"))
         if todo.isEmpty():
             return done
-    return done.unionByName(_brute(p.drop("w"), todo.drop("w"), k, metric))
+    raise RuntimeError(f"some queries lie further from their cloud than {levels} doublings reach")
 
 
 def three_nn(unknown: DataFrame, known: DataFrame) -> DataFrame:
