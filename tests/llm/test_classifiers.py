@@ -93,3 +93,123 @@ def test_every_window_counts():
         starts = [0] if len(words) <= net.size else range(0, -(-(len(words) - net.size) // net.stride) * net.stride + 1, net.stride)
         want = [net.logits(pa.array([" ".join(words[s : s + net.size])]))[1][0] for s in starts]
         assert np.allclose(np.sort(logit[doc == d]), np.sort(want), atol=1e-5)
+
+
+def plain_gru(net, words, states, way):
+    """States of one direction over the words of a window, element by element."""
+    p, h = net.p, net.hidden
+    s = [0.0] * h
+    out = [None] * len(words)
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    for t in range(len(words)) if way == "f" else reversed(range(len(words))):
+        x = words[t]
+        wx = [sum(x[i] * p["W" + way][i, k] for i in range(len(x))) + p["b" + way][k] for k in range(3 * h)]
+        us = [sum(s[i] * p["U" + way][i, k] for i in range(h)) for k in range(3 * h)]
+        z, r = [sig(wx[k] + us[k]) for k in range(h)], [sig(wx[h + k] + us[h + k]) for k in range(h)]
+        c = [np.tanh(wx[2 * h + k] + r[k] * us[2 * h + k]) for k in range(h)]
+        s = [c[k] + z[k] * (s[k] - c[k]) for k in range(h)]
+        out[t] = s
+    return out
+
+
+def plain_toxicity(net, text):
+    """The whole way from a text to its score: words, inputs, windows, both directions, attention, the largest logit."""
+    import re
+
+    found = re.findall(r"[^\W_]+", text.lower())
+    at = {w: i + 1 for i, w in enumerate(net.vocabulary)}
+    inputs = []
+    for w in found:
+        x = list(net.p["words"][at.get(w, 0)])
+        data = b"\x02" + w.encode() + b"\x03"
+        for k, bits in ((3, 12), (5, 14)):
+            rows = []
+            for i in range(len(data) - k + 1):
+                h = 0
+                for b in data[i : i + k]:
+                    h = ((h ^ b) * 0x01000193) & 0xFFFFFFFF
+                h ^= h >> 15
+                rows.append(net.p[f"chars{k}"][(h * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - bits)])
+            x += list(np.mean(rows, 0)) if rows else [0.0] * net.width
+        inputs.append(x)
+    best, start = -np.inf, 0
+    while True:
+        window = inputs[start : start + net.size]
+        if window:
+            both = [plain_gru(net, window, None, way) for way in "fb"]
+            e = [float(np.dot(both[0][t], net.p["a"][: net.hidden]) + np.dot(both[1][t], net.p["a"][net.hidden :])) for t in range(len(window))]
+            w = np.exp(np.array(e) - max(e))
+            w /= w.sum()
+            pooled = np.concatenate([sum(w[t] * np.array(s[t]) for t in range(len(window))) for s in both])
+            best = max(best, float(pooled @ net.p["o"] + net.p["c"][0]))
+        else:
+            best = max(best, float(net.p["c"][0]))
+        if start + net.size >= len(inputs):
+            return 1 / (1 + np.exp(-(net.slope * best + net.offset)))
+        start += net.stride
+
+
+def test_toxicity_by_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    net = toxicity.Network(["cat", "awful", "naïve", "漢字"], hidden=3, width=2, size=4, stride=3, slope=1.7, offset=-0.2)
+    net.start(5, np.zeros(5, np.float32))
+    for k in net.p:
+        net.p[k] = rng.normal(0, 0.7, net.p[k].shape).astype(np.float32)
+    words = ["cat", "Awful", "dog", "naïve", "漢字", "x", "don't", "a-b", "12", "Über"]
+    texts = ["", "  \n", "cat", "cat awful dog x", "cat awful dog x cat", *(" ".join(rng.choice(words, n)) for n in (6, 7, 8, 23))]
+    want = [plain_toxicity(net, t) for t in texts]
+    assert net.scores(pa.array(texts)).tolist() == pytest.approx(want, abs=1e-5)
+    monkeypatch.setattr(toxicity, "fit", lambda rows, **how: net)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None])], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    found = {r.doc_id: r.score for r in toxicity.toxicity(docs, labels).collect()}
+    assert [found[i] for i in range(len(texts) + 1)] == pytest.approx([*want, want[0]], abs=1e-5)
+
+
+def test_quality_by_brute_force(spark, monkeypatch):
+    import zstandard
+
+    rng = np.random.default_rng(4)
+    rows = [(" ".join(rng.choice(["alpha", "beta", "gamma"] if y else ["xx%%", "##yy", "zz||"], 200)), int(y), int(f)) for y in (0, 1) for f in (0, 1) for _ in range(20)]
+    model = compression.fit(rows, [40, 40])
+    size = lambda piece, content: len(zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False).compress(piece))
+    texts = ["", "alpha beta " * 400, "##yy xx%% " * 90, "something else é漢", "alpha ##yy " * 30]
+    want = []
+    for t in (t.encode() for t in texts):
+        saved = sum(size(t[a : a + 1024], model.bad) - size(t[a : a + 1024], model.good) for a in range(0, len(t), 1024))
+        x = (saved + 256 * model.usual) / (len(t) + 256)
+        k = int(np.searchsorted(model.at, x, "right"))
+        inside = 0 < k < len(model.at)
+        want.append(model.value[k - 1] + (model.value[k] - model.value[k - 1]) * (x - model.at[k - 1]) / (model.at[k] - model.at[k - 1]) if inside else model.value[0 if k == 0 else -1])
+    monkeypatch.setattr(compression, "fit", lambda *a, **how: model)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None])], "doc_id long, text string").repartition(3)
+    found = {r.doc_id: (r.score, r.predicted) for r in compression.quality(docs, spark.createDataFrame([], "doc_id long, quality int")).collect()}
+    assert [found[i][0] for i in range(len(texts) + 1)] == pytest.approx([*want, want[0]])
+    assert all(p == (s >= 0.3) for s, p in found.values())
+
+
+def test_monotone_curve_by_brute_force():
+    """Pooled adjacent violators against the min-max formula of isotonic regression."""
+    rng = np.random.default_rng(9)
+    x, y, w = rng.random(40), rng.integers(0, 2, 40).astype(float), rng.random(40) + 0.2
+    order = np.argsort(x)
+    y, w = y[order], w[order]
+    mean = lambda a, b: (y[a : b + 1] * w[a : b + 1]).sum() / w[a : b + 1].sum()
+    best = [max(min(mean(a, b) for b in range(i, 40)) for a in range(i + 1)) for i in range(40)]
+    at, value = compression.monotone(x[order], y, w, smooth=0.0)
+    plain = (value - 0.02 * (at - at[0]) / (at[-1] - at[0])) / 0.98
+    assert sorted(set(np.round(best, 9))) == pytest.approx(sorted(set(np.round(plain, 9))))
+
+
+def test_sample_is_bounded_and_whole(spark, docs_of):
+    from pointloom.llm import labelled
+
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)] + [(3, 0)], "doc_id long, quality int")
+    long = "x" * 50_000 + " end"
+    docs = docs_of([(i, f"{i} {long}") for i in range(60)] + [(i, "twice") for i in range(5) for _ in range(300)])
+    rows, counts = labelled.sample(docs, labels, "quality", 20)
+    train = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5]
+    assert counts == [sum(i % 2 == k and i != 3 for i in train) for k in (0, 1)]
+    assert all(t == "twice" or t.endswith("end") and len(t) > 50_000 for t, _, _ in rows) and len(rows) <= 40
+    few, _ = labelled.sample(docs, labels, "quality", 200, most_bytes=120_000)
+    assert 0 < sum(len(t) for t, y, _ in few if y) <= 120_000
