@@ -106,3 +106,89 @@ def test_mask(docs_of):
     assert out[6].text.startswith("[CARD], ")
     assert out[7].text.startswith("[PHONE] [PHONE][PHONE] ")
     assert out[4].score == -1.0
+
+
+def plain_em(patterns, rounds=40):
+    """Prior and accuracies from {votes: count}."""
+    p, acc = 0.5, [0.75] * 4
+    for _ in range(rounds):
+        r = {v: plain_posterior(p, acc, v) for v in patterns}
+        good = [sum(n * (r[v] if v[j] > 0 else 1 - r[v]) for v, n in patterns.items() if v[j]) for j in range(4)]
+        cast = [sum(n for v, n in patterns.items() if v[j]) for j in range(4)]
+        acc = [min(0.99, max(0.55, (g + 7) / (c + 10))) for g, c in zip(good, cast, strict=True)]
+        p = (sum(n * r[v] for v, n in patterns.items()) + 1) / (sum(patterns.values()) + 2)
+    return p, acc
+
+
+def plain_posterior(p, acc, votes):
+    yes, no = p, 1 - p
+    for a, v in zip(acc, votes, strict=True):
+        if v:
+            yes, no = yes * (a if v > 0 else 1 - a), no * (1 - a if v > 0 else a)
+    return yes / (yes + no)
+
+
+def test_final_spans_by_brute_force(spark, docs_of):
+    """Estimation, training and classification over the candidates' votes and features, and where spans end up."""
+    import math
+    from collections import Counter, defaultdict
+
+    docs = docs_of([(100 + i, f'key = "{hashlib.sha256(str(i).encode()).hexdigest()}" v. {i}55 123 4567, see {hashlib.sha1(str(i).encode()).hexdigest()} page') for i in range(30)] + [r for r in ROWS if r[0] not in (10, 11, None, 8)])
+    rows = pii.annotate(docs.select("doc_id", "text"), "text").select("doc_id", "__pii_base", "__pii_cand").collect()
+    each = [c for r in rows for c in r["__pii_cand"]]
+    p, acc = plain_em(Counter(tuple(c.v) for c in each))
+    soft = [plain_posterior(p, acc, c.v) for c in each]
+    sums = [sum(soft), sum(1 - r for r in soft)]
+    table = [defaultdict(lambda: [0.0, 0.0]) for _ in pii._FEATURES]
+    for c, r in zip(each, soft, strict=True):
+        for t, x in zip(table, c.f, strict=True):
+            t[x][0] += r
+            t[x][1] += 1 - r
+
+    def chance(f):
+        z = math.log((sums[0] + 1) / (sums[1] + 1))
+        for t, x in zip(table, f, strict=True):
+            z += math.log((t[x][0] + 1) / (sums[0] + len(t))) - math.log((t[x][1] + 1) / (sums[1] + len(t)))
+        return 1 / (1 + math.exp(-z))
+
+    names = (*pii.KINDS, *pii.MORE)
+    want = {}
+    for r in rows:
+        more = [(c.start, c.kind, c.end) for c in r["__pii_cand"] if not c.base and chance(c.f) >= 0.5]
+        base = [(b.start, b.kind, b.end) for b in r["__pii_base"]]
+        assert all(a >= y or b <= x for a, _, b in more for x, _, y in base)
+        want[r.doc_id] = ",".join(f"{names[k]}:{a}:{b}" for a, k, b in sorted(base + more))
+    found = {r.doc_id: r.spans for r in pii.personal_data(docs).collect()}
+    assert found == want and any("secret" in s for s in found.values())
+
+
+def test_votes_and_features(spark):
+    """What each labeler says of known candidates: strict form, gazetteer, signs around, spread."""
+    long = "ab12cd34ef56ab78cd90ef12ab34cd56ef7890ab"
+    cases = {f'token = "{long}"': [1, 1, 1, 1], f"Version {long} x": [1, -1, 0, 1], f"x {'a' * 30} 7": [-1, 0, 0, -1], f"María {long}.": [1, 1, 0, 1], "téléphone 555 123 4567": [1, 1, 0, 1], "nothing 4111 1111 1111 1112 here": [-1, 0, 0, -1]}
+    docs = spark.createDataFrame([(t, "." * 9000 + " " + t) for t in cases], "k string, text string")
+    for column in ("k", "text"):
+        for r in pii.annotate(docs, column).collect():
+            (c,) = r["__pii_cand"]
+            assert list(c.v) == cases[r.k], r.k
+            assert r[column][c.start : c.end].strip() in (long, "a" * 30, "555 123 4567", "4111 1111 1111 1112")
+            assert len(c.f) == len(pii._FEATURES) and all(0 <= x <= 7 for x in c.f)
+
+
+def test_overlaps_and_pieces(spark):
+    import random
+
+    rng = random.Random(1)
+    spans = lambda n: [(rng.randrange(3000), k) for k in range(n)]
+    rows = []
+    for n, m in ((0, 5), (5, 0), (40, 60), (700, 900)):
+        base = [(a, a + rng.randrange(1, 9), 0, "b", True) for a, _ in spans(n)]
+        rows.append((base, [(a, a + rng.randrange(1, 9), 5, "c", False) for a, _ in spans(m)]))
+    kind = "array<struct<start:bigint,end:bigint,kind:int,m:string,strict:boolean>>"
+    for r in spark.createDataFrame(rows, f"base {kind}, more {kind}").select("base", "more", pii._free(F.col("base"), F.col("more")).alias("free")).collect():
+        want = sorted((x.start, x.end) for x in r.more if not any(b.start < x.end and x.start < b.end for b in r.base))
+        assert sorted((x.start, x.end) for x in r.free) == want
+    text = "".join(rng.choice("aé漢😀\n") for _ in range(9000))
+    cuts = [(0, 0), (0, 9000), (4095, 4097), (4096, 8192), (4000, 9000), (8192, 8192), (1, 4096), (8999, 9000), (9000, 9001)]
+    frame = spark.createDataFrame([(text, a, b) for a, b in cuts], "t string, a long, b long")
+    assert [r.x for r in frame.select(pii._between(pii._pieces(F.col("t")), F.col("a"), F.col("b")).alias("x")).collect()] == [text[a:b] for a, b in cuts]
