@@ -13,6 +13,7 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -58,21 +59,32 @@ class _Memo(dict):
         return value
 
 
-class _Tokenizer:
-    def __init__(self, path: str, memo: int):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+@lru_cache(2)
+def _loaded(path: str):
+    """A vocabulary's tokenizer, which stays as it is in the file."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
 
-        self.full = Tokenizer.from_file(path)
-        self.model = self.full.model
-        self.pieces = _Memo(self._piece, memo)
 
-    def _tokens(self, piece: str) -> list:
-        if piece.isascii() and piece.isprintable():
-            piece = piece.replace(" ", "\u0120")
-        else:
-            piece = piece.encode().decode("latin-1").translate(_AS_CHARS)
-        return self.model.tokenize(piece)
+def _tokens_of(model, piece: str) -> bytes:
+    """The ids of one pre-token."""
+    if piece.isascii() and piece.isprintable():
+        piece = piece.replace(" ", "\u0120")
+    else:
+        piece = piece.encode().decode("latin-1").translate(_AS_CHARS)
+    return array("I", [t.id for t in model.tokenize(piece)]).tobytes()
+
+
+def _word_of(full, pieces: _Memo, text: str) -> bytes:
+    """The ids of one white-space chunk."""
+    if _BEYOND_RE.search(text):
+        return array("I", full.encode(text, add_special_tokens=False).ids).tobytes()
+    text = text.lower()
+    if text.isalpha():
+        return pieces.make(text)
+    return b"".join(map(pieces.__getitem__, _WORD_PATTERN.findall(text)))
 
 
 class BatchCounter:
@@ -147,23 +159,17 @@ class BatchCounter:
         return out
 
 
-class WordEncoder(_Tokenizer):
-    """Ids, as little-endian unsigned 32-bit bytes, under a vocabulary that drops white space."""
+class WordEncoder:
+    """Ids, as little-endian unsigned 32-bit bytes, under a vocabulary that drops white space.
+
+    A worker loads the vocabulary once. The memos know the tokenizer, not this object, so they go with the task: a cycle
+    would keep those of every task until a full collection of garbage, which comes late.
+    """
 
     def __init__(self, path: str, memo: int = 700_000):
-        super().__init__(path, memo)
-        self.words = _Memo(self._word, memo)
-
-    def _piece(self, piece: str) -> bytes:
-        return array("I", [t.id for t in self._tokens(piece)]).tobytes()
-
-    def _word(self, text: str) -> bytes:
-        if _BEYOND_RE.search(text):
-            return array("I", self.full.encode(text, add_special_tokens=False).ids).tobytes()
-        text = text.lower()
-        if text.isalpha():
-            return self._piece(text)
-        return b"".join(map(self.pieces.__getitem__, _WORD_PATTERN.findall(text)))
+        self.full = _loaded(path)
+        self.pieces = _Memo(partial(_tokens_of, self.full.model), memo)
+        self.words = _Memo(partial(_word_of, self.full, self.pieces), memo)
 
     def _lowered(self, texts: pa.Array) -> pa.Array:
         """Lower case, and a space before what ends a word: fewer different words, the same pre-tokens."""
