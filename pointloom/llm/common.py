@@ -32,11 +32,14 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The rows from a table written to the session's shared folder: as a checkpoint, but compressed and by column."""
+def written(df: DataFrame, codec: str | None = None) -> DataFrame:
+    """The rows from a table written to the session's shared folder: as a checkpoint, but compressed and by column.
+
+    ``codec`` is Parquet's; None takes the session's.
+    """
     checkpoint(df.sparkSession.range(0))  # sets the folder where it is unset
     folder = f"{df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/tables/{uuid.uuid4()}"
-    df.write.parquet(folder)
+    df.write.parquet(folder, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 

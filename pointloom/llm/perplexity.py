@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import batches_of, checkpoint
+from .common import batches_of, written
 
 ORDER = 5
 _BYTE, _PAD, _SLOTS = 8, 0xFF, 1 << 16  # byte 255 isn't in UTF-8, so it stands before a text's first byte
@@ -124,9 +124,9 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
 
     Groups are at most 256 grams of one context; the discounts are one row for each of 65,536 language slots at most.
     """
-    orders = {ORDER: checkpoint(counts.select("key", F.col("n").cast("double").alias("c")))}
+    orders = {ORDER: written(counts.select("key", F.col("n").cast("double").alias("c")), "zstd")}
     for k in range(ORDER - 1, 0, -1):
-        orders[k] = checkpoint(orders[k + 1].groupBy(_shorter(F.col("key"), k + 1).alias("key")).agg(F.count("*").cast("double").alias("c")))
+        orders[k] = written(orders[k + 1].groupBy(_shorter(F.col("key"), k + 1).alias("key")).agg(F.count("*").cast("double").alias("c")), "zstd")
     lower = None
     for k in range(1, ORDER + 1):
         key, c = F.col("key"), F.col("c")
@@ -232,10 +232,10 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     results; other columns are not read; an empty table gives no row. Texts are read whole.
     """
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    asked = checkpoint(count_grams(picked, batch_bytes))
+    asked = written(count_grams(picked, batch_bytes), "zstd")  # a batch's keys ascend, so they take few bytes
     model = kneser_ney(asked.groupBy("key").agg(F.sum("n").alias("n")))
     rows = scored(picked, asked.select("batch", "key"), model, batch_bytes)
-    rows = checkpoint(rows.withColumn("word_log_perplexity", F.when(F.col("n_words") > 0, F.col("log_perplexity") * F.col("n_bytes") / F.col("n_words"))))
+    rows = written(rows.withColumn("word_log_perplexity", F.when(F.col("n_words") > 0, F.col("log_perplexity") * F.col("n_bytes") / F.col("n_words"))), "zstd")
     out, kept = rows, ~F.col("base_failed")
     for column, length, prefix, floor, noise in zip(("log_perplexity", "word_log_perplexity"), ("n_bytes", "n_words"), ("", "word_"), least, short, strict=True):
         out = out.join(F.broadcast(bands(rows, column)), "slot", "left")  # at most 65,536 slots
