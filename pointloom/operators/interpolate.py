@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pointloom.operators.lineage import checkpoint
+
 
 def inverse_distance_weights(nearest: DataFrame, eps: float = 1e-8) -> DataFrame:
     """cloud_id, query_id, rank, point_id, weight from neighbours with dist; weights of a query sum to one."""
@@ -24,6 +26,8 @@ def three_interpolate(features: DataFrame, weights: DataFrame, strict: bool = Fa
 
     With ``strict`` a weight whose point has no feature raises ValueError.
     """
+    if strict:
+        weights = checkpoint(weights)  # read twice
     if strict and not weights.join(features.select("cloud_id", "point_id").distinct(), ["cloud_id", "point_id"], "left_anti").isEmpty():
         raise ValueError("a weight names a point without features")
     return weights.join(features, ["cloud_id", "point_id"]).groupBy("cloud_id", "query_id", "channel").agg(F.sum(F.col("value") * F.col("weight")).alias("value"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pointloom.operators.lineage import checkpoint
 from pointloom.operators.neighbors import knn
 from pointloom.operators.ordering import with_sum_before
 from pointloom.sources.frames import points as as_points
@@ -64,7 +65,7 @@ def chamfer_grad(a: DataFrame, b: DataFrame, grads: DataFrame | None = None) ->
     the mean.
     """
     a, b = as_points(a), as_points(b)
-    near = chamfer_points(a, b)
+    near = checkpoint(chamfer_points(a, b))  # read several times below
     if grads is None:
         share = near.groupBy("side").agg((F.lit(1.0) / F.count("*")).alias("g"))
         near = near.join(F.broadcast(share), "side")

@@ -1,10 +1,8 @@
 """Radius and nearest-neighbour joins.
 
-Neighbours are an edge list: cloud_id, query_id, rank (from 0), point_id, dist2. A radius join is an equi-join on the
-cloud and a grid cell as wide as the radius, with each query in its 27 cells, so a cloud of any size spreads over tasks.
-Where only some neighbours of each query are wanted, narrow cells come first and settle the queries in crowded places,
-so that pairs of a dense cell aren't all made. Nearest neighbours of small clouds use the whole cloud; larger ones are
-searched in cells of growing width, from one that fits the cloud's most crowded cell.
+Neighbours are an edge list: cloud_id, query_id, rank (from 0), point_id, dist2. Searches meet points and queries in blocks
+(see ``blocks``): whole small clouds, or parts of large ones, so that a cloud of any size spreads over tasks and pairs that
+aren't asked for are neither made nor shuffled. ``within`` is the plain equi-join on grid cells as wide as the radius.
 
 Points without finite coordinates are nobody's neighbours and ask for none; ties go to the smaller point_id; repeated
 points count as often as they stand there; other columns are not read; without points or queries there are no rows.
@@ -17,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pointloom.functions.geometry import around, cell, dist2
-from pointloom.operators.lineage import checkpoint
+from pointloom.operators import blocks
 from pointloom.operators.ordering import with_sum_before
 from pointloom.sources.frames import points as as_points
 from pointloom.sources.frames import require
@@ -32,12 +30,17 @@ def same_clouds(points: DataFrame, queries: DataFrame) -> None:
         raise ValueError("points and queries have different clouds")
 
 
-def within(points: DataFrame, queries: DataFrame, radius: float, bound: str = "strict", metric: str = "l2") -> DataFrame:
-    """cloud_id, query_id, point_id, dist2 of all pairs closer than the radius (up to it with bound="inclusive")."""
+def checked(radius: float, bound: str) -> None:
+    """ValueError for a negative radius or an unknown bound."""
     if radius < 0:
         raise ValueError("the radius is negative")
     if bound not in ("strict", "inclusive"):
         raise ValueError(f"unknown bound {bound!r}")
+
+
+def within(points: DataFrame, queries: DataFrame, radius: float, bound: str = "strict", metric: str = "l2") -> DataFrame:
+    """cloud_id, query_id, point_id, dist2 of all pairs closer than the radius (up to it with bound="inclusive")."""
+    checked(radius, bound)
     p, q = as_points(points), as_points(queries, "query_id")
     width = radius * (1 + 1e-9) or 1.0
     home = [cell(F.col(c), width) for c in "xyz"]
@@ -54,20 +57,6 @@ def _ranked(pairs: DataFrame, order: list[Column], most: int | None) -> DataFram
     return (out if most is None else out.where(F.col("rank") < most)).select("cloud_id", "query_id", "rank", "point_id", "dist2")
 
 
-def _capped(p: DataFrame, q: DataFrame, radius: float, most: int, bound: str, metric: str, order: list[Column]) -> DataFrame:
-    """The nearest ``most`` points within the radius: queries that have as many in a narrower one are settled there."""
-    every, done, todo = Window.partitionBy("cloud_id", "query_id"), [], q
-    for narrow in (4, 2):
-        found = checkpoint(_ranked(within(p, todo, radius / narrow, "strict", metric), order, most).withColumn("n", F.count("*").over(every)))
-        full = found.where(F.col("n") >= most)
-        done.append(full.drop("n"))
-        todo = checkpoint(todo.join(full.where("rank = 0").select("cloud_id", "query_id").distinct(), ["cloud_id", "query_id"], "left_anti"))
-    out = _ranked(within(p, todo, radius, bound, metric), order, most)
-    for part in done:
-        out = out.unionByName(part)
-    return out
-
-
 def ball_query(points: DataFrame, queries: DataFrame, radius: float, nsample: int | None = None, order: str = "distance", bound: str = "strict", metric: str = "l2", seed: int = 0, strict_clouds: bool = False, small: int = 20_000) -> DataFrame:
     """Up to ``nsample`` points (all, if None or not positive) around each query, ranked.
 
@@ -78,12 +67,17 @@ def ball_query(points: DataFrame, queries: DataFrame, radius: float, nsample: in
         raise ValueError(f"unknown order {order!r}")
     if strict_clouds:
         same_clouds(points, queries)
+    checked(radius, bound)
+    dist2("q", "p", metric)  # an unknown metric is an error
     most = nsample if nsample and nsample > 0 else None
-    if most and order == "distance" and radius > 0 and len(points.take(small + 1) if small else [0]) > small:
-        p, q = as_points(points), as_points(queries, "query_id")
-        if q.groupBy("cloud_id", "query_id").count().where("count > 1").isEmpty():  # repeated queries are ranked as one
-            return _capped(p, q, radius, most, bound, metric, orders[order])
-    return _ranked(within(points, queries, radius, bound, metric), orders[order], most)
+    p, q = as_points(points), as_points(queries, "query_id")
+    limit, strict = radius * radius if metric == "l2" else radius, bound == "strict"
+    if most and order == "distance":
+        return blocks.listed(blocks.nearest(p, q, ["cloud_id"], most, metric, limit, strict, small), ["cloud_id"])
+    longs = {p.schema["point_id"].dataType.typeName(), q.schema["query_id"].dataType.typeName()} == {"long"} and -(1 << 31) <= seed < 1 << 31
+    if (order == "hash" and not longs) or blocks.repeated(q, ["cloud_id"]):  # repeated queries are ranked as one
+        return _ranked(within(points, queries, radius, bound, metric), orders[order], most)
+    return blocks.ranked_within(p, q, ["cloud_id"], limit, strict, metric, order, most, seed, small)
 
 
 def ball_query_layout(points: DataFrame, queries: DataFrame, radius: float, nsample: int, mode: str | None = "dense", order: str = "distance", point_batch: str | None = None, query_batch: str | None = None) -> DataFrame:
@@ -130,51 +124,20 @@ def padded(neighbors: DataFrame, queries: DataFrame, nsample: int | None = None,
     return out.select("cloud_id", "query_id", idx.alias("idx"), F.transform("at", lambda i: F.coalesce(F.get("h", i)["dist2"], F.lit(-1.0))).alias("dist2"))
 
 
-def _brute(p: DataFrame, q: DataFrame, k: int, metric: str) -> DataFrame:
-    pairs = q.alias("q").join(p.alias("p"), "cloud_id").select("cloud_id", "query_id", "point_id", dist2("q", "p", metric).alias("dist2"))
-    return _ranked(pairs, [F.col("dist2"), F.col("point_id")], k)
-
-
-def knn(points: DataFrame, queries: DataFrame, k: int, metric: str = "l2", small: int = 20_000, levels: int = 64) -> DataFrame:
+def knn(points: DataFrame, queries: DataFrame, k: int, metric: str = "l2", small: int = 20_000) -> DataFrame:
     """The ``k`` nearest points of each query, ranked by (dist2, point_id); ValueError if a queried cloud has fewer.
 
-    Where no cloud has more than ``small`` points they are joined whole. Otherwise they are searched in grid cells, first in
-    so narrow ones that the most crowded holds some 64 k points at most (or a thousandth of the usual width): a query is
-    settled once its k-th neighbour lies closer than the rim of its 27 cells; the rest go on with cells twice as wide.
+    Clouds of up to ``small`` points are searched whole, each in one task; larger ones are split (see ``blocks``).
     """
     if k < 1:
         raise ValueError("k is less than 1")
+    dist2("q", "p", metric)  # an unknown metric is an error
     p, q = as_points(points), as_points(queries, "query_id")
-    sizes = p.groupBy("cloud_id").agg(F.count("*").alias("n"), *(F.max(c).alias(f"hi_{c}") for c in "xyz"), *(F.min(c).alias(f"lo_{c}") for c in "xyz"))
-    sizes = checkpoint(q.select("cloud_id").distinct().join(sizes, "cloud_id", "left"))
-    worst = sizes.agg(F.min(F.coalesce("n", F.lit(0))), F.max("n")).first()
-    if worst[0] is not None and worst[0] < k:
-        raise ValueError(f"a cloud has {worst[0]} points, fewer than k = {k}")
-    if worst[1] is None or worst[1] <= small:
-        return _brute(p, q, k, metric)
-    span = F.greatest(*(F.col(f"hi_{c}") - F.col(f"lo_{c}") for c in "xyz"), F.lit(1e-12))
-    width = sizes.select("cloud_id", (span / F.greatest(F.lit(1.0), F.cbrt(F.col("n") / F.lit(float(k))))).alias("w"))
-    crowd = p.join(width, "cloud_id").groupBy("cloud_id", "w", *(cell(F.col(c), F.col("w")).alias(n) for c, n in zip("xyz", _CELL, strict=True))).count().groupBy("cloud_id", "w").agg(F.max("count").alias("most"))
-    halvings = F.least(F.lit(10), F.greatest(F.lit(0), F.ceil(F.log2(F.col("most") / (64.0 * k)) / 3)))
-    width = checkpoint(crowd.select("cloud_id", (F.col("w") / F.pow(F.lit(2.0), halvings)).alias("w")))
-    p, todo, done = p.join(width, "cloud_id"), checkpoint(q.join(width, "cloud_id")), None
-    for level in range(levels):
-        w = F.col("w") * float(2**level)
-        home = [cell(F.col(c), w) for c in "xyz"]
-        own = p.withColumns(dict(zip(_CELL, home, strict=True))).drop("w")
-        near = todo.withColumn("rim", w * 1.0).withColumn("near", F.explode(around(home))).select("cloud_id", "query_id", "x", "y", "z", "rim", "near.*")
-        pairs = near.alias("q").join(own.alias("p"), ["cloud_id", *_CELL]).select("cloud_id", "query_id", "point_id", "rim", dist2("q", "p", metric).alias("dist2"))
-        found = _ranked(pairs, [F.col("dist2"), F.col("point_id")], k)
-        # what lies outside the 27 cells is at least one width away
-        rim = F.col("w") * float(2**level) * (1 - 1e-9)
-        last = found.where(F.col("rank") == k - 1).join(todo.select("cloud_id", "query_id", "w"), ["cloud_id", "query_id"]).where(F.col("dist2") < (rim * rim if metric == "l2" else rim)).select("cloud_id", "query_id")
-        last = checkpoint(last)
-        settled = checkpoint(found.join(last, ["cloud_id", "query_id"], "left_semi"))
-        done = settled if done is None else done.unionByName(settled)
-        todo = checkpoint(todo.join(last, ["cloud_id", "query_id"], "left_anti"))
-        if todo.isEmpty():
-            return done
-    raise RuntimeError(f"some queries lie further from their cloud than {levels} doublings reach")
+    sizes = blocks.sizes(p, q, ["cloud_id"])
+    worst = sizes.where("m > 0").agg(F.min("n")).first()[0]
+    if worst is not None and worst < k:
+        raise ValueError(f"a cloud has {worst} points, fewer than k = {k}")
+    return blocks.listed(blocks.nearest(p, q, ["cloud_id"], k, metric, float("inf"), False, small, sizes), ["cloud_id"])
 
 
 def three_nn(unknown: DataFrame, known: DataFrame) -> DataFrame:
