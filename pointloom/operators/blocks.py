@@ -491,7 +491,7 @@ def plan(counted: DataFrame, frames: list[DataFrame], keys: list[str], large: Co
     return Plan(keys, few, numbered, Tree.of([xyz[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], held, small))
 
 
-def dealt(p: DataFrame | None, q: DataFrame, buckets: int, keys: list[str], heavy: int, columns: list[str]) -> DataFrame:
+def dealt(p: DataFrame, q: DataFrame, buckets: int, keys: list[str], heavy: int, columns: list[str]) -> DataFrame:
     """Points before queries of each bucket, sorted, a bucket in one task; buckets of more than ``heavy`` queries are copied."""
     most = q.groupBy(_BUCKET).count().where(F.col("count") > heavy).orderBy(_BUCKET).collect()
     if most:
@@ -503,11 +503,14 @@ def dealt(p: DataFrame | None, q: DataFrame, buckets: int, keys: list[str], heav
         buckets = start
         side = F.broadcast(q.sparkSession.createDataFrame(rows, f"{_BUCKET} long, __from long, __copies long"))
         q = q.join(side, _BUCKET, "left").withColumn(_BUCKET, F.coalesce(F.col("__from") + F.pmod(F.xxhash64(_Q), F.col("__copies")), _BUCKET))
-        if p is not None:
-            p = p.join(side, _BUCKET, "left").withColumn(_BUCKET, F.explode(F.coalesce(F.sequence(F.col("__from"), F.col("__from") + F.col("__copies") - 1), F.array(_BUCKET))))
-    parts = max(int(q.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(buckets, 4000))
-    both = q.select(*columns) if p is None else p.select(*columns).unionByName(q.select(*columns))
-    return both.repartitionById(parts, F.pmod(F.col(_BUCKET), F.lit(parts)).cast("int")).sortWithinPartitions(_BUCKET, _KIND, *keys)
+        p = p.join(side, _BUCKET, "left").withColumn(_BUCKET, F.explode(F.coalesce(F.sequence(F.col("__from"), F.col("__from") + F.col("__copies") - 1), F.array(_BUCKET))))
+    return gathered(p.select(*columns).unionByName(q.select(*columns)), buckets, keys)
+
+
+def gathered(df: DataFrame, buckets: int, keys: list[str]) -> DataFrame:
+    """Each bucket's rows in one task, sorted."""
+    parts = max(1, min(buckets, 4000))
+    return df.repartitionById(parts, F.pmod(F.col(_BUCKET), F.lit(parts)).cast("int")).sortWithinPartitions(_BUCKET, _KIND, *keys)
 
 
 def _type(df: DataFrame, *names: str) -> list[StructField]:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
+from pointloom.operators import blocks, linking
 from pointloom.operators.lineage import checkpoint
-from pointloom.operators.neighbors import ball_query, within
+from pointloom.operators.neighbors import checked
 from pointloom.operators.ordering import with_sum_before
 from pointloom.sources.frames import points as as_points
 
@@ -43,20 +45,60 @@ def components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 100) -> Da
     return least_reaching(nodes, both, most_rounds)
 
 
-def _grown(part: DataFrame, keys: list[str], nsample: int | None, radius: float, bound: str) -> DataFrame:
+def _least(rows: DataFrame, keys: list[str], edges: DataFrame) -> DataFrame:
+    """keys, point_id, seed for nodes (keys, point_id) of clouds too large for a task, with edges of structs of both."""
+    nodes = rows.select(F.struct(*keys, "point_id").alias("node")).distinct()
+    found = least_reaching(nodes, edges)
+    return found.select(*(F.col(f"node.{k}").alias(k) for k in keys), F.col("node.point_id").alias("point_id"), F.col("root.point_id").alias("seed"))
+
+
+def _grown(part: DataFrame, keys: list[str], nsample: int | None, radius: float, bound: str, whole: int = 6_000_000) -> DataFrame:
     """keys, point_id, seed (smallest point of the cluster) with clouds told apart by ``keys``.
 
     Growth from ascending seeds leaves each point to the smallest point that reaches it along the lists: had a smaller
     seed taken any point on the way, it would have gone on to this one. So both kinds are least labels along edges.
+    Clouds whose lists have up to ``whole`` entries (some 500,000 points where all neighbours count) are solved in a task
+    each; larger ones by rounds, from their lists or from the stars that blocks with a rim as wide as the radius leave.
     """
-    one = part.withColumn("cloud_id", F.struct(*keys)) if keys != ["cloud_id"] else part
-    q = one.withColumnRenamed("point_id", "query_id")
-    near = within(one, q, radius, bound) if nsample is None else ball_query(one, q, radius, nsample, bound=bound)
-    edges = near.select(F.struct("cloud_id", "query_id").alias("a"), F.struct("cloud_id", F.col("point_id").alias("query_id")).alias("b"))
-    nodes = one.select(F.struct("cloud_id", F.col("point_id").alias("query_id")).alias("node")).distinct()
-    # within a radius a point is its neighbour's neighbour, so uncapped edges stand there in both directions
-    found = least_reaching(nodes, edges).select(F.col("node.cloud_id").alias("cloud_id"), F.col("node.query_id").alias("point_id"), F.col("root.query_id").alias("seed"))
-    return found if keys == ["cloud_id"] else found.select(*(F.col(f"cloud_id.{k}").alias(k) for k in keys), "point_id", "seed")
+    checked(radius, bound)
+    limit, strict = radius * radius, bound == "strict"
+    most = nsample if nsample and nsample > 0 else None
+    q = part.withColumnRenamed("point_id", "query_id")
+    counted = blocks.sizes(part, q, keys)
+    fits = whole // (most or 12)
+    kinds = blocks._type(part, *keys)
+    one = part.schema["point_id"].dataType
+    ends = [StructField("point_id", one), StructField("seed", one)]
+    if most:
+        near = blocks.nearest(part, q, keys, most, "l2", limit, strict, 20_000, counted)
+        large = counted.where(F.col("n") > fits).select(*keys)
+        some = not large.isEmpty()
+        if some:
+            near = checkpoint(near)
+        deal = blocks.plan(counted.where(F.col("n") <= fits), [], keys, F.lit(False), fits)
+        own = near.join(large, keys, "left_anti") if some else near
+        own = deal.bucketed(own.withColumnRenamed("query_id", blocks._Q).withColumn(blocks._KIND, F.lit(0)))
+        schema = StructType([*kinds, *ends])
+        out = blocks.gathered(own.select(blocks._BUCKET, blocks._KIND, *keys, blocks._Q, "near"), deal.buckets, keys).mapInArrow(linking.walked_clouds(keys, blocks._arrow(schema)), schema)
+        if some:
+            rest = near.join(large, keys, "left_semi")
+            edges = rest.select(F.struct(*keys, F.col("query_id").alias("point_id")).alias("a"), *keys, F.explode("near.point_id").alias("point_id")).select("a", F.struct(*keys, "point_id").alias("b"))
+            out = out.unionByName(_least(rest.withColumnRenamed("query_id", "point_id"), keys, edges))
+        return out
+    p, _, columns = blocks._sides(part, q, keys, limit)
+    deal = blocks.plan(counted, [p], keys, F.col("n") > fits, fits)
+    p = deal.bucketed(p).select(*columns)
+    if deal.tree is not None:
+        p = blocks._placed(p, deal.tree, deal.few, (limit, "l2"))
+    schema = StructType([*kinds, *ends, StructField(blocks._NO, IntegerType())])
+    out = blocks.gathered(p, deal.buckets, keys).mapInArrow(linking.linked_clouds(keys, blocks._P, radius, strict, blocks._arrow(schema)), schema)
+    if deal.tree is None:
+        return out.drop(blocks._NO)
+    out = checkpoint(out)
+    star = out.where(F.col(blocks._NO).isNotNull())
+    edges = star.select(F.struct(*keys, "point_id").alias("a"), F.struct(*keys, F.col("seed").alias("point_id")).alias("b"))
+    edges = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    return out.where(F.col(blocks._NO).isNull()).drop(blocks._NO).unionByName(_least(star, keys, edges))
 
 
 def _numbered(found: DataFrame, group: list[str], order: list[str], least: int) -> DataFrame:
